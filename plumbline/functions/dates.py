@@ -1,4 +1,7 @@
-"""Dates as published, staleness and period overlap."""
+"""Dates as published, staleness and period overlap.
+
+Cells are expected without surrounding white space.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plumbline.functions import vocab
-from plumbline.functions.text import strip
 
 SLASHED = "^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$"
 
@@ -15,21 +17,19 @@ def _iso(year: Column, month: Column, day: Column) -> Column:
     return F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
 
 
-def slashed_parts(cell: Column) -> tuple[Column, Column]:
+def slashed_parts(text: Column) -> tuple[Column, Column]:
     """First and second component of ``a/b/yyyy``; null for other shapes."""
-    text = strip(cell)
     return (
         F.when(text.rlike(SLASHED), F.regexp_extract(text, SLASHED, 1).cast("int")),
         F.when(text.rlike(SLASHED), F.regexp_extract(text, SLASHED, 2).cast("int")),
     )
 
 
-def unslashed_date(cell: Column) -> Column:
+def unslashed_date(text: Column) -> Column:
     """Date or period start of every shape that needs no day/month agreement.
 
     The written date counts: a time zone never moves it to another day.
     """
-    text = strip(cell)
     quarter = "(?i)^([0-9]{4})[-/]?Q([1-4])$"
     start = ((F.regexp_extract(text, quarter, 2).try_cast("int") - 1) * 3 + 1).cast("string")
     year = text.try_cast("int")
@@ -47,8 +47,7 @@ def unslashed_date(cell: Column) -> Column:
     )
 
 
-def slashed_date(cell: Column, day_first: bool) -> Column:
-    text = strip(cell)
+def slashed_date(text: Column, day_first: bool) -> Column:
     first, second = F.regexp_extract(text, SLASHED, 1), F.regexp_extract(text, SLASHED, 2)
     year = F.regexp_extract(text, SLASHED, 3)
     day, month = (first, second) if day_first else (second, first)

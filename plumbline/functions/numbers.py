@@ -22,23 +22,26 @@ def is_null_cell(cell: Column) -> Column:
     return cell.isNull() | (strip(cell) == "")
 
 
-def is_sentinel(cell: Column, sentinels=vocab.SENTINELS) -> Column:
-    """A marker that means 'no data', never a value."""
-    words = sorted({w.casefold() for w in sentinels})
-    return F.coalesce(F.lower(strip(cell)).isin(*words), F.lit(False))
-
-
-def strip_flag(cell: Column) -> tuple[Column, Column]:
-    """Split a trailing one-letter observation flag off: ``86,6 p``."""
-    text = strip(cell)
-    flags = "".join(sorted(set(vocab.OBSERVATION_FLAGS)))
-    pattern = f"^(?s:(.*?\\d))[ \\t]+([{flags}{flags.upper()}])$"
-    flag = F.lower(F.regexp_extract(text, pattern, 2))
-    has = flag != ""
-    return (
-        F.when(has, F.regexp_extract(text, pattern, 1)).otherwise(cell),
-        F.when(has, flag),
-    )
+def is_sentinel(text: Column, sentinels=vocab.SENTINELS) -> Column:
+    """A marker that means 'no data', never a value (``text`` is stripped)."""
+    return F.coalesce(F.lower(text).isin(*sorted({w.casefold() for w in sentinels})), F.lit(False))
+
+
+FLAGS = "".join(sorted(set(vocab.OBSERVATION_FLAGS)))
+FLAGGED = f"^(?s:(.*?[0-9]))[ \\t]+([{FLAGS}{FLAGS.upper()}])$"
+
+
+def has_flag(text: Column) -> Column:
+    """A stripped cell that ends in a one-letter observation flag: ``86,6 p``."""
+    return F.coalesce(text.rlike(FLAGGED), F.lit(False))
+
+
+def without_flag(text: Column) -> Column:
+    return F.regexp_extract(text, FLAGGED, 1)
+
+
+def flag_of(text: Column) -> Column:
+    return F.lower(F.nullif(F.regexp_extract(text, FLAGGED, 2), F.lit("")))
 
 
 @lru_cache(maxsize=None)
@@ -57,24 +60,33 @@ def _digit_table() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
-def clean_number(cell: Column) -> tuple[Column, Column]:
-    """Bare numeral and unit code of a cell (0 none, 1 %, 2 €, 3 $, 4 £)."""
+BLANKS = "\u0020\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+PLAIN = "^[0-9.,+-]+$"
+
+
+def ascii_number(text: Column) -> Column:
+    """A stripped cell in plain characters, without any blanks."""
     source, target = _digit_table()
-    blanks = "\u0020\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
-    text = F.translate(strip(cell), source + blanks, target)
-    bare = F.translate(text, "%€$£", "")
-    euro_word = F.upper(bare).endswith("EUR")
-    bare = F.regexp_replace(bare, "(?i)EUR$", "")
-    bare = F.regexp_replace(strip(bare), "^\\((.*)\\)$", "-$1")
-    unit = (
-        F.when(euro_word, 2)
-        .when(F.contains(text, F.lit("£")), 4)
-        .when(F.contains(text, F.lit("$")), 3)
-        .when(F.contains(text, F.lit("€")), 2)
-        .when(F.contains(text, F.lit("%")), 1)
+    return F.when(text.rlike(PLAIN), text).otherwise(F.translate(text, source + BLANKS, target))
+
+
+def bare_number(plain: Column) -> Column:
+    """The numeral of an :func:`ascii_number`: no unit, accounting negatives signed."""
+    noisy = F.regexp_replace(F.translate(plain, "%€$£", ""), "(?i)EUR$", "")
+    return F.when(plain.rlike(PLAIN), plain).otherwise(F.regexp_replace(noisy, "^\\((.*)\\)$", "-$1"))
+
+
+def unit_code(plain: Column) -> Column:
+    """0 none, 1 %, 2 €, 3 $, 4 £."""
+    return (
+        F.when(plain.rlike(PLAIN), 0)
+        .when(plain.rlike("(?i)EUR[%€$£]*$"), 2)
+        .when(F.contains(plain, F.lit("£")), 4)
+        .when(F.contains(plain, F.lit("$")), 3)
+        .when(F.contains(plain, F.lit("€")), 2)
+        .when(F.contains(plain, F.lit("%")), 1)
         .otherwise(0)
     )
-    return bare, unit
 
 
 def unit_name(code: Column) -> Column:
@@ -86,43 +98,35 @@ def unit_name(code: Column) -> Column:
 
 def classify(bare: Column) -> Column:
     """How one numeral reads on its own: which separator it proves, if any."""
-    body = F.regexp_replace(bare, "^[+-]", "")
-    commas = F.length(body) - F.length(F.replace(body, F.lit(","), F.lit("")))
-    points = F.length(body) - F.length(F.replace(body, F.lit("."), F.lit("")))
+    comma, point = F.contains(bare, F.lit(",")), F.contains(bare, F.lit("."))
     return (
-        F.when(~bare.rlike("^[+-]?[0-9.,]+$"), F.lit("unparseable"))
-        .when(
-            (commas > 0) & (points > 0),
-            F.when(body.rlike(",[^.]*$"), F.lit("comma_decimal")).otherwise(F.lit("point_decimal")),
-        )
-        .when((commas == 0) & (points == 0), F.lit("integer"))
-        .when((commas > 1) | (points > 1), F.lit("integer"))
-        .when(body.rlike("[.,][0-9]{3}$"), F.lit("ambiguous"))
-        .when(commas == 1, F.lit("comma_decimal"))
+        F.when(bare.rlike("^[+-]?[0-9]+$"), F.lit("integer"))
+        .when(~bare.rlike("^[+-]?[0-9.,]+$"), F.lit("unparseable"))
+        .when(comma & point, F.when(bare.rlike(",[^.]*$"), F.lit("comma_decimal")).otherwise(F.lit("point_decimal")))
+        .when(bare.rlike("[.,].*[.,]"), F.lit("integer"))
+        .when(bare.rlike("[.,][0-9]{3}$"), F.lit("ambiguous"))
+        .when(comma, F.lit("comma_decimal"))
         .otherwise(F.lit("point_decimal"))
     )
 
 
-def _plain(bare: Column, comma_decimal: bool) -> Column:
-    """ASCII decimal text under one reading; repeated separators are group marks."""
-    grouped = bare.rlike("^[^,]*\\.[^.,]*\\.[^,]*$|^[^.]*,[^.,]*,[^.]*$")
-    if comma_decimal:
-        read = F.translate(bare, ",.", ".")
-    else:
-        read = F.translate(bare, ".,", ".")
-    return F.when(grouped, F.translate(bare, "x.,", "x")).otherwise(read)
+def number_text(bare: Column, comma_decimal: bool) -> Column:
+    """Plain decimal text under one reading; repeated separators are group marks."""
+    only_groups = bare.rlike("^[^,]*\\.[^,]*\\.[^,]*$|^[^.]*,[^.]*,[^.]*$")
+    read = F.translate(bare, ",.", ".") if comma_decimal else F.translate(bare, ",", "")
+    return F.when(bare.rlike("^[+-]?[0-9]+$"), bare).when(only_groups, F.translate(bare, ".,", "")).otherwise(read)
+
+
+def is_number_text(text: Column) -> Column:
+    return text.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$")
+
 
+def integer_digits(text: Column) -> Column:
+    return F.length(F.regexp_extract(text, "^[+-]?0*([0-9]*)", 1))
 
-def read_number(bare: Column, comma_decimal: bool, max_digits: int = vocab.DECIMAL_DIGITS) -> tuple[Column, Column]:
-    """Decimal text under one reading, plus its number of fraction digits.
 
-    The text is null when it is not a number or has more digits than allowed.
-    """
-    text = _plain(bare, comma_decimal)
-    digits = F.regexp_replace(F.regexp_replace(text, "[+.-]", ""), "^0+(?=.)", "")
-    good = text.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$") & (F.length(digits) <= max_digits)
-    scale = F.length(F.regexp_extract(text, "\\.([0-9]*)$", 1))
-    return F.when(good, text), scale
+def fraction_digits(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit(".")), F.length(text) - F.instr(text, ".")).otherwise(0)
 
 
 def to_decimal(text: Column) -> Column:

@@ -98,13 +98,16 @@ def _fold_case(text: Column) -> Column:
     # translate() keeps the first pair of a character and deletes those past the
     # end of the replacement, so the deleted marks must come last.
     kept = len(bare)
-    out = F.translate(text, accents[:kept] + wide + accents[kept:], bare + narrow)
-    out = F.lower(out)
+    out = F.lower(F.translate(text, accents[:kept] + wide + accents[kept:], bare + narrow))
     expanded = out
     for ch, several in longer:
         expanded = F.replace(expanded, F.lit(ch), F.lit(several))
     rare = "[" + "".join(ch for ch, _ in longer) + "]"
-    return F.when(out.rlike(rare), expanded).otherwise(out)
+    return (
+        F.when(~text.rlike("[^\\x00-\\x7f]"), F.lower(text))  # most labels and names end here
+        .when(~text.rlike(rare), out)
+        .otherwise(expanded)
+    )
 
 
 def _fold(text: Column) -> Column:

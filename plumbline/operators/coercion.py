@@ -20,49 +20,54 @@ KEYS = ["rid", "col_idx", "col_name"]
 
 
 def _prepared(cells: DataFrame, sentinels) -> DataFrame:
-    """Cell facts computed once and reused by every later expression."""
-    bare_cell, flag = numbers.strip_flag(F.col("cell"))
-    is_null = numbers.is_null_cell(F.col("cell"))
-    marked = cells.select(
-        *KEYS, "row_idx", "cell",
-        is_null.alias("is_null"),
-        (~is_null & numbers.is_sentinel(F.col("cell"), sentinels)).alias("is_sentinel"),
-        bare_cell.alias("body"),
-        flag.isNotNull().alias("flagged"),
+    """Cell facts, each worked out once and named before the next step uses it."""
+    text, plain = F.col("text"), F.col("plain")
+    stripped = cells.select(*KEYS, "row_idx", strip(F.col("cell")).alias("text"))
+    marked = stripped.select(
+        *KEYS, "row_idx", "text",
+        (text.isNull() | (text == "")).alias("is_null"),
+        numbers.is_sentinel(text, sentinels).alias("is_sentinel"),
+        numbers.has_flag(text).alias("flagged"),
+    )
+    body = F.when(F.col("flagged"), numbers.without_flag(text)).otherwise(text)
+    present = marked.select(
+        *KEYS, "row_idx", "text", "is_null", "is_sentinel", "flagged",
+        F.when(~F.col("is_null") & ~F.col("is_sentinel"), body).alias("body"),
+    )
+    ascii_text = present.withColumn("plain", numbers.ascii_number(F.col("body")))
+    return ascii_text.select(
+        *KEYS, "row_idx", "text", "is_null", "is_sentinel", "flagged", "body",
+        numbers.bare_number(plain).alias("bare"), numbers.unit_code(plain).alias("unit"),
     )
-    present = ~F.col("is_null") & ~F.col("is_sentinel")
-    cleaned, unit = numbers.clean_number(F.col("body"))
-    return marked.withColumns({
-        "present": present,
-        "bare": F.when(present, cleaned),
-        "unit": F.when(present, unit),
-    })
 
 
 def column_profile(cells: DataFrame, sentinels=vocab.SENTINELS, max_digits: int = vocab.DECIMAL_DIGITS) -> DataFrame:
     """One row per column: counts, the agreed reading and the resulting kind."""
-    prepared = _prepared(cells, sentinels).withColumn("reading", F.when(F.col("present"), numbers.classify(F.col("bare"))))
-    body, bare = F.col("body"), F.col("bare")
-    point_text, point_scale = numbers.read_number(bare, False, max_digits)
-    comma_text, comma_scale = numbers.read_number(bare, True, max_digits)
+    body, bare, reading = F.col("body"), F.col("bare"), F.col("reading")
+    read = _prepared(cells, sentinels).select(
+        *KEYS, "row_idx", "is_null", "is_sentinel", "flagged", "unit", "body", "bare", numbers.classify(bare).alias("reading"),
+    )
+    other = reading == "unparseable"
+    numeric = ~other
     first, second = dates.slashed_parts(body)
-    numeric = F.col("reading") != "unparseable"
-    facts = prepared.select(
-        *KEYS, "row_idx", "is_null", "is_sentinel", "present", "flagged", "unit", "reading",
-        F.when(numeric, point_text).alias("pt"), F.when(numeric, point_scale).alias("ps"),
-        F.when(numeric, comma_text).alias("ct"), F.when(numeric, comma_scale).alias("cs"),
-        F.when(~numeric | (F.col("reading") == "integer"), first).alias("d1"),
-        F.when(~numeric | (F.col("reading") == "integer"), second).alias("d2"),
-        # a four-digit number may be a year only if the column is not numeric, so dates
-        # need looking at only where a cell alone already rules the numeric reading out
-        F.when(F.col("present"), dates.unslashed_date(body).isNotNull()).alias("plain_date"),
-        F.when(~numeric, dates.slashed_date(body, True).isNotNull()).alias("day_first_date"),
-        F.when(~numeric, dates.slashed_date(body, False).isNotNull()).alias("month_first_date"),
-        F.when(F.col("present"), F.lower(strip(body)).isin(*vocab.TRUE_WORDS, *vocab.FALSE_WORDS)).alias("truth"),
+    texts = read.select(
+        *KEYS, "row_idx", "is_null", "is_sentinel", "flagged", "unit", "reading",
+        body.isNotNull().alias("present"),
+        F.when(numeric, numbers.number_text(bare, False)).alias("pt"),
+        F.when(numeric, numbers.number_text(bare, True)).alias("ct"),
+        F.when(other, first).alias("d1"), F.when(other, second).alias("d2"),
+        # cells that read as numbers can only be bare years among dates
+        F.when(other | body.rlike("^[0-9]{4}$"), dates.unslashed_date(body).isNotNull()).alias("plain_date"),
+        F.when(other, dates.slashed_date(body, True).isNotNull()).alias("day_first_date"),
+        F.when(other, dates.slashed_date(body, False).isNotNull()).alias("month_first_date"),
+        F.lower(body).isin(*vocab.TRUE_WORDS, *vocab.FALSE_WORDS).alias("truth"),
     )
-
-    def integer_digits(text: Column) -> Column:
-        return F.length(F.regexp_replace(F.regexp_extract(text, "^[+-]?([0-9]*)", 1), "^0+", ""))
+    facts = texts.withColumns({
+        "pd": F.when(numbers.is_number_text(F.col("pt")), numbers.integer_digits(F.col("pt"))),
+        "ps": numbers.fraction_digits(F.col("pt")),
+        "cd": F.when(numbers.is_number_text(F.col("ct")), numbers.integer_digits(F.col("ct"))),
+        "cs": numbers.fraction_digits(F.col("ct")),
+    })
 
     def any_of(condition: Column) -> Column:
         return F.coalesce(F.max(condition), F.lit(False))
@@ -80,12 +85,12 @@ def column_profile(cells: DataFrame, sentinels=vocab.SENTINELS, max_digits: int
         any_of(F.col("reading") == "comma_decimal").alias("has_comma"),
         any_of(F.col("reading") == "point_decimal").alias("has_point"),
         any_of(F.col("reading") == "ambiguous").alias("has_ambiguous"),
-        all_present(F.col("pt").isNotNull()).alias("point_ok"),
-        all_present(F.col("ct").isNotNull()).alias("comma_ok"),
+        all_present(F.col("pd") + F.col("ps") <= max_digits).alias("point_ok"),
+        all_present(F.col("cd") + F.col("cs") <= max_digits).alias("comma_ok"),
         F.coalesce(F.max("ps"), F.lit(0)).alias("point_scale"),
         F.coalesce(F.max("cs"), F.lit(0)).alias("comma_scale"),
-        F.coalesce(F.max(integer_digits(F.col("pt"))), F.lit(0)).alias("point_digits"),
-        F.coalesce(F.max(integer_digits(F.col("ct"))), F.lit(0)).alias("comma_digits"),
+        F.coalesce(F.max("pd"), F.lit(0)).alias("point_digits"),
+        F.coalesce(F.max("cd"), F.lit(0)).alias("comma_digits"),
         # first unit seen, in row order, packed into one number
         F.min(F.when(F.col("unit") > 0, F.col("row_idx") * 8 + F.col("unit"))).alias("unit_pack"),
         any_of(F.col("d1").isNotNull()).alias("has_slashed"),
@@ -147,27 +152,25 @@ def typed_cells(cells: DataFrame, profile: DataFrame, sentinels=vocab.SENTINELS)
     join strategy is chosen from its size at run time.
     """
     agreed = profile.select("rid", "col_idx", "kind", "comma_decimal", "day_rule")
-    prepared = _prepared(cells, sentinels).join(agreed, ["rid", "col_idx"])
-    point_text, _ = numbers.read_number(F.col("bare"), False)
-    comma_text, _ = numbers.read_number(F.col("bare"), True)
-    number_text = F.when(
-        (F.col("kind") == "decimal") & F.col("present"),
-        F.when(F.col("comma_decimal"), comma_text).otherwise(point_text),
-    )
-    moment = F.when(
-        (F.col("kind") == "temporal") & F.col("present"),
-        F.when(F.col("day_rule") == "none", dates.unslashed_date(F.col("body")))
-        .when(F.col("day_rule") == "day_first", F.coalesce(dates.unslashed_date(F.col("body")), dates.slashed_date(F.col("body"), True)))
-        .otherwise(F.coalesce(dates.unslashed_date(F.col("body")), dates.slashed_date(F.col("body"), False))),
-    )
-    truth = F.when(
-        (F.col("kind") == "boolean") & F.col("present"), F.lower(strip(F.col("body"))).isin(*vocab.TRUE_WORDS)
-    )
-    values = prepared.select(
+    kind, body, bare = F.col("kind"), F.col("body"), F.col("bare")
+    joined = _prepared(cells, sentinels).join(agreed, ["rid", "col_idx"])
+    values = joined.select(
         "rid", "row_idx", "col_idx", "col_name", "kind",
-        (F.col("flagged") & F.col("present") & (F.col("kind") != "text")).alias("flagged"),
-        number_text.alias("number_text"), moment.alias("date_value"), truth.alias("truth"),
-        F.when((F.col("kind") == "text") & F.col("present"), strip(F.col("cell"))).alias("plain"),
+        (F.col("flagged") & body.isNotNull() & (kind != "text")).alias("flagged"),
+        F.when(
+            kind == "decimal",
+            F.when(F.col("comma_decimal"), numbers.number_text(bare, True)).otherwise(numbers.number_text(bare, False)),
+        ).alias("number_text"),
+        F.when(
+            kind == "temporal",
+            F.coalesce(
+                dates.unslashed_date(body),
+                F.when(F.col("day_rule") == "day_first", dates.slashed_date(body, True))
+                .when(F.col("day_rule") == "month_first", dates.slashed_date(body, False)),
+            ),
+        ).alias("date_value"),
+        F.when((kind == "boolean") & body.isNotNull(), F.lower(body).isin(*vocab.TRUE_WORDS)).alias("truth"),
+        F.when((kind == "text") & body.isNotNull(), F.col("text")).alias("words"),
     )
     return values.select(
         "rid", "row_idx", "col_idx", "col_name", "kind", "flagged",
@@ -177,6 +180,25 @@ def typed_cells(cells: DataFrame, profile: DataFrame, sentinels=vocab.SENTINELS)
             numbers.canonical_decimal(F.col("number_text")),
             F.col("date_value").cast("string"),
             F.initcap(F.col("truth").cast("string")),
-            F.col("plain"),
+            F.col("words"),
         ).alias("text_value"),
     )
+
+
+def with_agreed_number(df: DataFrame, profile: DataFrame, column: str, out: str, sentinels=vocab.SENTINELS) -> DataFrame:
+    """Number of a wide table's text column under its agreed reading.
+
+    The reading is one scalar subquery, so the table itself is not joined, and
+    rows are not filtered: a cell without a value gives null.
+    """
+    verdict = profile.filter(F.col("col_name") == column).select(
+        F.when(F.col("kind") == "decimal", F.when(F.col("comma_decimal"), F.lit(",")).otherwise(F.lit(".")))
+    ).scalar()
+    text, plain, bare = F.col("_text"), F.col("_plain"), F.col("_bare")
+    staged = df.withColumn("_text", strip(F.col(column))).withColumn("_separator", verdict)
+    staged = staged.withColumn("_plain", numbers.ascii_number(
+        F.when(numbers.has_flag(text), numbers.without_flag(text)).when(~numbers.is_sentinel(text, sentinels), text)))
+    staged = staged.withColumn("_bare", numbers.bare_number(plain))
+    read = F.when(F.col("_separator") == ",", numbers.number_text(bare, True)).when(
+        F.col("_separator") == ".", numbers.number_text(bare, False))
+    return staged.withColumn(out, numbers.to_decimal(F.nullif(read, F.lit("")))).drop("_text", "_separator", "_plain", "_bare")

@@ -23,7 +23,7 @@ ROW_BLOCK = 1_000_000
 
 
 def is_total_label(label: Column, labels=vocab.TOTAL_ROW_LABELS) -> Column:
-    return fold(label).isin(*fold_literals(labels))
+    return fold(label).isin(*fold_literals(labels)) if labels else F.lit(False)
 
 
 def is_residual_label(label: Column, labels=vocab.RESIDUAL_ROW_LABELS) -> Column:
@@ -38,13 +38,18 @@ def label_groups(
     The label key is worked out once per distinct spelling, not once per row.
     """
     keys = list(keys)
-    used = rows.filter(F.col("label").isNotNull())
-    measures = []
     if with_value:
-        used = used.filter(F.col("value").isNotNull())
+        # rows without a value drop out after the first aggregate, so a computed
+        # value is worked out once and not a second time in a filter
+        counted = F.count("value")
+        first = F.min(F.when(F.col("value").isNotNull(), F.col("row_idx")))
         measures = [F.sum("value").alias("_sum"), F.min("value").alias("_min"), F.max("value").alias("_max")]
-    spelled = used.groupBy(*keys, "label").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("row_idx").alias("_first"), *measures
+    else:
+        counted, first, measures = F.count(F.lit(1)), F.min("row_idx"), []
+    spelled = (
+        rows.filter(F.col("label").isNotNull())
+        .groupBy(*keys, "label").agg(counted.alias("_n"), first.alias("_first"), *measures)
+        .filter(F.col("_n") > 0)
     )
     spelled = spelled.filter(~is_total_label(F.col("label"), total_labels)).withColumn("label_key", group_key(F.col("label")))
     merged = [F.sum("_sum").alias("total"), F.min("_min").alias("min_value"), F.max("_max").alias("max_value")] if with_value else []
