@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import vocab
 
-SLASHED = "^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$"
+SLASHED = "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"
+QUARTER = "^[0-9]{4}[-/]?[Qq][1-4]$"
 
 
-def _iso(year: Column, month: Column, day: Column) -> Column:
-    return F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
+def is_slashed(text: Column) -> Column:
+    return text.rlike(SLASHED)
 
 
 def slashed_parts(text: Column) -> tuple[Column, Column]:
-    """First and second component of ``a/b/yyyy``; null for other shapes."""
+    """First and second component of ``a/b/yyyy`` (only for that shape)."""
     return (
-        F.when(text.rlike(SLASHED), F.regexp_extract(text, SLASHED, 1).cast("int")),
-        F.when(text.rlike(SLASHED), F.regexp_extract(text, SLASHED, 2).cast("int")),
+        F.substring_index(text, "/", 1).try_cast("int"),
+        F.substring_index(F.substring_index(text, "/", 2), "/", -1).try_cast("int"),
     )
 
 
@@ -30,28 +31,24 @@ def unslashed_date(text: Column) -> Column:
 
     The written date counts: a time zone never moves it to another day.
     """
-    quarter = "(?i)^([0-9]{4})[-/]?Q([1-4])$"
-    start = ((F.regexp_extract(text, quarter, 2).try_cast("int") - 1) * 3 + 1).cast("string")
-    year = text.try_cast("int")
-    return (
-        F.when(
-            text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}($|[T ][0-9]{2}:[0-9]{2})"),
-            F.substring(text, 1, 10).try_cast("date"),
-        )
-        .when(text.rlike("^[0-9]{4}-[0-9]{2}$"), F.concat(text, F.lit("-01")).try_cast("date"))
-        .when(text.rlike(quarter), _iso(F.substring(text, 1, 4), start, F.lit("1")))
-        .when(
-            text.rlike("^[0-9]{4}$") & year.between(1900, 2100),
-            F.concat(text, F.lit("-01-01")).try_cast("date"),
-        )
+    return F.when(
+        text.rlike("^[0-9]{4}-[0-9]{2}(-[0-9]{2}($|[T ][0-9]{2}:[0-9]{2})|$)"), F.substring(text, 1, 10).try_cast("date")
+    ).when(
+        text.rlike("^(19[0-9]{2}|20[0-9]{2}|2100)$"), text.try_cast("date")
+    ).when(
+        text.rlike(QUARTER),
+        F.concat(
+            F.substring(text, 1, 4), F.lit("-"), F.lpad(((F.substring(text, -1, 1).try_cast("int") - 1) * 3 + 1).cast("string"), 2, "0")
+        ).try_cast("date"),
     )
 
 
 def slashed_date(text: Column, day_first: bool) -> Column:
-    first, second = F.regexp_extract(text, SLASHED, 1), F.regexp_extract(text, SLASHED, 2)
-    year = F.regexp_extract(text, SLASHED, 3)
+    """Date of ``a/b/yyyy`` under one order (only for that shape)."""
+    first = F.lpad(F.substring_index(text, "/", 1), 2, "0")
+    second = F.lpad(F.substring_index(F.substring_index(text, "/", 2), "/", -1), 2, "0")
     day, month = (first, second) if day_first else (second, first)
-    return F.when(text.rlike(SLASHED), _iso(year, month, day))
+    return F.concat_ws("-", F.substring_index(text, "/", -1), month, day).try_cast("date")
 
 
 def age_days(last_updated: Column, today: Column) -> Column:

@@ -61,26 +61,30 @@ def _digit_table() -> tuple[str, str]:
 
 
 BLANKS = "\u0020\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
-PLAIN = "^[0-9.,+-]+$"
+SIMPLE = "^[0-9.,+-]+$"
+
+
+def is_simple(text: Column) -> Column:
+    """Nothing but digits, separators and signs: no cleaning needed."""
+    return F.coalesce(text.rlike(SIMPLE), F.lit(False))
 
 
 def ascii_number(text: Column) -> Column:
     """A stripped cell in plain characters, without any blanks."""
     source, target = _digit_table()
-    return F.when(text.rlike(PLAIN), text).otherwise(F.translate(text, source + BLANKS, target))
+    return F.translate(text, source + BLANKS, target)
 
 
 def bare_number(plain: Column) -> Column:
     """The numeral of an :func:`ascii_number`: no unit, accounting negatives signed."""
     noisy = F.regexp_replace(F.translate(plain, "%€$£", ""), "(?i)EUR$", "")
-    return F.when(plain.rlike(PLAIN), plain).otherwise(F.regexp_replace(noisy, "^\\((.*)\\)$", "-$1"))
+    return F.regexp_replace(noisy, "^\\((.*)\\)$", "-$1")
 
 
 def unit_code(plain: Column) -> Column:
     """0 none, 1 %, 2 €, 3 $, 4 £."""
     return (
-        F.when(plain.rlike(PLAIN), 0)
-        .when(plain.rlike("(?i)EUR[%€$£]*$"), 2)
+        F.when(plain.rlike("(?i)EUR[%€$£]*$"), 2)
         .when(F.contains(plain, F.lit("£")), 4)
         .when(F.contains(plain, F.lit("$")), 3)
         .when(F.contains(plain, F.lit("€")), 2)
@@ -97,13 +101,21 @@ def unit_name(code: Column) -> Column:
 
 
 def classify(bare: Column) -> Column:
-    """How one numeral reads on its own: which separator it proves, if any."""
+    """How one numeral reads on its own: which separator it proves, if any.
+
+    ``grouped`` has only group marks; ``unparseable`` is no number under any reading.
+    """
     comma, point = F.contains(bare, F.lit(",")), F.contains(bare, F.lit("."))
     return (
         F.when(bare.rlike("^[+-]?[0-9]+$"), F.lit("integer"))
-        .when(~bare.rlike("^[+-]?[0-9.,]+$"), F.lit("unparseable"))
-        .when(comma & point, F.when(bare.rlike(",[^.]*$"), F.lit("comma_decimal")).otherwise(F.lit("point_decimal")))
-        .when(bare.rlike("[.,].*[.,]"), F.lit("integer"))
+        .when(~bare.rlike("^[+-]?[.,]*[0-9][0-9.,]*$"), F.lit("unparseable"))
+        .when(
+            comma & point,
+            F.when(bare.rlike("^[^,]*,[^.,]*$"), F.lit("comma_decimal"))
+            .when(bare.rlike("^[^.]*\\.[^.,]*$"), F.lit("point_decimal"))
+            .otherwise(F.lit("unparseable")),
+        )
+        .when(bare.rlike("[.,].*[.,]"), F.lit("grouped"))
         .when(bare.rlike("[.,][0-9]{3}$"), F.lit("ambiguous"))
         .when(comma, F.lit("comma_decimal"))
         .otherwise(F.lit("point_decimal"))
@@ -112,21 +124,19 @@ def classify(bare: Column) -> Column:
 
 def number_text(bare: Column, comma_decimal: bool) -> Column:
     """Plain decimal text under one reading; repeated separators are group marks."""
-    only_groups = bare.rlike("^[^,]*\\.[^,]*\\.[^,]*$|^[^.]*,[^.]*,[^.]*$")
     read = F.translate(bare, ",.", ".") if comma_decimal else F.translate(bare, ",", "")
-    return F.when(bare.rlike("^[+-]?[0-9]+$"), bare).when(only_groups, F.translate(bare, ".,", "")).otherwise(read)
-
-
-def is_number_text(text: Column) -> Column:
-    return text.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$")
+    only_groups = bare.rlike("^[^,]*\\.[^,]*\\.[^,]*$|^[^.]*,[^.]*,[^.]*$")
+    return F.when(only_groups, F.translate(bare, ".,", "")).otherwise(read)
 
 
-def integer_digits(text: Column) -> Column:
-    return F.length(F.regexp_extract(text, "^[+-]?0*([0-9]*)", 1))
+def digit_count(bare: Column) -> Column:
+    """Digits of a numeral without leading zeros."""
+    return F.length(F.ltrim(F.translate(bare, "+-.,", ""), F.lit("0")))
 
 
-def fraction_digits(text: Column) -> Column:
-    return F.when(F.contains(text, F.lit(".")), F.length(text) - F.instr(text, ".")).otherwise(0)
+def digits_after(bare: Column, mark: str) -> Column:
+    """Digits behind the decimal mark; 0 when it does not occur."""
+    return F.when(F.contains(bare, F.lit(mark)), F.length(bare) - F.instr(bare, mark)).otherwise(0)
 
 
 def to_decimal(text: Column) -> Column:

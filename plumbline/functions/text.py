@@ -14,12 +14,15 @@ from plumbline.functions import vocab
 GREEK = "[\\u0370-\\u03ff\\u1f00-\\u1fff]"
 # Unicode white space plus the zero-width marks that publishers leave behind.
 SPACES = "[\\s\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200d\\u2028\\u2029\\u202f\\u205f\\u3000]+"
-EDGE_SPACES = "^" + SPACES + "|" + SPACES + "$"
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200E)))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.regexp_replace(text, EDGE_SPACES, "")
+    return F.trim(text, F.lit(SPACE_CHARS))
 
 
 @lru_cache(maxsize=None)

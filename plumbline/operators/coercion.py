@@ -21,53 +21,69 @@ KEYS = ["rid", "col_idx", "col_name"]
 
 def _prepared(cells: DataFrame, sentinels) -> DataFrame:
     """Cell facts, each worked out once and named before the next step uses it."""
-    text, plain = F.col("text"), F.col("plain")
-    stripped = cells.select(*KEYS, "row_idx", strip(F.col("cell")).alias("text"))
+    text, plain, simple = F.col("text"), F.col("plain"), F.col("simple")
+    keep = [*KEYS, "row_idx", *(["n"] if "n" in cells.columns else [])]
+    stripped = cells.select(*keep, strip(F.col("cell")).alias("text")).withColumn("simple", numbers.is_simple(text))
     marked = stripped.select(
-        *KEYS, "row_idx", "text",
+        *keep, "text", "simple",
         (text.isNull() | (text == "")).alias("is_null"),
         numbers.is_sentinel(text, sentinels).alias("is_sentinel"),
-        numbers.has_flag(text).alias("flagged"),
+        F.when(simple, F.lit(False)).otherwise(numbers.has_flag(text)).alias("flagged"),
     )
     body = F.when(F.col("flagged"), numbers.without_flag(text)).otherwise(text)
     present = marked.select(
-        *KEYS, "row_idx", "text", "is_null", "is_sentinel", "flagged",
+        *keep, "text", "simple", "is_null", "is_sentinel", "flagged",
         F.when(~F.col("is_null") & ~F.col("is_sentinel"), body).alias("body"),
     )
-    ascii_text = present.withColumn("plain", numbers.ascii_number(F.col("body")))
-    return ascii_text.select(
-        *KEYS, "row_idx", "text", "is_null", "is_sentinel", "flagged", "body",
-        numbers.bare_number(plain).alias("bare"), numbers.unit_code(plain).alias("unit"),
+    plain_text = present.withColumn("plain", F.when(~simple, numbers.ascii_number(F.col("body"))))
+    return plain_text.select(
+        *keep, "text", "is_null", "is_sentinel", "flagged", "body",
+        F.when(simple, F.col("body")).otherwise(numbers.bare_number(plain)).alias("bare"),
+        F.when(simple, F.lit(0)).otherwise(numbers.unit_code(plain)).alias("unit"),
     )
 
 
+def distinct_cells(cells: DataFrame) -> DataFrame:
+    """One row per (table, column, written text) with its count and first row.
+
+    Published columns repeat themselves; parsing each spelling once instead of
+    each cell is what keeps the later steps small.
+    """
+    return cells.groupBy(*KEYS, "cell").agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("row_idx"))
+
+
 def column_profile(cells: DataFrame, sentinels=vocab.SENTINELS, max_digits: int = vocab.DECIMAL_DIGITS) -> DataFrame:
-    """One row per column: counts, the agreed reading and the resulting kind."""
+    """One row per column: counts, the agreed reading and the resulting kind.
+
+    Takes cells, or :func:`distinct_cells`, whose ``n`` then weighs the counts.
+    """
+    weighted = "n" in cells.columns
     body, bare, reading = F.col("body"), F.col("bare"), F.col("reading")
-    read = _prepared(cells, sentinels).select(
-        *KEYS, "row_idx", "is_null", "is_sentinel", "flagged", "unit", "body", "bare", numbers.classify(bare).alias("reading"),
-    )
-    other = reading == "unparseable"
-    numeric = ~other
+    read = _prepared(cells, sentinels).withColumn("reading", numbers.classify(bare))
+    dated = (reading == "unparseable") & body.rlike("^[0-9]")
+    shaped = read.withColumns({
+        "numeric": reading != "unparseable",
+        "slashed": F.when(dated, dates.is_slashed(body)),
+        # cells that read as numbers can only be bare years among dates
+        "plain_date": F.when(dated | body.rlike("^[0-9]{4}$"), dates.unslashed_date(body).isNotNull()),
+    })
+    slashed, numeric = F.col("slashed"), F.col("numeric")
     first, second = dates.slashed_parts(body)
-    texts = read.select(
-        *KEYS, "row_idx", "is_null", "is_sentinel", "flagged", "unit", "reading",
+    fraction = reading.isin("comma_decimal", "point_decimal", "ambiguous")
+    facts = shaped.select(
+        *KEYS, "row_idx", *(["n"] if weighted else []), "is_null", "is_sentinel", "flagged", "unit", "reading", "plain_date", "slashed",
         body.isNotNull().alias("present"),
-        F.when(numeric, numbers.number_text(bare, False)).alias("pt"),
-        F.when(numeric, numbers.number_text(bare, True)).alias("ct"),
-        F.when(other, first).alias("d1"), F.when(other, second).alias("d2"),
-        # cells that read as numbers can only be bare years among dates
-        F.when(other | body.rlike("^[0-9]{4}$"), dates.unslashed_date(body).isNotNull()).alias("plain_date"),
-        F.when(other, dates.slashed_date(body, True).isNotNull()).alias("day_first_date"),
-        F.when(other, dates.slashed_date(body, False).isNotNull()).alias("month_first_date"),
-        F.lower(body).isin(*vocab.TRUE_WORDS, *vocab.FALSE_WORDS).alias("truth"),
+        F.when(numeric, numbers.digit_count(bare)).alias("digits"),
+        F.when(numeric & fraction, numbers.digits_after(bare, ".")).otherwise(0).alias("ps"),
+        F.when(numeric & fraction, numbers.digits_after(bare, ",")).otherwise(0).alias("cs"),
+        F.when(slashed, first).alias("d1"), F.when(slashed, second).alias("d2"),
+        F.when(slashed, dates.slashed_date(body, True).isNotNull()).alias("day_first_date"),
+        F.when(slashed, dates.slashed_date(body, False).isNotNull()).alias("month_first_date"),
+        F.when(F.length(body) <= 5, F.lower(body).isin(*vocab.TRUE_WORDS, *vocab.FALSE_WORDS)).alias("truth"),
     )
-    facts = texts.withColumns({
-        "pd": F.when(numbers.is_number_text(F.col("pt")), numbers.integer_digits(F.col("pt"))),
-        "ps": numbers.fraction_digits(F.col("pt")),
-        "cd": F.when(numbers.is_number_text(F.col("ct")), numbers.integer_digits(F.col("ct"))),
-        "cs": numbers.fraction_digits(F.col("ct")),
-    })
+
+    def number_of(condition: Column) -> Column:
+        return F.sum(F.when(condition, F.col("n")).otherwise(0)) if weighted else F.count_if(condition)
 
     def any_of(condition: Column) -> Column:
         return F.coalesce(F.max(condition), F.lit(False))
@@ -76,24 +92,23 @@ def column_profile(cells: DataFrame, sentinels=vocab.SENTINELS, max_digits: int
         return F.coalesce(F.min(F.when(F.col("present"), F.coalesce(condition, F.lit(False)))), F.lit(False))
 
     counted = facts.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if("is_null").alias("null_count"),
-        F.count_if("is_sentinel").alias("sentinel_count"),
-        F.count_if("present").alias("non_null"),
-        F.count_if(F.col("present") & F.col("flagged")).alias("flagged_count"),
+        number_of(F.lit(True)).alias("n_rows"),
+        number_of(F.col("is_null")).alias("null_count"),
+        number_of(F.col("is_sentinel")).alias("sentinel_count"),
+        number_of(F.col("present")).alias("non_null"),
+        number_of(F.col("present") & F.col("flagged")).alias("flagged_count"),
         any_of(F.col("reading") == "unparseable").alias("has_other"),
         any_of(F.col("reading") == "comma_decimal").alias("has_comma"),
         any_of(F.col("reading") == "point_decimal").alias("has_point"),
         any_of(F.col("reading") == "ambiguous").alias("has_ambiguous"),
-        all_present(F.col("pd") + F.col("ps") <= max_digits).alias("point_ok"),
-        all_present(F.col("cd") + F.col("cs") <= max_digits).alias("comma_ok"),
-        F.coalesce(F.max("ps"), F.lit(0)).alias("point_scale"),
-        F.coalesce(F.max("cs"), F.lit(0)).alias("comma_scale"),
-        F.coalesce(F.max("pd"), F.lit(0)).alias("point_digits"),
-        F.coalesce(F.max("cd"), F.lit(0)).alias("comma_digits"),
+        F.coalesce(F.max("digits"), F.lit(0)).alias("digits"),
+        F.max("ps").alias("point_scale"),
+        F.max("cs").alias("comma_scale"),
+        F.coalesce(F.max(F.col("digits") - F.col("ps")), F.lit(0)).alias("point_digits"),
+        F.coalesce(F.max(F.col("digits") - F.col("cs")), F.lit(0)).alias("comma_digits"),
         # first unit seen, in row order, packed into one number
         F.min(F.when(F.col("unit") > 0, F.col("row_idx") * 8 + F.col("unit"))).alias("unit_pack"),
-        any_of(F.col("d1").isNotNull()).alias("has_slashed"),
+        any_of(F.col("slashed")).alias("has_slashed"),
         any_of(F.col("d1") > 12).alias("first_over_12"),
         any_of(F.col("d2") > 12).alias("second_over_12"),
         all_present(F.col("plain_date")).alias("plain_ok"),
@@ -105,7 +120,7 @@ def column_profile(cells: DataFrame, sentinels=vocab.SENTINELS, max_digits: int
     agreed = (
         ~F.col("has_other") & ~(comma & F.col("has_point"))
         & (comma | F.col("has_point") | ~F.col("has_ambiguous"))
-        & F.when(comma, F.col("comma_ok")).otherwise(F.col("point_ok"))
+        & (F.col("digits") <= max_digits)
     )
     scale = F.when(comma, F.col("comma_scale")).otherwise(F.col("point_scale"))
     fits = (scale <= MAX_SCALE) & (
@@ -154,8 +169,9 @@ def typed_cells(cells: DataFrame, profile: DataFrame, sentinels=vocab.SENTINELS)
     agreed = profile.select("rid", "col_idx", "kind", "comma_decimal", "day_rule")
     kind, body, bare = F.col("kind"), F.col("body"), F.col("bare")
     joined = _prepared(cells, sentinels).join(agreed, ["rid", "col_idx"])
+    weight = ["n"] if "n" in cells.columns else []
     values = joined.select(
-        "rid", "row_idx", "col_idx", "col_name", "kind",
+        "rid", "row_idx", *weight, "col_idx", "col_name", "kind",
         (F.col("flagged") & body.isNotNull() & (kind != "text")).alias("flagged"),
         F.when(
             kind == "decimal",
@@ -163,17 +179,16 @@ def typed_cells(cells: DataFrame, profile: DataFrame, sentinels=vocab.SENTINELS)
         ).alias("number_text"),
         F.when(
             kind == "temporal",
-            F.coalesce(
-                dates.unslashed_date(body),
-                F.when(F.col("day_rule") == "day_first", dates.slashed_date(body, True))
-                .when(F.col("day_rule") == "month_first", dates.slashed_date(body, False)),
-            ),
+            F.when(F.col("day_rule") == "none", dates.unslashed_date(body))
+            .when(~dates.is_slashed(body), dates.unslashed_date(body))
+            .when(F.col("day_rule") == "day_first", dates.slashed_date(body, True))
+            .otherwise(dates.slashed_date(body, False)),
         ).alias("date_value"),
         F.when((kind == "boolean") & body.isNotNull(), F.lower(body).isin(*vocab.TRUE_WORDS)).alias("truth"),
         F.when((kind == "text") & body.isNotNull(), F.col("text")).alias("words"),
     )
     return values.select(
-        "rid", "row_idx", "col_idx", "col_name", "kind", "flagged",
+        "rid", "row_idx", *weight, "col_idx", "col_name", "kind", "flagged",
         numbers.to_decimal(F.col("number_text")).alias("number"),
         "date_value", "truth",
         F.coalesce(

@@ -49,9 +49,10 @@ def label_groups(
     spelled = (
         rows.filter(F.col("label").isNotNull())
         .groupBy(*keys, "label").agg(counted.alias("_n"), first.alias("_first"), *measures)
-        .filter(F.col("_n") > 0)
+        # tied to the count, so that the label test stays above the aggregate
+        .filter(F.when(F.col("_n") > 0, ~is_total_label(F.col("label"), total_labels)).otherwise(False))
     )
-    spelled = spelled.filter(~is_total_label(F.col("label"), total_labels)).withColumn("label_key", group_key(F.col("label")))
+    spelled = spelled.withColumn("label_key", group_key(F.col("label")))
     merged = [F.sum("_sum").alias("total"), F.min("_min").alias("min_value"), F.max("_max").alias("max_value")] if with_value else []
     return spelled.groupBy(*keys, "label_key").agg(
         F.sum("_n").alias("n"),

@@ -20,15 +20,20 @@ ROW_BLOCK = 1_000_000
 
 
 def value_counts(typed: DataFrame) -> DataFrame:
-    """One row per (table, column, distinct value)."""
+    """One row per (table, column, distinct value).
+
+    Takes typed cells, or typed :func:`~plumbline.operators.coercion.distinct_cells`,
+    whose ``n`` then weighs the counts.
+    """
+    n = F.col("n") if "n" in typed.columns else F.lit(1)
     return (
         typed.filter(F.col("text_value").isNotNull())
         .groupBy("rid", "col_idx", "kind", "text_value")
         .agg(
-            F.count(F.lit(1)).alias("n"),
+            F.sum(n).alias("n"),
             F.min("row_idx").alias("first_row"),
             F.max("number").alias("number"),
-            F.min(F.col("number") == F.col("row_idx") + 1).alias("dense"),
+            F.min((F.col("number") == F.col("row_idx") + 1) & (n == 1)).alias("dense"),
         )
     )
 

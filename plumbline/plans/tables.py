@@ -36,9 +36,10 @@ def analyse_tables(cells: DataFrame, tables: DataFrame, write: bool = True) -> T
     ``write`` they are written once to the shared folder and read from there.
     """
     keep = materialise if write else (lambda df, name: df)
-    profile = keep(coercion.column_profile(cells), "profile")
+    distinct = keep(coercion.distinct_cells(cells), "distinct")
+    profile = keep(coercion.column_profile(distinct), "profile")
     typed = keep(coercion.typed_cells(cells, profile), "typed")
-    values = keep(roles.value_counts(typed), "values")
+    values = keep(roles.value_counts(coercion.typed_cells(distinct, profile)), "values")
     column_roles = keep(roles.column_roles(typed, profile, values, tables), "roles")
     bound = keep(roles.bindings(column_roles), "bindings")
     rows = assemble_rows(typed, roles.slots(bound)).select(
