@@ -9,7 +9,7 @@ from plumbline.functions import dates, numbers
 from plumbline.operators import coercion, roles
 from plumbline.operators.cells import cells_from_table
 from plumbline.plans import tables as plan
-from plumbline.plans.registry import query, table
+from plumbline.plans.registry import query, spread, table
 from plumbline.session import materialise
 
 
@@ -27,7 +27,7 @@ def day(column: str) -> Column:
 
 
 def lineitem_texts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").select(
+    return spread(table(spark, folder, "lineitem")).select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_idx"),
         F.col("l_orderkey").cast("string").alias("order_id"), F.col("l_partkey").cast("string").alias("part_id"),
         F.col("l_suppkey").cast("string").alias("l_suppkey"), F.col("l_linenumber").cast("string").alias("l_linenumber"),
@@ -49,7 +49,7 @@ def lineitem_cells(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def orders_cells(spark: SparkSession, folder: str) -> DataFrame:
-    texts = table(spark, folder, "orders").select(
+    texts = spread(table(spark, folder, "orders")).select(
         F.col("o_orderkey").alias("row_idx"), F.col("o_orderkey").cast("string").alias("order_id"),
         F.col("o_custkey").cast("string").alias("o_custkey"), "o_orderstatus", fixed("o_totalprice").alias("o_totalprice"),
         day("o_orderdate").alias("o_orderdate"), "o_orderpriority")
@@ -57,7 +57,7 @@ def orders_cells(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def part_cells(spark: SparkSession, folder: str) -> DataFrame:
-    texts = table(spark, folder, "part").select(
+    texts = spread(table(spark, folder, "part")).select(
         F.col("p_partkey").alias("row_idx"), F.col("p_partkey").cast("string").alias("part_id"), "p_name", "p_brand", "p_type",
         F.col("p_size").cast("string").alias("p_size"), fixed("p_retailprice").alias("p_retailprice"))
     return cells_from_table(texts, F.lit("part"), F.col("row_idx"), texts.columns[1:])
@@ -163,7 +163,7 @@ def role_classification(spark: SparkSession, folder: str) -> DataFrame:
 def row_total_columns(spark: SparkSession, folder: str) -> DataFrame:
     """Columns that add up the other numeric columns of their row."""
     tax = F.when(F.col("l_tax") > 0, F.col("l_tax").cast("decimal(18,2)"))
-    texts = table(spark, folder, "lineitem").select(
+    texts = spread(table(spark, folder, "lineitem")).select(
         F.col("l_returnflag").alias("rid"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_idx"),
         fixed("l_quantity").alias("quantity"), fixed("l_linenumber").alias("lines"), tax.cast("string").alias("tax"),
         (F.col("l_quantity").cast("decimal(18,2)") + F.col("l_linenumber").cast("decimal(18,2)") + tax).cast("string").alias("total"))
@@ -184,7 +184,7 @@ def row_total_columns(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def locale_decimal_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Prices written in two locales, read back and written again."""
-    rows = table(spark, folder, "lineitem").select(
+    rows = spread(table(spark, folder, "lineitem")).select(
         "l_returnflag", F.col("l_extendedprice").cast("decimal(18,2)").alias("v"),
         F.format_number(F.col("l_extendedprice").cast("decimal(18,2)"), 2).alias("en"), money("l_extendedprice").alias("el"))
     read = rows.select(
@@ -254,7 +254,7 @@ def day_text(moment: Column) -> Column:
     select rid, col_name, case max(v) when 'N' then 'False' else max(v) end as value from c group by rid, col_name having count(distinct v) = 1
 """)
 def constant_columns(spark: SparkSession, folder: str) -> DataFrame:
-    texts = table(spark, folder, "lineitem").select(
+    texts = spread(table(spark, folder, "lineitem")).select(
         F.col("l_returnflag").alias("rid"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_idx"),
         F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_linenumber").cast("string").alias("line"))
     cells = cells_from_table(texts, F.col("rid"), F.col("row_idx"), ["flag", "status", "line"])

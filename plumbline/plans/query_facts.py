@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import coercion, facts
 from plumbline.operators.cells import cells_from_table
 from plumbline.operators.sequences import order_breaks
-from plumbline.plans.registry import query, table
+from plumbline.plans.registry import query, spread, table
 
 # The grouping key in SQL, for labels without exotic scripts.
 SQL_KEY = "replace(lower(strip_accents(translate({0}, 'ABEZHIKMNOPTXY', 'ΑΒΕΖΗΙΚΜΝΟΡΤΧΥ'))), 'ß', 'ss')"
@@ -45,7 +45,7 @@ def _topn_sql(base: str, fact: str, n: int, keys: str = "") -> str:
 
 def priced_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Line items with a price written as ``1.234,56`` and read back as a column."""
-    lines = table(spark, folder, "lineitem").select(
+    lines = spread(table(spark, folder, "lineitem")).select(
         "l_partkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_idx"),
         F.translate(F.format_number(F.col("l_extendedprice").cast("decimal(18,2)"), 2), ",.", ".,").alias("price"),
     )
