@@ -62,7 +62,7 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     m as (select label as qid, list(m order by i) as e from (select label, i, avg(cast(v as double)) as m from c group by all) group by label),
     s as (select qid, vec_id as doc_id, round(list_cosine_similarity(m.e, cast(embedding as double[])), 6) as score from m, embeddings),
     r as (select *, row_number() over (partition by qid order by score desc, doc_id) - 1 as rank from s)
-    select cast(qid as bigint) as qid, doc_id, round(score, 5) as score, cast(rank as bigint) as rank from r where rank < 10
+    select cast(qid as bigint) as qid, doc_id, score, cast(rank as bigint) as rank from r where rank < 10
 """)
 def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Nearest passages of every label's mean vector."""
@@ -71,7 +71,7 @@ def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
     means = spots.groupBy(F.col("label").cast("long").alias("qid")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("embedding"))
     hits = retrieval.dense_topk(vectors, means, 10)
-    return hits.select("qid", "doc_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return hits.select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def token_bucket(term: Column) -> Column:
@@ -88,8 +88,11 @@ SQL_VECTORS = f"""
     bk as (select 'd' as t, doc_id as id, unnest(toks) as w from doc union all
            select 'q', item_id, unnest({SQL_TOKENS.format('text')}) from benchmark),
     vec as (select t, id, (length(w) * 31 + ascii(w) * 17 + ascii(right(w, 1)) * 7) % {DIM} as b, count(*) as c from bk group by all),
-    unit as (select t, id, b, c / sqrt(sum(c * c) over (partition by t, id)) as x from vec),
-    dn as (select q.id as qid, d.id as doc_id, round(sum(q.x * d.x), 6) as score from unit q join unit d using (b) where q.t = 'q' and d.t = 'd' group by all)
+    single as (select t, id, b, cast(cast(c / sqrt(sum(c * c) over (partition by t, id)) as float) as double) as x from vec),
+    unit as (select t, id, b, x / sqrt(sum(x * x) over (partition by t, id)) as x from single),
+    hit as (select q.id as qid, d.id as doc_id, round(sum(q.x * d.x), 6) as score from unit q join unit d using (b) where q.t = 'q' and d.t = 'd' group by all),
+    dn as (select qid, doc_id, score from hit union all
+           select item_id, doc_id, 0.0 from benchmark, doc where len(toks) = 0)
 """
 SQL_FUSED = """
     lex as (select qid, doc_id, row_number() over (partition by qid order by score desc, doc_id) - 1 as rank from bm),
@@ -107,9 +110,12 @@ def fused_hits(spark: SparkSession, folder: str, top_k: int) -> DataFrame:
     return retrieval.rrf_fuse([dense, lexical], top_k=top_k)
 
 
-@query("rrf_hybrid")
+@query("rrf_hybrid", f"""
+    with {SQL_INDEX}, {SQL_VECTORS}, {SQL_FUSED}
+    select qid, doc_id, score, cast(rank as bigint) as rank from fr where rank < 10
+""")
 def rrf_hybrid(spark: SparkSession, folder: str) -> DataFrame:
-    """Hybrid search; dense scores are single precision, so there is no exact SQL."""
+    """Hybrid search: token vectors and BM25, fused."""
     return fused_hits(spark, folder, 10).select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -220,8 +226,8 @@ def refreshed_vectors(spark: SparkSession, folder: str) -> DataFrame:
     with t as (select 'd' as kind, doc_id as id, lower(text) as s from documents union all select 'c', conv_id * 100000 + turn, lower(text) from conversations),
     w as (select kind, id, s, regexp_extract_all(s, '[a-zͰ-Ͽἀ-῿]+') as ws from t)
     select kind, id, case when regexp_matches(s, '[Ͱ-Ͽἀ-῿]') then 'el'
-        when len(list_filter(ws, x -> list_contains(['pos', 'sto', 'tou', 'ton', 'tis', 'kai', 'ana', 'gia', 'apo', 'tha', 'que', 'le', 'de', 'la'], x)))
-           > len(list_filter(ws, x -> list_contains(['the', 'is', 'of', 'and', 'for', 'with', 'by', 'on', 'at', 'an', 'that', 'was'], x))) then 'greeklish' else 'en' end as label
+        when len(list_filter(ws, lambda x: list_contains(['pos', 'sto', 'tou', 'ton', 'tis', 'kai', 'ana', 'gia', 'apo', 'tha', 'que', 'le', 'de', 'la'], x)))
+           > len(list_filter(ws, lambda x: list_contains(['the', 'is', 'of', 'and', 'for', 'with', 'by', 'on', 'at', 'an', 'that', 'was'], x))) then 'greeklish' else 'en' end as label
     from w
 """)
 def language_label(spark: SparkSession, folder: str) -> DataFrame:
