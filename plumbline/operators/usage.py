@@ -41,8 +41,9 @@ def summary_columns() -> list[Column]:
 def summary(answers: DataFrame) -> DataFrame:
     """Overall counters and latency percentiles, one row (also for no answers)."""
     exact = exact_percentiles(answers, F.coalesce("total_ms", F.lit(0.0)), (50, 95))
-    totals = answers.agg(*summary_columns()).withColumn("_one", F.lit(1))
-    return totals.join(exact.withColumn("_one", F.lit(1)), "_one", "left").drop("_one").fillna(0.0, ["p50", "p95"])
+    found = exact.select(F.struct("p50", "p95")).scalar()
+    totals = answers.agg(*summary_columns()).withColumn("_p", found)
+    return totals.withColumns({p: F.coalesce(F.col("_p")[p], F.lit(0.0)) for p in ("p50", "p95")}).drop("_p")
 
 
 def breakdowns(answers: DataFrame) -> DataFrame:
@@ -89,7 +90,7 @@ def exact_percentiles(rows: DataFrame, value: Column, percents: Sequence[int], k
 
 
 def value_block(value: Column) -> Column:
-    """Order-preserving block of a number: sign, then eighths of powers of two."""
+    """Order-preserving block of a number: sign, then 64ths of powers of two."""
     size = F.floor(F.log2(F.abs(value) + 1) * 64)
     return F.when(value < 0, -size - 1).otherwise(size).cast("long")
 

@@ -1 +1,162 @@
-"""Queries, to come."""
+"""Payloads made by Spark from the tables, read back as tables of text."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.plans.registry import query, spread, table
+from plumbline.session import materialise
+from plumbline.sources import payloads
+
+
+@query("payload_kind", """
+    with b as (select 'page' as src, page_id as id, html as body from pages union all select 'event', event_id, props from events
+               union all select 'document', doc_id, case doc_id % 5 when 0 then '%PDF-1.7 ' || text when 1 then '  ' when 2 then '<?xml version="1.0"?>' || text else text end from documents),
+    k as (select *, lower(trim(body, ' ' || chr(10) || chr(9) || chr(13))) as p from b),
+    n as (select *, case when p = '' then 'empty' when starts_with(body, '%PDF') then 'pdf' when starts_with(p, '<!doctype html') or starts_with(p, '<html') then 'html'
+                         when starts_with(p, '<?xml') then 'xml' when starts_with(p, '{') or starts_with(p, '[') then 'json' else 'csv' end as kind from k)
+    select src, id, kind, case when kind = 'empty' then 'resource returned an empty body'
+        when kind not in ('csv', 'json') then 'resource declared csv but the body looks like ' || kind end as error from n
+""")
+def payload_kind(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    body = (
+        F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("%PDF-1.7 "), "text")).when(F.col("doc_id") % 5 == 1, F.lit("  "))
+        .when(F.col("doc_id") % 5 == 2, F.concat(F.lit('<?xml version="1.0"?>'), "text")).otherwise(F.col("text")))
+    bodies = (
+        table(spark, folder, "pages").select(F.lit("page").alias("src"), F.col("page_id").alias("id"), F.col("html").cast("binary").alias("content"))
+        .unionByName(table(spark, folder, "events").select(F.lit("event").alias("src"), F.col("event_id").alias("id"), F.col("props").cast("binary").alias("content")))
+        .unionByName(docs.select(F.lit("document").alias("src"), F.col("doc_id").alias("id"), body.cast("binary").alias("content"))))
+    kinds = bodies.select("src", "id", payloads.payload_kind(F.col("content")).alias("kind"))
+    return kinds.select("src", "id", "kind", payloads.kind_error(F.col("kind"), F.lit(" CSV ")).alias("error"))
+
+
+@query("encoding_audit", """
+    select doc_id, case when doc_id % 2 = 0 then 'utf-8' end as declared_charset, doc_id % 3 <> 0 as valid_utf8,
+           doc_id % 3 = 0 or contains(text, chr(65533)) as replacement_chars
+    from documents
+""")
+def encoding_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as bodies, some with a broken byte, some without a declared charset."""
+    text = F.col("text").cast("binary")
+    bodies = table(spark, folder, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(text, F.unhex(F.lit("FF")))).otherwise(text).alias("content"),
+        F.when(F.col("doc_id") % 2 == 0, "text/csv; charset=UTF-8").otherwise("text/csv").alias("content_type"))
+    audit = payloads.encoding_audit(F.col("content"), F.col("content_type"))
+    return bodies.select("doc_id", *audit).select("doc_id", "declared_charset", "valid_utf8", "replacement_chars")
+
+
+def customer_files(spark: SparkSession, folder: str) -> DataFrame:
+    """One small file per customer, in the shapes publishers use."""
+    shape, name = F.col("c_custkey") % 6, F.col("c_name")
+    cents = F.round(F.col("c_acctbal") * 100).cast("long").cast("string")
+    rows = F.concat(name, F.lit(";"), cents, F.lit(";"), "c_mktsegment", F.lit("\n"), name, F.lit(" b;7;\n"))
+    header = F.lit("name;cents;segment\n")
+    body = (
+        F.when(shape == 0, F.concat(header, rows))
+        .when(shape == 1, F.concat(F.lit("sep=;\r\n"), header, rows))
+        .when(shape == 2, F.concat(F.lit(";;\nCustomers;;\n"), header, rows))
+        .when(shape == 3, F.concat(header, rows, F.lit("* provisional;;\n")))
+        .when(shape == 4, F.concat(F.lit("﻿"), header, rows, F.lit("broken;lin")))
+        .otherwise(F.lit("no table\n")))
+    return spread(table(spark, folder, "customer")).select(
+        F.concat(F.lit("c"), "c_custkey").alias("rid"), body.cast("binary").alias("content"), (shape != 4).alias("body_complete"))
+
+
+SQL_CUSTOMER = """
+    c as (select 'c' || c_custkey as rid, c_custkey % 6 as shape, c_name, cast(round(c_acctbal * 100) as bigint) as cents, c_mktsegment from customer)
+"""
+
+
+@query("csv_payload_tables", f"""
+    with {SQL_CUSTOMER}
+    select rid, cast(case when shape = 5 then 0 else 2 end as bigint) as row_count, case when shape < 5 then shape <> 4 end as complete,
+           case when shape = 4 then 'byte_cap' end as incomplete_reason,
+           cast(case shape when 2 then 2 when 3 then 1 else 0 end as bigint) as dropped_rows, case when shape < 5 then ';' else ',' end as delimiter,
+           case when shape = 5 then 'malformed' end as error_kind from c
+""")
+def csv_payload_tables(spark: SparkSession, folder: str) -> DataFrame:
+    files = customer_files(spark, folder)
+    parsed = materialise(payloads.parse_delimited(files), "parsed")
+    found = payloads.payload_tables(parsed, files)
+    return found.select(
+        "rid", F.col("row_count").cast("long").alias("row_count"), F.when(F.col("error_kind").isNull(), F.col("complete")).alias("complete"),
+        "incomplete_reason", F.col("dropped_rows").cast("long").alias("dropped_rows"), "delimiter", "error_kind")
+
+
+@query("csv_payload_cells", f"""
+    with {SQL_CUSTOMER}
+    select rid, cast(0 as bigint) as row_idx, unnest(['name', 'cents', 'segment']) as col_name, unnest([c_name, cast(cents as varchar), c_mktsegment]) as cell from c where shape < 5
+    union all select rid, 1, unnest(['name', 'cents', 'segment']), unnest([c_name || ' b', '7', '']) from c where shape < 5
+""")
+def csv_payload_cells(spark: SparkSession, folder: str) -> DataFrame:
+    parsed = payloads.parse_delimited(customer_files(spark, folder))
+    return payloads.payload_cells(parsed).select("rid", "row_idx", "col_name", "cell")
+
+
+@query("source_types", f"""
+    select 'c' || c_custkey as rid, unnest(['name', 'cents', 'segment']) as col_name, unnest(['text', 'integer', 'text']) as source_type from customer where c_custkey % 6 < 5
+""")
+def source_types(spark: SparkSession, folder: str) -> DataFrame:
+    parsed = payloads.parse_delimited(customer_files(spark, folder))
+    return payloads.source_types(payloads.payload_cells(parsed)).select("rid", "col_name", "source_type")
+
+
+def event_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as JSON payloads: a list, an object with one list, or no table at all."""
+    props, kind = F.col("props"), F.to_json(F.struct("event_type", F.struct("user_id").alias("who")))
+    records = F.concat(F.lit("["), props, F.lit(","), kind, F.lit("]"))
+    body = (
+        F.when(F.col("event_id") % 3 == 0, records)
+        .when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"count": 2, "rows": '), records, F.lit("}")))
+        .otherwise(props))
+    return table(spark, folder, "events").select(F.col("event_id").alias("rid"), body.alias("content"))
+
+
+SQL_K = "cast(json_extract_string(props, '$.k') as varchar)"
+
+
+@query("json_records_union_header", f"""
+    select event_id as rid, cast(r as bigint) as row_idx, unnest(['k', 'event_type', 'who']) as col_name, cast(unnest([0, 1, 2]) as bigint) as col_idx,
+           unnest(case r when 0 then [{SQL_K}, null, null] else [null, event_type, '{{"user_id":' || user_id || '}}'] end) as cell
+    from events, (select unnest([0, 1]) as r) where event_id % 3 < 2
+""")
+def json_records_union_header(spark: SparkSession, folder: str) -> DataFrame:
+    rows = materialise(payloads.parse_records(event_records(spark, folder)), "records")
+    cells = payloads.record_cells(rows, payloads.record_header(rows))
+    return cells.select("rid", "row_idx", "col_name", F.col("col_idx").cast("long").alias("col_idx"), "cell")
+
+
+@query("json_record_errors", "select event_id as rid, 'malformed' as error_kind from events where event_id % 3 = 2")
+def json_record_errors(spark: SparkSession, folder: str) -> DataFrame:
+    return payloads.parse_records(event_records(spark, folder)).filter("error_kind is not null").select("rid", "error_kind")
+
+
+def order_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as landed pages of a paged store, one page per line."""
+    lines = table(spark, folder, "lineitem")
+    record = F.create_map(
+        F.lit("_id"), F.col("l_linenumber").cast("string"), F.lit("part"), F.col("l_partkey").cast("string"), F.lit("flag"), F.col("l_returnflag"))
+    fields = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(t).alias("type")) for i, t in (("_id", "int"), ("part", "int8"), ("flag", "citext"))])
+    return lines.select(
+        F.col("l_orderkey").cast("string").alias("rid"), F.col("l_linenumber").cast("long").alias("offset"),
+        F.when(F.col("l_orderkey") % 2 == 0, 1).otherwise(5).cast("long").alias("total"), fields.alias("fields"), F.array(record).alias("records"))
+
+
+@query("paged_records", """
+    select cast(l_orderkey as varchar) as rid, cast(count(*) as bigint) as row_count, count(*) >= case when l_orderkey % 2 = 0 then 1 else 5 end as complete,
+           case when count(*) < case when l_orderkey % 2 = 0 then 1 else 5 end then 'page_stop' end as incomplete_reason
+    from lineitem group by l_orderkey
+""")
+def paged_records(spark: SparkSession, folder: str) -> DataFrame:
+    return payloads.paged_tables(order_pages(spark, folder)).select("rid", "row_count", "complete", "incomplete_reason")
+
+
+@query("paged_record_cells", """
+    select cast(l_orderkey as varchar) as rid, cast(l_linenumber as bigint) as row_idx, unnest(['part', 'flag']) as col_name,
+           unnest([cast(l_partkey as varchar), l_returnflag]) as cell from lineitem
+""")
+def paged_record_cells(spark: SparkSession, folder: str) -> DataFrame:
+    pages = order_pages(spark, folder)
+    return payloads.paged_cells(pages, payloads.paged_columns(pages)).select("rid", "row_idx", "col_name", "cell")
