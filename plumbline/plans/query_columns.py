@@ -11,6 +11,7 @@ from plumbline.operators.cells import cells_from_table
 from plumbline.plans import tables as plan
 from plumbline.plans.registry import query, spread, table
 from plumbline.session import materialise
+from plumbline.sources.tables import read_in_order
 
 
 def money(column: str) -> Column:
@@ -27,8 +28,8 @@ def day(column: str) -> Column:
 
 
 def lineitem_texts(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "lineitem")).select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_idx"),
+    return spread(read_in_order(spark, f"{folder}/lineitem.parquet")).select(
+        "row_idx",
         F.col("l_orderkey").cast("string").alias("order_id"), F.col("l_partkey").cast("string").alias("part_id"),
         F.col("l_suppkey").cast("string").alias("l_suppkey"), F.col("l_linenumber").cast("string").alias("l_linenumber"),
         fixed("l_quantity").alias("l_quantity"), money("l_extendedprice").alias("l_extendedprice"),
@@ -163,8 +164,8 @@ def role_classification(spark: SparkSession, folder: str) -> DataFrame:
 def row_total_columns(spark: SparkSession, folder: str) -> DataFrame:
     """Columns that add up the other numeric columns of their row."""
     tax = F.when(F.col("l_tax") > 0, F.col("l_tax").cast("decimal(18,2)"))
-    texts = spread(table(spark, folder, "lineitem")).select(
-        F.col("l_returnflag").alias("rid"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_idx"),
+    texts = spread(read_in_order(spark, f"{folder}/lineitem.parquet")).select(
+        F.col("l_returnflag").alias("rid"), "row_idx",
         fixed("l_quantity").alias("quantity"), fixed("l_linenumber").alias("lines"), tax.cast("string").alias("tax"),
         (F.col("l_quantity").cast("decimal(18,2)") + F.col("l_linenumber").cast("decimal(18,2)") + tax).cast("string").alias("total"))
     cells = cells_from_table(texts, F.col("rid"), F.col("row_idx"), ["quantity", "lines", "tax", "total"])
@@ -254,8 +255,8 @@ def day_text(moment: Column) -> Column:
     select rid, col_name, case max(v) when 'N' then 'False' else max(v) end as value from c group by rid, col_name having count(distinct v) = 1
 """)
 def constant_columns(spark: SparkSession, folder: str) -> DataFrame:
-    texts = spread(table(spark, folder, "lineitem")).select(
-        F.col("l_returnflag").alias("rid"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_idx"),
+    texts = spread(read_in_order(spark, f"{folder}/lineitem.parquet")).select(
+        F.col("l_returnflag").alias("rid"), "row_idx",
         F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_linenumber").cast("string").alias("line"))
     cells = cells_from_table(texts, F.col("rid"), F.col("row_idx"), ["flag", "status", "line"])
     profile = coercion.column_profile(cells)
