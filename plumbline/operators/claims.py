@@ -86,14 +86,20 @@ def mislabelled_figures(texts: DataFrame, facts: DataFrame, split_colon: bool =
     owned = facts.groupBy("answer_id").agg(F.collect_set(F.struct(
         fold(F.col("label")).alias("label"), F.col("value").cast("decimal(38,12)").alias("value"))).alias("owned"))
     cut = vocab.CLAUSE_BREAK if split_colon else vocab.CLAUSE_BREAK.replace(":", "")
-    clauses = texts.select("text_id", "answer_id", "language", F.explode(F.split("text", cut)).alias("clause")).join(owned, "answer_id")
-    named = clauses.withColumn("folded", fold(F.col("clause"))).withColumn("named", F.array_distinct(F.transform(
-        F.filter("owned", lambda f: (f["label"] != "") & F.contains(F.col("folded"), f["label"])), lambda f: f["label"])))
-    single = named.filter(F.size("named") == 1).select("text_id", "answer_id", "language", "clause", "owned", F.get("named", F.lit(0)).alias("label"))
-    tokens = single.select("text_id", "label", "owned", "language", F.explode(F.regexp_extract_all("clause", F.lit(vocab.FIGURE_TOKEN), F.lit(0))).alias("token"))
-    pure = tokens.filter(F.col("token").rlike(vocab.PURE_FIGURE)).withColumn("value", figure_value(F.col("token"), F.col("language")))
+    clauses = texts.select("text_id", "answer_id", "language", F.explode(F.split("text", cut)).alias("clause"))
+    # exploding the one folded text fixes it as a value: inlined into the lambda
+    # below it would be folded again for every label
+    folded = clauses.select("*", F.explode(F.array(fold(F.col("clause")))).alias("folded")).join(owned, "answer_id")
+    labels = F.array_distinct(F.transform(
+        F.filter("owned", lambda f: (f["label"] != "") & F.contains(F.col("folded"), f["label"])), lambda f: f["label"]))
+    named = folded.select("text_id", "language", "owned", labels.alias("named"), F.regexp_extract_all("clause", F.lit(vocab.FIGURE_TOKEN), F.lit(0)).alias("tokens"))
+    tokens = named.select(
+        "text_id", F.get("named", F.lit(0)).alias("label"), "owned", "language",
+        F.explode(F.when(F.size("named") == 1, F.filter("tokens", lambda t: t.rlike(vocab.PURE_FIGURE)))).alias("token"))
+    figures_read = tokens.select("text_id", "label", "owned", "token", F.explode(F.array(figure_value(F.col("token"), F.col("language")))).alias("value"))
     owners = F.transform(F.filter("owned", lambda f: f["value"] == F.col("value")), lambda f: f["label"])
-    return pure.withColumn("owners", owners).filter((F.size("owners") > 0) & ~F.array_contains("owners", F.col("label"))).select("text_id", "label", "token")
+    wrong = F.when((F.size(owners) > 0) & ~F.array_contains(owners, F.col("label")), F.col("token"))
+    return figures_read.select("text_id", "label", wrong.alias("token")).filter("token is not null")
 
 
 def text_rules(texts: DataFrame, licensed: DataFrame) -> DataFrame:
