@@ -95,7 +95,8 @@ def to_greek_capitals(text: Column) -> Column:
     return F.translate(text, vocab.HOMOGLYPH_LATIN, vocab.HOMOGLYPH_GREEK)
 
 
-def _fold_case(text: Column) -> Column:
+def _folded(text: Column) -> Column:
+    """Accents, case and final sigma removed; ``text`` is evaluated once per branch."""
     accents, bare = _accent_table("combining")
     (wide, narrow), longer = _casefold_tables()
     # translate() keeps the first pair of a character and deletes those past the
@@ -105,16 +106,19 @@ def _fold_case(text: Column) -> Column:
     expanded = out
     for ch, several in longer:
         expanded = F.replace(expanded, F.lit(ch), F.lit(several))
-    rare = "[" + "".join(ch for ch, _ in longer) + "]"
-    return (
-        F.when(~text.rlike("[^\\x00-\\x7f]"), F.lower(text))  # most labels and names end here
-        .when(~text.rlike(rare), out)
-        .otherwise(expanded)
-    )
+    return F.when(text.rlike("[" + "".join(ch for ch, _ in longer) + "]"), expanded).otherwise(out)
+
+
+UNEVEN_SPACES = "  |[^\\S ]|[\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200d\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
 
-def _fold(text: Column) -> Column:
-    return F.trim(F.regexp_replace(_fold_case(text), SPACES, " "))
+def _one_space(text: Column) -> Column:
+    return F.trim(F.when(text.rlike(UNEVEN_SPACES), F.regexp_replace(text, SPACES, " ")).otherwise(text))
+
+
+def is_plain(text: Column) -> Column:
+    """ASCII only: lower-casing is all the folding it needs."""
+    return ~text.rlike("[^\\x00-\\x7f]")
 
 
 def fold(text: Column) -> Column:
@@ -123,12 +127,22 @@ def fold(text: Column) -> Column:
     Look-alike Latin capitals become Greek only when the text already holds Greek,
     so plain Latin column names stay as they are.
     """
-    return _fold(F.when(has_greek(text), to_greek_capitals(text)).otherwise(text))
+    even = _one_space(text)
+    return (
+        F.when(is_plain(text), F.lower(even))
+        .when(has_greek(text), _folded(to_greek_capitals(even)))
+        .otherwise(_folded(even))
+    )
 
 
 def group_key(text: Column, homoglyphs: bool = True) -> Column:
     """Grouping key of a label: look-alike capitals are always mapped."""
-    return _fold(to_greek_capitals(text)) if homoglyphs else _fold(text)
+    even = _one_space(text)
+    if not homoglyphs:
+        return F.when(is_plain(text), F.lower(even)).otherwise(_folded(even))
+    # plain texts only need their look-alikes mapped to small Greek letters
+    small = F.lower(F.translate(even, vocab.HOMOGLYPH_LATIN, vocab.HOMOGLYPH_GREEK.lower()))
+    return F.when(is_plain(text), small).otherwise(_folded(to_greek_capitals(even)))
 
 
 def contains_any(folded: Column, words) -> Column:

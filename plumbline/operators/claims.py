@@ -86,10 +86,11 @@ def mislabelled_figures(texts: DataFrame, facts: DataFrame, split_colon: bool =
     owned = facts.groupBy("answer_id").agg(F.collect_set(F.struct(
         fold(F.col("label")).alias("label"), F.col("value").cast("decimal(38,12)").alias("value"))).alias("owned"))
     cut = vocab.CLAUSE_BREAK if split_colon else vocab.CLAUSE_BREAK.replace(":", "")
-    clauses = texts.select("text_id", "answer_id", "language", F.explode(F.split("text", cut)).alias("clause"))
+    clauses = texts.select("text_id", "answer_id", "language", "text").join(owned, "answer_id").select(
+        "text_id", "language", "owned", F.explode(F.split("text", cut)).alias("clause"))
     # exploding the one folded text fixes it as a value: inlined into the lambda
     # below it would be folded again for every label
-    folded = clauses.select("*", F.explode(F.array(fold(F.col("clause")))).alias("folded")).join(owned, "answer_id")
+    folded = clauses.select("*", F.explode(F.array(fold(F.col("clause")))).alias("folded"))
     labels = F.array_distinct(F.transform(
         F.filter("owned", lambda f: (f["label"] != "") & F.contains(F.col("folded"), f["label"])), lambda f: f["label"]))
     named = folded.select("text_id", "language", "owned", labels.alias("named"), F.regexp_extract_all("clause", F.lit(vocab.FIGURE_TOKEN), F.lit(0)).alias("tokens"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -31,38 +32,42 @@ class LexicalIndex:
 
 
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, term, tf, doc_len; the length rides along, so nothing is joined back."""
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), search_tokens(F.col(text)).alias("tokens"))
-    return (
-        tokens.select("doc_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
-        .groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
+    """doc_id, term, tf, doc_len of documents with unique ids.
+
+    A document's counts need only the document, so they are taken where its text
+    is and no token is shuffled.
+    """
 
+    @F.pandas_udf("terms array<string>, tfs array<int>")
+    def count_words(batch: pd.Series) -> pd.DataFrame:
+        counted = [Counter(words) for words in batch]
+        return pd.DataFrame({"terms": [list(c) for c in counted], "tfs": [list(c.values()) for c in counted]})
 
-def corpus_stats(docs: DataFrame, text: str = "text") -> tuple[int, float]:
-    """Documents and mean length in tokens (one row reaches the driver)."""
-    row = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.size(search_tokens(F.col(text))), F.lit(0))).alias("avg")).first()
-    return row["n"], float(row["avg"] or 0.0)
+    tokens = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(search_tokens(F.col(text)), F.array().cast("array<string>")).alias("tokens"))
+    counted = tokens.select("doc_id", F.size("tokens").alias("doc_len"), count_words("tokens").alias("c"))
+    return counted.select(
+        "doc_id", "doc_len", F.explode(F.arrays_zip(F.col("c.terms").alias("term"), F.col("c.tfs").alias("tf"))).alias("t")
+    ).select("doc_id", "doc_len", "t.term", F.col("t.tf").cast("long").alias("tf"))
 
 
 def build_index(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", write: Callable[[DataFrame, str], DataFrame] | None = None
 ) -> LexicalIndex:
-    """Full rebuild of the inverted index with the score part of every posting."""
-    n_docs, mean_len = corpus_stats(docs, text)
+    """Full rebuild of the inverted index with the score part of every posting.
+
+    The number of documents and of tokens are two counters on the driver.
+    """
+    keep = write or (lambda df, name: df)
+    counts = keep(token_counts(docs, doc_id, text), "postings")
+    n_docs = docs.count()
+    total = counts.agg(F.sum("tf")).first()[0] or 0
+    mean_len = total / n_docs if total else 1.0
     k1, b = vocab.BM25_K1, vocab.BM25_B
     tf = F.col("tf").cast("double")
-    norm = k1 * (1 - b + b * F.col("doc_len") / F.lit(mean_len or 1.0))
-    postings = token_counts(docs, doc_id, text).withColumn("impact", tf * (k1 + 1) / (tf + norm))
-    if write is not None:
-        postings = write(postings, "postings")
-    df = F.count(F.lit(1))
-    terms = postings.groupBy("term").agg(df.alias("df"), F.max("impact").alias("max_impact")).withColumn(
-        "idf", F.greatest(F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(vocab.BM25_IDF_FLOOR))
-    )
-    if write is not None:
-        terms = write(terms, "terms")
-    return LexicalIndex(postings, terms)
+    postings = counts.withColumn("impact", tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_len") / F.lit(mean_len))))
+    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("max_impact")).withColumn(
+        "idf", F.greatest(F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(vocab.BM25_IDF_FLOOR)))
+    return LexicalIndex(postings, keep(terms, "terms"))
 
 
 def query_terms(questions: DataFrame, qid: str = "qid", text: str = "question") -> DataFrame:

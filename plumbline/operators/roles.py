@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import vocab
 from plumbline.functions.text import fold, fold_literals, group_key
+from plumbline.operators.coercion import typed_cells
 from plumbline.operators.sequences import order_breaks
+from plumbline.operators.sizes import broadcast_if_small
 
 ROW_TOTAL_ROWS = 50
-ROW_BLOCK = 1_000_000
+FIRST_LOOK = 4_096
 
 
 def value_counts(typed: DataFrame) -> DataFrame:
@@ -63,36 +65,41 @@ def constant_columns(values: DataFrame, stats: DataFrame) -> DataFrame:
     return values.join(single, ["rid", "col_idx"]).select("rid", "col_idx", F.col("text_value").alias("value"))
 
 
-def row_totals(typed: DataFrame, rows_checked: int = ROW_TOTAL_ROWS) -> DataFrame:
+def row_totals(cells: DataFrame, profile: DataFrame, rows_checked: int = ROW_TOTAL_ROWS, first_look: int = FIRST_LOOK, keep=None) -> DataFrame:
     """Numeric columns equal to the sum of the other numeric columns of their row.
 
     Judged on each table's first complete rows, as many as ``rows_checked``, of
-    which there must be at least three.  The pick of first rows is a top-k per
-    table, which the map side cuts down before the shuffle.
+    which there must be at least three.  Nearly every table has them among its
+    first ``first_look`` rows, so only those are read; the rest of a table is read
+    when they did not suffice.
     """
-    numeric = typed.filter(F.col("kind") == "decimal")
-    widths = (
-        numeric.groupBy("rid", "col_idx").agg(F.lit(1).alias("one"))
-        .groupBy("rid").agg(F.count("one").alias("width")).filter(F.col("width") >= 3)
-    )
-    complete = (
-        numeric.groupBy("rid", "row_idx")
-        .agg(F.sum("number").alias("row_sum"), F.count("number").alias("filled"))
-        .join(widths, "rid")
-        .filter(F.col("filled") == F.col("width"))
-    )
-    first_rows = (
-        complete.withColumn("_rn", F.row_number().over(W.partitionBy("rid").orderBy("row_idx")))
-        .filter(F.col("_rn") <= rows_checked)
-        .select("rid", "row_idx", "row_sum")
-    )
-    return (
-        numeric.join(first_rows, ["rid", "row_idx"])
-        .groupBy("rid", "col_idx")
-        .agg(
-            F.count(F.lit(1)).alias("checked"),
-            F.min(F.col("number") == F.col("row_sum") - F.col("number")).alias("all_equal"),
+    numeric = profile.filter(F.col("kind") == "decimal")
+    wide = numeric.groupBy("rid").agg(F.count(F.lit(1)).alias("width"), F.max("n_rows").alias("n_rows")).filter(F.col("width") >= 3)
+    columns = numeric.select("rid", "col_idx", "kind", "comma_decimal", "day_rule").join(wide.select("rid"), "rid")
+
+    def complete_rows(part: DataFrame, tables: DataFrame) -> DataFrame:
+        typed = typed_cells(part.join(columns.select("rid", "col_idx"), ["rid", "col_idx"], "left_semi"), columns)
+        whole = (
+            typed.groupBy("rid", "row_idx")
+            .agg(F.sum("number").alias("row_sum"), F.count("number").alias("filled"),
+                 F.collect_list(F.struct("col_idx", "number")).alias("numbers"))  # one row's numbers
+            .join(tables.select("rid", "width"), "rid").filter(F.col("filled") == F.col("width"))
         )
+        return whole.withColumn("_rn", F.row_number().over(W.partitionBy("rid").orderBy("row_idx"))).filter(F.col("_rn") <= rows_checked)
+
+    keep = keep or (lambda df, name: df)
+    early = keep(complete_rows(cells.filter(F.col("row_idx") < first_look), wide), "early_rows")
+    enough = early.groupBy("rid").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= rows_checked)
+    unsure = keep(wide.filter(F.col("n_rows") > first_look).join(enough, "rid", "left_anti"), "unsure_tables")
+    rows = early
+    if not unsure.isEmpty():
+        again = broadcast_if_small(unsure.select("rid"))
+        late = complete_rows(cells.join(again, "rid", "left_semi"), unsure)
+        rows = early.join(again, "rid", "left_anti").unionByName(late)
+    return (
+        rows.select("rid", "row_sum", F.explode("numbers").alias("c"))
+        .groupBy("rid", "c.col_idx")
+        .agg(F.count(F.lit(1)).alias("checked"), F.min(F.col("c.number") == F.col("row_sum") - F.col("c.number")).alias("all_equal"))
         .filter((F.col("checked") >= 3) & F.col("all_equal"))
         .select("rid", "col_idx", F.lit(True).alias("is_row_total"))
     )
@@ -159,25 +166,26 @@ def _axes(columns: DataFrame) -> DataFrame:
     )
 
 
-def cumulative_checks(typed: DataFrame, candidates: DataFrame, axes: DataFrame) -> DataFrame:
+def cumulative_checks(cells: DataFrame, profile: DataFrame, candidates: DataFrame, axes: DataFrame, keep=None) -> DataFrame:
     """Whether values of the candidate columns never fall over time in any group.
 
-    ``candidates``: rid, col_idx.  Only tables with a candidate are read further.
+    ``candidates``: rid, col_idx.  Only the columns that take part, in tables with
+    a candidate and a time axis, are read and typed.
     """
-    tables = candidates.select("rid").distinct()
-    wanted = axes.join(tables, "rid").filter(F.col("temporal_idx").isNotNull())
-    context = (
-        typed.join(wanted.select("rid", "temporal_idx", "dimension_idx"), "rid")
-        .groupBy("rid", "row_idx")
-        .agg(
-            F.max(F.when(F.col("col_idx") == F.col("temporal_idx"), F.col("date_value"))).alias("moment"),
-            F.max(F.when(F.col("col_idx") == F.col("dimension_idx"), F.col("text_value"))).alias("grp"),
-        )
-        .filter(F.col("moment").isNotNull())
+    keep = keep or (lambda df, name: df)
+    wanted = axes.join(candidates.select("rid").distinct(), "rid").filter(F.col("temporal_idx").isNotNull())
+    parts = (
+        wanted.select("rid", F.col("temporal_idx").alias("col_idx"), F.lit("moment").alias("slot"))
+        .unionByName(wanted.filter("dimension_idx is not null").select("rid", F.col("dimension_idx").alias("col_idx"), F.lit("grp").alias("slot")))
+        .unionByName(candidates.join(wanted.select("rid"), "rid").select("rid", "col_idx", F.lit("value").alias("slot")))
     )
+    typed = keep(typed_cells(cells.join(parts.select("rid", "col_idx"), ["rid", "col_idx"], "left_semi"), profile).join(parts, ["rid", "col_idx"]), "cumulative")
+    context = typed.filter(F.col("slot") != "value").groupBy("rid", "row_idx").agg(
+        F.max(F.when(F.col("slot") == "moment", F.col("date_value"))).alias("moment"),
+        F.max(F.when(F.col("slot") == "grp", F.col("text_value"))).alias("grp"),
+    ).filter(F.col("moment").isNotNull())
     observed = (
-        typed.join(candidates.select("rid", "col_idx"), ["rid", "col_idx"])
-        .filter(F.col("number").isNotNull())
+        typed.filter((F.col("slot") == "value") & F.col("number").isNotNull())
         .select("rid", "col_idx", "row_idx", F.col("number").alias("value"))
         .join(context, ["rid", "row_idx"])
     )
@@ -187,13 +195,13 @@ def cumulative_checks(typed: DataFrame, candidates: DataFrame, axes: DataFrame)
     return breaks.groupBy("rid", "col_idx").agg((F.sum("n_falls") == 0).alias("monotonic"))
 
 
-def column_roles(typed: DataFrame, profile: DataFrame, values: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+def column_roles(cells: DataFrame, profile: DataFrame, values: DataFrame, tables: DataFrame | None = None, keep=None) -> DataFrame:
     """One role per column; ``tables`` may bring rid, title."""
-    stats = column_stats(values)
-    first = _first_roles(profile, stats, row_totals(typed), tables)
+    keep = keep or (lambda df, name: df)
+    first = keep(_first_roles(profile, column_stats(values), row_totals(cells, profile, keep=keep), tables), "first_roles")
     axes = _axes(first)
     candidates = first.filter((F.col("role") == "unknown") & F.col("cumulative_name")).select("rid", "col_idx")
-    checks = cumulative_checks(typed, candidates, axes)
+    checks = cumulative_checks(cells, profile, candidates, axes, keep)
     has_axis = axes.select("rid", F.col("temporal_idx").isNotNull().alias("has_axis"))
     resolved = F.when(
         (F.col("role") == "unknown") & F.col("cumulative_name") & F.col("has_axis"),

@@ -149,9 +149,8 @@ def role_classification(spark: SparkSession, folder: str) -> DataFrame:
     cells = lineitem_cells(spark, folder).unionByName(orders_cells(spark, folder)).unionByName(part_cells(spark, folder))
     distinct = materialise(coercion.distinct_cells(cells), "distinct")
     profile = materialise(coercion.column_profile(distinct), "profile")
-    typed = materialise(coercion.typed_cells(cells, profile), "typed")
     values = materialise(roles.value_counts(coercion.typed_cells(distinct, profile)), "values")
-    return roles.column_roles(typed, profile, values).select(
+    return roles.column_roles(cells, profile, values, keep=materialise).select(
         "rid", "col_name", F.col("distinct_count").cast("long").alias("distinct_count"), "role")
 
 
@@ -169,10 +168,9 @@ def row_total_columns(spark: SparkSession, folder: str) -> DataFrame:
         fixed("l_quantity").alias("quantity"), fixed("l_linenumber").alias("lines"), tax.cast("string").alias("tax"),
         (F.col("l_quantity").cast("decimal(18,2)") + F.col("l_linenumber").cast("decimal(18,2)") + tax).cast("string").alias("total"))
     cells = cells_from_table(texts, F.col("rid"), F.col("row_idx"), ["quantity", "lines", "tax", "total"])
-    profile = coercion.column_profile(cells)
-    typed = materialise(coercion.typed_cells(cells, profile), "typed")
+    profile = materialise(coercion.column_profile(cells), "profile")
     names = profile.select("rid", "col_idx", "col_name")
-    return roles.row_totals(typed).join(names, ["rid", "col_idx"]).select("rid", "col_name")
+    return roles.row_totals(cells, profile).join(names, ["rid", "col_idx"]).select("rid", "col_name")
 
 
 @query("locale_decimal_roundtrip", """

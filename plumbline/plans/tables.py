@@ -17,11 +17,11 @@ from plumbline.session import materialise
 
 @dataclass(frozen=True)
 class TableAnalysis:
-    """Typed cells and everything known about the columns of each table."""
+    """Everything known about the columns of each table, and its bound rows."""
 
     tables: DataFrame
+    cells: DataFrame
     profile: DataFrame
-    typed: DataFrame
     values: DataFrame
     roles: DataFrame
     bindings: DataFrame
@@ -29,26 +29,28 @@ class TableAnalysis:
 
 
 def analyse_tables(cells: DataFrame, tables: DataFrame, write: bool = True) -> TableAnalysis:
-    """Profile, type, classify and bind the columns of every table.
+    """Profile, classify and bind the columns of every table.
 
-    ``tables``: rid, title, complete, header_trusted.  Typed cells, distinct
-    values, bindings and assembled rows each feed several consumers; with
-    ``write`` they are written once to the shared folder and read from there.
+    ``tables``: rid, title, complete, header_trusted.  Distinct cells, values,
+    roles, bindings and assembled rows each feed several consumers; with ``write``
+    they are written once to the shared folder and read from there.  Cells
+    themselves are typed only for the columns an answer needs.
     """
     keep = materialise if write else (lambda df, name: df)
     distinct = keep(coercion.distinct_cells(cells), "distinct")
     profile = keep(coercion.column_profile(distinct), "profile")
-    typed = keep(coercion.typed_cells(cells, profile), "typed")
     values = keep(roles.value_counts(coercion.typed_cells(distinct, profile)), "values")
-    column_roles = keep(roles.column_roles(typed, profile, values, tables), "roles")
+    column_roles = keep(roles.column_roles(cells, profile, values, tables, keep), "roles")
     bound = keep(roles.bindings(column_roles), "bindings")
-    rows = assemble_rows(typed, roles.slots(bound)).select(
+    slots = roles.slots(bound)
+    needed = cells.join(slots.select("rid", "col_idx"), ["rid", "col_idx"], "left_semi")
+    rows = assemble_rows(coercion.typed_cells(needed, profile), slots).select(
         "rid", "row_idx", "moment", "label", "value",
         F.array_join(
             F.concat(F.transform("series_cells", lambda s: s["text"]), F.array_compact(F.array(F.col("label")))), " · "
         ).alias("identity"),
     )
-    return TableAnalysis(tables, profile, typed, values, column_roles, bound, keep(rows, "rows"))
+    return TableAnalysis(tables, cells, profile, values, column_roles, bound, keep(rows, "rows"))
 
 
 def _rows_for(analysis: TableAnalysis, operation: str) -> DataFrame:
@@ -163,8 +165,8 @@ def unpivot_measures(analysis: TableAnalysis, max_rows: int = vocab.MAX_UNPIVOT_
     ).select("rid")
     measures = analysis.roles.filter(F.col("role") == "measure").select("rid", "col_idx")
     labels = analysis.rows.join(wide, "rid").select("rid", "row_idx", "label")
+    typed = coercion.typed_cells(analysis.cells.join(measures.join(wide, "rid"), ["rid", "col_idx"], "left_semi"), analysis.profile)
     return (
-        analysis.typed.join(measures, ["rid", "col_idx"])
-        .join(labels, ["rid", "row_idx"])
+        typed.join(labels, ["rid", "row_idx"])
         .select("rid", "row_idx", "label", F.col("col_name").alias("measure"), F.col("number").alias("value"))
     )
