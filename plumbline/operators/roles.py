@@ -19,6 +19,7 @@ from plumbline.operators.sizes import broadcast_if_small
 
 ROW_TOTAL_ROWS = 50
 FIRST_LOOK = 4_096
+ROW_BLOCK = 1_000_000
 
 
 def value_counts(typed: DataFrame) -> DataFrame:
@@ -190,7 +191,7 @@ def cumulative_checks(cells: DataFrame, profile: DataFrame, candidates: DataFram
         .join(context, ["rid", "row_idx"])
     )
     breaks = order_breaks(
-        observed, ["rid", "col_idx", "grp"], F.date_format("moment", "yyyy-MM"), ["moment", "row_idx"], "value"
+        observed, ["rid", "col_idx", "grp"], F.struct("moment", F.floor(F.col("row_idx") / ROW_BLOCK).alias("part")), ["moment", "row_idx"], "value"
     )
     return breaks.groupBy("rid", "col_idx").agg((F.sum("n_falls") == 0).alias("monotonic"))
 

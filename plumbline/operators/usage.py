@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import vocab
 from plumbline.operators.sequences import block_offsets, next_in_key
+from plumbline.operators.sizes import is_small
+from plumbline.session import materialise
 
 METRICS_SCHEMA = (
     "id long, asked_at timestamp, question_chars int, language string, pinned boolean, plan_status string, dataset_id string,"
@@ -96,29 +98,43 @@ def value_block(value: Column) -> Column:
 
 
 def keep_newest(rows: DataFrame, max_rows: int, time: str = "asked_at", tie: str = "id") -> DataFrame:
-    """The newest ``max_rows`` rows, exactly, without one task seeing them all.
+    """The newest ``max_rows`` rows, exactly, without one task seeing them all."""
+    return _newest(rows, F.lit(1), max_rows, time, tie)
 
-    Hour counts say which hours lie inside the ceiling; only the hour it cuts
-    through is numbered row by row.
-    """
-    hour = F.date_trunc("hour", F.col(time))
-    return _newest(rows, hour, F.lit(1), max_rows, time, tie)
 
+def _newest(rows: DataFrame, amount: Column, limit: int, time: str, tie: str) -> DataFrame:
+    """Rows, newest first, while the running sum of ``amount`` stays within ``limit``.
 
-def _newest(rows: DataFrame, block: Column, amount: Column, limit: int, time: str, tie: str) -> DataFrame:
-    marked = rows.withColumn("_all", F.lit(0)).withColumn("_amount", amount.cast("long"))
-    offsets = block_offsets(marked, ["_all"], block, F.sum("_amount"), descending=True).select("_block", "offset", "block_amount")
-    placed = marked.withColumn("_block", block).join(offsets.filter(F.col("offset") < limit), "_block")
-    whole = placed.filter(F.col("offset") + F.col("block_amount") <= limit)
-    cut = placed.filter(F.col("offset") + F.col("block_amount") > limit)
-    order = W.partitionBy("_block").orderBy(F.desc(time), F.desc(tie)).rowsBetween(W.unboundedPreceding, 0)
-    partly = cut.withColumn("_upto", F.col("offset") + F.sum("_amount").over(order)).filter(F.col("_upto") <= limit)
-    return whole.select(*rows.columns).unionByName(partly.select(*rows.columns))
+    Block sums say which blocks of time lie wholly inside; only the block the limit
+    cuts through is looked at more closely: hours, then seconds, then runs of ids
+    within one instant.  Row-by-row numbering is left for one such run.
+    """
+    columns = rows.columns
+    chunk = F.floor(F.col(tie) / 65_536) if rows.schema[tie].dataType.typeName() in ("long", "integer") else F.substring(F.col(tie), 1, 8)
+    levels = [F.date_trunc("hour", F.col(time)), F.date_trunc("second", F.col(time)), F.struct(F.col(time).alias("t"), chunk.alias("c"))]
+    open_rows = rows.withColumns({"_amount": amount.cast("long"), "_base": F.lit(0).cast("long"), "_all": F.lit(0)})
+    kept = None
+    for level in levels:
+        sums = open_rows.groupBy("_all", level.alias("_block")).agg(F.sum("_amount").alias("_size"), F.max("_base").alias("_base"))
+        newer = W.partitionBy("_all").orderBy(F.desc("_block")).rowsBetween(W.unboundedPreceding, -1)
+        starts = sums.select("_block", "_size", (F.col("_base") + F.coalesce(F.sum("_size").over(newer), F.lit(0))).alias("_start")).filter(
+            F.col("_start") < limit)
+        placed = open_rows.drop("_base").withColumn("_block", level).join(starts, "_block")
+        inside = F.col("_start") + F.col("_size") <= limit
+        whole = placed.filter(inside).select(*columns)
+        kept = whole if kept is None else kept.unionByName(whole)
+        cut = placed.filter(~inside).withColumn("_base", F.col("_start")).drop("_block", "_size", "_start")
+        open_rows = materialise(cut, "cut")  # the rows of one block
+        if is_small(open_rows):
+            break
+    order = W.partitionBy("_all").orderBy(F.desc(time), F.desc(tie)).rowsBetween(W.unboundedPreceding, 0)
+    last = open_rows.withColumn("_upto", F.col("_base") + F.sum("_amount").over(order)).filter(F.col("_upto") <= limit)
+    return kept.unionByName(last.select(*columns))
 
 
 def evict_least_recent(records: DataFrame, max_bytes: int, time: str = "last_accessed", size: str = "bytes", tie: str = "resource_id") -> DataFrame:
     """Records kept when the least recently used are dropped until the rest fits."""
-    return _newest(records, F.date_trunc("hour", F.col(time)), F.col(size), max_bytes, time, tie)
+    return _newest(records, F.col(size), max_bytes, time, tie)
 
 
 def purge(answers: DataFrame, now: Column, ttl_s: int = vocab.METRICS_TTL_S, max_rows: int = vocab.METRICS_MAX_ROWS) -> DataFrame:

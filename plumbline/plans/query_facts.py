@@ -161,7 +161,7 @@ def running_totals(spark: SparkSession, folder: str) -> DataFrame:
 def monotonic_per_group(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select(
         F.col("event_type").alias("rid"), F.col("user_id").alias("grp"), "ts", "event_id", F.col("value").cast("decimal(18,2)").alias("value"))
-    breaks = order_breaks(events, ["rid", "grp"], F.to_date("ts"), ["ts", "event_id"], "value")
+    breaks = order_breaks(events, ["rid", "grp"], F.date_trunc("hour", "ts"), ["ts", "event_id"], "value")
     return breaks.select(
         "rid", "grp", F.col("n_values").cast("long").alias("n_values"), F.col("n_falls").cast("long").alias("n_falls"),
         (F.col("n_falls") == 0).alias("monotonic"))

@@ -26,6 +26,9 @@ def local_session(cores: int | str = 8, app: str = "plumbline") -> SparkSession:
     return spark
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
@@ -33,13 +36,14 @@ def shared_folder(spark: SparkSession) -> str:
     and tasks are one process, falls back to a fresh temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _local_folders[app]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
