@@ -66,29 +66,36 @@ def breakdowns(answers: DataFrame) -> DataFrame:
 def exact_percentiles(rows: DataFrame, value: Column, percents: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
     """Nearest-rank percentiles per key, without sorting a whole key in one task.
 
-    Equal values are counted first; ranks then come from per-block counts, where a
-    block is a power-of-two range of values, and only the blocks that hold a
-    wanted rank are numbered value by value.
+    Equal values are counted first; ranks then come from block counts.  A first
+    block is a 64th of a power of two; the blocks that hold a wanted rank are cut
+    into equal slices, and only the slices that hold it are numbered by value.
     """
-    keys = list(keys)
-    counts = rows.select(*keys, value.alias("v")).filter("v is not null").groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
-    counts = counts.withColumn("_block", value_block(F.col("v")))
     work = [*keys, "_all"]
-    counts = counts.withColumn("_all", F.lit(0))
-    offsets = block_offsets(counts, work, F.col("_block"), F.sum("c"))
+    counts = (
+        rows.select(*keys, value.cast("double").alias("v")).filter("v is not null").groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+        .withColumns({"_all": F.lit(0), "_block": value_block(F.col("v"))})
+    )
+    first = block_offsets(counts, work, F.col("_block"), F.sum("c"))
     ranks = F.array(*[
         F.struct(F.lit(p).alias("p"), F.greatest(F.lit(1), F.ceil(F.col("total") * p / 100)).cast("long").alias("r")) for p in percents
     ])
-    wanted = offsets.select(*work, "_block", "offset", "block_amount", F.explode(ranks).alias("w")).filter(
+    wanted = first.select(*work, "_block", "offset", "block_amount", F.explode(ranks).alias("w")).filter(
         (F.col("w.r") > F.col("offset")) & (F.col("w.r") <= F.col("offset") + F.col("block_amount"))
-    )
-    inside = counts.join(wanted, [*work, "_block"]).withColumn(
-        "_upto", F.col("offset") + F.sum("c").over(W.partitionBy(*work, "_block", "w.p").orderBy("v"))
-    )
-    found = inside.filter(F.col("_upto") >= F.col("w.r")).groupBy(*work, F.col("w.p").alias("p")).agg(F.min("v").alias("v"))
-    return found.groupBy(*work).agg(*[
-        F.max(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in percents
-    ]).drop("_all")
+    ).select(*work, "_block", F.col("w.p").alias("_p"), (F.col("w.r") - F.col("offset")).alias("_rank"))
+    bounds = counts.groupBy(*work, "_block").agg(F.min("v").alias("_low"), F.max("v").alias("_high"))
+    inside = counts.join(wanted.join(bounds, [*work, "_block"]), [*work, "_block"])
+    width = F.col("_high") - F.col("_low")
+    inside = inside.withColumn("_slice", F.when(width > 0, F.floor((F.col("v") - F.col("_low")) / width * SLICES)).otherwise(0)).drop("_block")
+    slices = block_offsets(inside, [*work, "_p"], F.col("_slice"), F.sum("c")).select(
+        *work, "_p", F.col("_block").alias("_slice"), "offset", F.col("block_amount"))
+    last = inside.join(slices, [*work, "_p", "_slice"]).filter(
+        (F.col("_rank") > F.col("offset")) & (F.col("_rank") <= F.col("offset") + F.col("block_amount"))
+    ).withColumn("_upto", F.col("offset") + F.sum("c").over(W.partitionBy(*work, "_p").orderBy("v")))
+    found = last.filter(F.col("_upto") >= F.col("_rank")).groupBy(*work, "_p").agg(F.min("v").alias("v"))
+    return found.groupBy(*work).agg(*[F.max(F.when(F.col("_p") == p, F.col("v"))).alias(f"p{p}") for p in percents]).drop("_all")
+
+
+SLICES = 65_536
 
 
 def value_block(value: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import dates, numbers
 from plumbline.operators import coercion, roles
 from plumbline.operators.cells import cells_from_table
+from plumbline.plans import questions as asked
 from plumbline.plans import tables as plan
 from plumbline.plans.registry import query, spread, table
 from plumbline.session import materialise
@@ -293,3 +294,22 @@ def table_facts(spark: SparkSession, folder: str) -> DataFrame:
     return plan.table_facts(part_analysis(spark, folder)).select(
         "rid", "operation", F.col("pos").cast("long").alias("pos"), "label", F.round("value", 2).cast("double").alias("value"),
         F.col("n").cast("long").alias("n"), F.col("n_used").cast("long").alias("n_used"), "basis")
+
+
+@query("question_facts", """
+    with a as (select p_brand, count(*) as n, cast(sum(p_size) as double) as s, cast(max(p_size) as double) as m, cast(regexp_extract(p_brand, '[0-9]+') as int) % 4 as o from part group by all)
+    select p_brand as qid, case o when 0 then 'sum' when 1 then 'avg' when 2 then 'max' else 'count' end as operation, p_brand as label, cast(n as bigint) as n,
+           round(case o when 0 then s when 1 then s / n when 2 then m else n end, 4) as value from a
+""")
+def question_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """One question per brand about the part table, with an aggregate of its own."""
+    analysis = part_analysis(spark, folder)
+    number = F.regexp_extract("p_brand", "[0-9]+", 0).cast("int") % 4
+    wanted = F.when(number == 0, "sum").when(number == 1, "avg").when(number == 2, "max").otherwise("count")
+    none = F.lit(None).cast("string")
+    plans = table(spark, folder, "part").select("p_brand").distinct().select(
+        F.col("p_brand").alias("qid"), F.lit("part").alias("resource_id"), F.lit("matched").alias("status"),
+        F.struct(none.alias("date_from"), none.alias("date_to"), F.concat(F.lit(" "), "p_brand").alias("region"), wanted.alias("aggregation"),
+                 F.lit(5).cast("long").alias("limit")).alias("params"))
+    return asked.question_facts(plans, analysis).select(
+        "qid", "operation", "label", "n", F.round("value", 4).cast("double").alias("value"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.plans.registry import query, spread, table
 from plumbline.session import materialise
-from plumbline.sources import payloads
+from plumbline.sources import loading, payloads
 
 
 @query("payload_kind", """
@@ -160,3 +160,26 @@ def paged_records(spark: SparkSession, folder: str) -> DataFrame:
 def paged_record_cells(spark: SparkSession, folder: str) -> DataFrame:
     pages = order_pages(spark, folder)
     return payloads.paged_cells(pages, payloads.paged_columns(pages)).select("rid", "row_idx", "col_name", "cell")
+
+
+SQL_LOADED = f"""
+    {SQL_CUSTOMER},
+    t as (select rid, cast(case when shape < 5 then 2 else 0 end as bigint) as row_count, case when shape < 5 then shape <> 4 end as complete,
+                 case when shape = 5 then 'malformed' end as error_kind from c
+          union all select 'e' || event_id, case when event_id % 3 < 2 then 2 else 0 end, case when event_id % 3 < 2 then true end, case when event_id % 3 = 2 then 'malformed' end from events
+          union all select 'p' || page_id, 0, null, 'malformed' from pages
+          union all select 'o' || l_doc, 0, null, 'unavailable' from (select doc_id as l_doc from labels))
+"""
+
+
+@query("loaded_tables", f"with {SQL_LOADED} select * from t")
+def loaded_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Resources of all kinds at once: CSV, JSON, web pages, and some that never arrived."""
+    files = customer_files(spark, folder)
+    records = event_records(spark, folder).select(F.concat(F.lit("e"), "rid").alias("rid"), F.col("content").cast("binary").alias("content"), F.lit(True).alias("body_complete"))
+    pages = table(spark, folder, "pages").select(F.concat(F.lit("p"), "page_id").alias("rid"), F.col("html").cast("binary").alias("content"), F.lit(True).alias("body_complete"))
+    landed = files.unionByName(records).unionByName(pages)
+    lost = table(spark, folder, "labels").select(F.concat(F.lit("o"), "doc_id").alias("id"))
+    resources = landed.select(F.col("rid").alias("id")).unionByName(lost).withColumn("format", F.lit("CSV"))
+    found = loading.load_tables(resources, landed)
+    return found.tables.select("rid", F.col("row_count").cast("long").alias("row_count"), "complete", "error_kind")

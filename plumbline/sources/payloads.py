@@ -301,8 +301,8 @@ def payload_tables(parsed: DataFrame, payloads: DataFrame) -> DataFrame:
     )
     return joined.select(
         "rid", F.coalesce("row_count", F.lit(0)).alias("row_count"), "names", "delimiter", "encoding", "header_trusted", "dropped_rows",
-        F.when(F.col("error_kind").isNull(), reason.isNull()).alias("complete"),
-        F.when(F.col("error_kind").isNull(), reason).alias("incomplete_reason"),
+        F.when(F.col("error_kind").isNull() & problem.isNull(), reason.isNull()).alias("complete"),
+        F.when(F.col("error_kind").isNull() & problem.isNull(), reason).alias("incomplete_reason"),
         F.coalesce("error_kind", F.when(problem.isNotNull(), F.lit("malformed"))).alias("error_kind"),
         F.coalesce("error_detail", problem).alias("error_detail"))
 
