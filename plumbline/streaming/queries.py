@@ -64,7 +64,7 @@ def append_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "u
     )
 
 
-def read_latest(spark: SparkSession, path: str, keys: Sequence[str], schema: str | None = None) -> DataFrame:
+def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """The last written state of every key of an update-mode output."""
     written = spark.read.option("recursiveFileLookup", "true").parquet(path)
     return snapshots.latest_per_key(written, list(keys), ["batch_id"]).drop("batch_id")

@@ -1,7 +1,5 @@
 """Small published tables with known traps."""
 
-from pyspark.sql import functions as F
-
 
 def cells_of(spark, tables):
     rows = []
