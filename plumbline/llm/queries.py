@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import line_frequency
+from plumbline.llm import content_sort, line_frequency
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,3 +61,15 @@ select j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and g.text is null as kept
 from judged j left join depleted g on j.host = g.host and j.text = g.text
 """
+
+
+@query
+def op6_content_sort(spark: SparkSession, folder: str) -> DataFrame:
+    return content_sort.content_groups(table(spark, folder, "documents"))
+
+
+SQL["op6_content_sort"] = """
+with n as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
+select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+       doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from n
+"""
