@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import content_sort, line_frequency
+from plumbline.llm import content_sort, line_frequency, simhash_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,3 +73,8 @@ with n as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
        doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from n
 """
+
+
+@query
+def op5_simhash_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_blocks.near_duplicates(table(spark, folder, "documents"))
