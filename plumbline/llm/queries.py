@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import content_sort, line_frequency, simhash_blocks
+from plumbline.llm import content_sort, line_frequency, secret_lexer, simhash_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,3 +78,8 @@ select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (part
 @query
 def op5_simhash_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_blocks.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op3_secret_lexer(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_lexer.find_secrets(table(spark, folder, "documents"))
