@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import content_sort, line_frequency, secret_lexer, simhash_blocks
+from plumbline.llm import best_fit, content_sort, line_frequency, secret_lexer, simhash_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,3 +84,8 @@ def op5_simhash_blocks(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_secret_lexer(spark: SparkSession, folder: str) -> DataFrame:
     return secret_lexer.find_secrets(table(spark, folder, "documents"))
+
+
+@query
+def op7_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    return best_fit.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
