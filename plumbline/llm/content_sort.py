@@ -28,18 +28,18 @@ EDGE = 32
 def content_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, pieces: int = 1000,
                    keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: its id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``, and ``carried`` with the columns in ``keep``."""
-    body = F.coalesce(docs[text], F.lit(""))
+    body, others = F.coalesce(docs[text], F.lit("")), [c for c in keep if c != text]
     rows = docs.select(
-        docs[id_col].alias("id"), body.alias("text"), ascii_lower(F.left(body, F.lit(EDGE))).alias("head"),
+        docs[id_col].alias("id"), docs[text].alias("text"), ascii_lower(F.left(body, F.lit(EDGE))).alias("head"),
         F.octet_length(body).cast("long").alias("size"), ascii_lower(F.right(body, F.lit(EDGE))).alias("tail"),
-        *([F.struct(*[docs[c] for c in keep]).alias("carried")] if keep else []),
+        F.struct(F.lit(0).alias("-"), *[docs[c] for c in others]).alias("carried"),
     )
     edges = ["head", "size", "tail"]
     weights = rows.groupBy(*edges).agg(F.sum(F.col("size") + 1).alias("bytes"), F.count(F.lit(1)).alias("n"))
     total = weights.agg((F.sum("bytes") / pieces).alias("share"))
     share = total.first()["share"] or 0.0
     heavy = F.broadcast(weights.filter((F.col("bytes") > share) & (F.col("n") > 1)).select(*edges, F.lit(True).alias("heavy")))
-    content = F.sha2(ascii_lower(F.col("text")), 256)
+    content = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
     rows = rows.join(heavy, edges, "left").withColumn("digest", F.when(F.col("heavy"), content))
     hot = F.broadcast(
         rows.filter("heavy").groupBy("digest")
@@ -49,10 +49,10 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     )
     rows = rows.join(hot, "digest", "left").withColumn("way", F.pmod(F.xxhash64("id"), "ways"))
     place = [*edges, "digest", "way"]
-    sorted_rows = rows.repartitionByRange(*place).withColumn("norm", ascii_lower(F.col("text")))
+    sorted_rows = rows.repartitionByRange(*place).withColumn("norm", ascii_lower(F.coalesce("text", F.lit(""))))
     near = Window.partitionBy(*place).orderBy("norm", "id")
     runs = sorted_rows.select(
-        *place, "id", "hot_id", "hot_n", *(["carried"] if keep else []), F.sha2("norm", 256).alias("text_sha256"),
+        *place, "id", "text", "carried", "hot_id", "hot_n", F.sha2("norm", 256).alias("text_sha256"),
         F.sum(F.when(F.lag("norm").over(near).eqNullSafe(F.col("norm")), 0).otherwise(1)).over(near).alias("run"),
         (~F.lead("norm").over(near).eqNullSafe(F.col("norm"))).alias("last"),
     )
@@ -62,7 +62,8 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         "group_size": F.when(F.col("hot_n").isNull(), F.count(F.lit(1)).over(run)).otherwise(F.col("hot_n")),
     }).select(
         F.col("id").alias(id_col), "keep_id", "group_size",
-        (F.col("last") & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256", *(["carried"] if keep else []))
+        (F.col("last") & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256",
+        *([F.struct(*[F.col("text" if c == text else f"carried.`{c}`").alias(c) for c in keep]).alias("carried")] if keep else []))
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, pieces: int = 1000) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.columns import let, narrow, words
+from plumbline.session import materialise
 
 SYMBOLS = "#*$%&|<>"
 
@@ -114,9 +115,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", host: str = "source",
         F.unhex(F.md5(body)).alias("text_key"), statistics(body).alias("s"),
         *([F.struct(*[docs[c] for c in keep]).alias("carried")] if keep else []),
     )
-    gone = depleted_texts(docs, host, text, max_share, min_docs, least_left).withColumn("depleted", F.lit(True))
+    # written first, so that the planner knows how few texts it joins
+    gone = materialise(depleted_texts(docs, host, text, max_share, min_docs, least_left).withColumn("depleted", F.lit(True)), "depleted")
     judged = rows.join(gone, ["host", "text_key"], "left").withColumn(
         "base_failed", (F.col("s.n_words") < min_words) | (100 * F.col("s.n_repeat_words") > 100 * max_repeated * F.col("s.n_words")))
     return judged.select(
         F.col("id").alias(id_col), "s.*", "base_failed", (~F.col("base_failed") & F.col("depleted").isNull()).alias("kept"),
         *(["carried"] if keep else []))
+
+
+def without_rejected(docs: DataFrame, id_col: str = "doc_id", host: str = "source", text: str = "text", **limits) -> DataFrame:
+    """The rows of ``docs`` that the rules keep."""
+    return quality_rules(docs, id_col, host, text, keep=tuple(docs.columns), **limits).filter("kept").select("carried.*")

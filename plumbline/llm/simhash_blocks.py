@@ -168,7 +168,10 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     marked = materialise(docs.select(
         docs[id_col].alias("id"), fingerprint(docs[text]).alias("value"), F.struct(*[docs[c] for c in docs.columns]).alias("carried")), "marked")
     groups = _component_of(marked.select("id", "value"), distance, blocks)
-    ids = marked.select("id", "value").join(groups, "value").filter(F.col("id").eqNullSafe(F.col("component_id")))
-    named = ids.groupBy("component_id").agg(F.min("value").alias("value")).select(F.col("component_id").alias("id"), "value")
-    kept = (marked["value"] == named["value"]) & marked["id"].eqNullSafe(named["id"])
-    return marked.join(named, kept, "left_semi").select("carried.*")
+    members = marked.select("id", "value").distinct().join(groups, "value")
+    named = members.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("value").alias("named")).withColumnRenamed("component_id", "first")
+    others = materialise(
+        members.join(named, F.col("component_id").eqNullSafe(F.col("first")))
+        .filter(~F.col("id").eqNullSafe(F.col("first")) | (F.col("value") != F.col("named"))).select("id", "value"), "near-copies")
+    other = (marked["value"] == others["value"]) & marked["id"].eqNullSafe(others["id"])
+    return marked.join(others, other, "left_anti").select("carried.*")
