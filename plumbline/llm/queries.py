@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import best_fit, content_sort, line_frequency, secret_lexer, simhash_blocks
+from plumbline.llm import best_fit, content_sort, line_frequency, preference_quality, secret_lexer, simhash_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,3 +89,8 @@ def op3_secret_lexer(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return best_fit.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op1_preference_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return preference_quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
