@@ -21,7 +21,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _ODD = re.compile(r"\s\s|\A\s|\s\Z")
 
 
-def _bytes_of_letters() -> dict[str, int]:
+def letters_of_bytes() -> dict[str, int]:
     """Byte-level vocabularies write a printable byte as itself and the others as the letters from 256 on."""
     plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
     others = [b for b in range(256) if b not in plain]
@@ -52,7 +52,7 @@ class ByteEncoder:
     def __init__(self, path: str, specials: bool = True):
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
-        letters = _bytes_of_letters()
+        letters = letters_of_bytes()
         added = {t["content"]: t["id"] for t in told["added_tokens"]}
         ranks = {bytes(letters[c] for c in word): i for word, i in told["model"]["vocab"].items() if word not in added}
         self._encode = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary

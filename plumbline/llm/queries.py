@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import best_fit, content_sort, line_frequency, preference_quality, secret_lexer, simhash_blocks
+from plumbline.llm import best_fit, content_sort, line_frequency, merge_automaton, preference_quality, secret_lexer, simhash_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,3 +94,8 @@ def op7_best_fit(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_preference_quality(spark: SparkSession, folder: str) -> DataFrame:
     return preference_quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op9_merge_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    return merge_automaton.round_trips(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
