@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import best_fit, content_sort, line_frequency, merge_automaton, preference_quality, secret_lexer, simhash_blocks
+from plumbline.llm import best_fit, content_sort, line_frequency, merge_automaton, paragraph_minhash, preference_quality, secret_lexer, simhash_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -99,3 +99,8 @@ def op1_preference_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_merge_automaton(spark: SparkSession, folder: str) -> DataFrame:
     return merge_automaton.round_trips(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op4_paragraph_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return paragraph_minhash.by_document(table(spark, folder, "documents"))
