@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import best_fit, content_sort, line_frequency, merge_automaton, paragraph_minhash, preference_quality, secret_lexer, separator_scan, simhash_blocks
+from plumbline.llm import best_fit, content_sort, line_edits, line_frequency, merge_automaton, paragraph_minhash, preference_quality, secret_lexer, separator_scan, simhash_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,3 +109,8 @@ def op4_paragraph_minhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
     return separator_scan.count_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op2_line_edits(spark: SparkSession, folder: str) -> DataFrame:
+    return line_edits.by_document(table(spark, folder, "documents"))
