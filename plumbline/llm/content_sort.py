@@ -32,7 +32,7 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = docs.select(
         docs[id_col].alias("id"), docs[text].alias("text"), ascii_lower(F.left(body, F.lit(EDGE))).alias("head"),
         F.octet_length(body).cast("long").alias("size"), ascii_lower(F.right(body, F.lit(EDGE))).alias("tail"),
-        F.struct(F.lit(0).alias("-"), *[docs[c] for c in others]).alias("carried"),
+        F.struct(F.lit(0).alias("none"), *[docs[c].alias(f"c{k}") for k, c in enumerate(others)]).alias("carried"),
     )
     edges = ["head", "size", "tail"]
     weights = rows.groupBy(*edges).agg(F.sum(F.col("size") + 1).alias("bytes"), F.count(F.lit(1)).alias("n"))
@@ -63,7 +63,7 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     }).select(
         F.col("id").alias(id_col), "keep_id", "group_size",
         (F.col("last") & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256",
-        *([F.struct(*[F.col("text" if c == text else f"carried.`{c}`").alias(c) for c in keep]).alias("carried")] if keep else []))
+        *([F.struct(*[F.col("text" if c == text else f"carried.c{others.index(c)}").alias(c) for c in keep]).alias("carried")] if keep else []))
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, pieces: int = 1000) -> DataFrame:

@@ -43,20 +43,26 @@ class Automaton:
     """Compiled from ``vocab`` (label to id) and ``merges`` (pairs of labels, in order)."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], word_end: str):
-        self.vocab, self.word_end = vocab, word_end
+        self.word_end = word_end
         self.labels = {i: label for label, i in vocab.items()}
-        self.longest = max(len(label.removesuffix(word_end)) for label in vocab)
         #: (a, b) -> the merge whose gadget takes the reading of b from the state after a.
         self.taken: dict[tuple[int, int], int] = {}
         #: token -> (token whose state it was copied from, merge of the copy).
         self.copied: dict[int, tuple[int, int]] = {}
         #: token -> (token whose arcs it goes along with, merge since when).
         self.along: dict[int, tuple[int, int]] = {}
+        made = {vocab[a + b] for a, b in merges}
+        arcs = {i for i in vocab.values() if i not in made}
         for at, (a, b) in enumerate(merges):
             one, two, both = vocab[a], vocab[b], vocab[a + b]
+            if both in arcs or one not in arcs or two not in arcs or not self._reads(one, two):
+                continue  # no path reads a and then b any more
+            arcs.add(both)
             self.along[both] = (one, at)
             self.copied[both] = (two, at)
             self.taken[one, two] = at
+        self.vocab = {label: i for label, i in vocab.items() if i in arcs}
+        self.longest = max(len(label.removesuffix(word_end)) for label in self.vocab)
         self.steps: dict[tuple[int, int], bool] = {}
 
     def _reads(self, state: int, token: int) -> bool:

@@ -112,23 +112,27 @@ def literal_spans(text: str) -> list[Span]:
     """Literals that a sensitive name is given, directly or by way of constants."""
     if not (":" in text or "=" in text or "</" in text):
         return []
-    every = pairs(text)
-    constants = {}
+    every, values = pairs(text), {}
     for name, literal, quoted in every:
-        if quoted or not _REFERENCE.fullmatch(literal[0]):
-            constants.setdefault(name, literal)
-    links = {name: m[1] for name, literal, quoted in every if (m := _REFERENCE.fullmatch(literal[0])) and m[1] != name}
+        values.setdefault(name, (literal, quoted))
+
+    def named(value: str, quoted: bool) -> str | None:
+        """The name that a value stands for."""
+        m = _REFERENCE.fullmatch(value)
+        return m[1] if m and (value[0] in "$%" or not quoted and m[1] in values) else None
+
     found = set()
-    for name, literal, _ in every:
-        score = name_score(name)
-        if score:
-            target, seen = links.get(name), {name}
-            while target and target not in constants and target in links and target not in seen:
+    for name, literal, quoted in every:
+        if score := name_score(name):
+            seen = {name}
+            while target := named(literal[0], quoted):
+                if target in seen or target not in values:
+                    break
                 seen.add(target)
-                target = links[target]
-            literal = constants.get(target, literal) if (m := _REFERENCE.fullmatch(literal[0])) and m[1] == links.get(name) else literal
-            if score + literal_score(literal[0]) >= THRESHOLD:
-                found.add((literal[1], 3, literal[2]))
+                literal, quoted = values[target]
+            else:
+                if score + literal_score(literal[0]) >= THRESHOLD:
+                    found.add((literal[1], 3, literal[2]))
     return list(found)
 
 

@@ -1,0 +1,76 @@
+"""Secret scans: fixed patterns against plain searching, and what the reading of assignments adds."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from plumbline.llm import secret_lexer
+from tests.llm.texts import awkward, frame
+
+KINDS = ["assign", "access", "hex"]
+
+
+def base(text):
+    text, found = text or "", []
+    for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        found += [(m.start(), 0, m.end())] if len(m[2]) >= 6 else []
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def noise(n=400):
+    rng = random.Random(3)
+    parts = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", "api-key", ":", "=", " ", "  ", '"', "'", "abc123", "hunter2x", "a/b+c==", "AKIA",
+             "ABCDEFGHIJKLMNOP", "0123456789abcdef", "deadbeefdeadbeefdeadbeef", "\n", "é🙂", "ſecret", "toKen"]
+    return [(1000 + k, "".join(rng.choice(parts) for _ in range(rng.randint(1, 30))), "a") for k in range(n)]
+
+
+def test_base_spans(spark):
+    rows = awkward() + noise()
+    got = Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in secret_lexer.find_secrets(frame(spark, rows)).collect())
+    want = Counter()
+    for i, t, _ in rows:
+        found = base(t)
+        counts = Counter(k for _, k, _ in found)
+        told = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found)
+        want[i, counts[0], counts[1], counts[2], hashlib.sha256(told.encode()).hexdigest()] += 1
+    assert got == want
+
+
+def test_all_spans_hold_the_base_and_are_sorted(spark):
+    for r in secret_lexer.find_secrets(frame(spark, awkward() + noise())).collect():
+        spans = [s.split(":") for s in r["spans"].split(",") if s]
+        assert [*map(lambda s: (int(s[1]), [*KINDS, "literal"].index(s[0])), spans)] == sorted((int(s[1]), [*KINDS, "literal"].index(s[0])) for s in spans)
+        kept = ",".join(":".join(s) for s in spans if s[0] != "literal")
+        assert hashlib.sha256(kept.encode()).hexdigest() == r["base_sha256"]
+
+
+@pytest.mark.parametrize("text, literals", [
+    ('DB = "hunter2-XY99zz"\ndb_password = DB', ["hunter2-XY99zz"]),
+    ('A = "x9Y8z7W6v5"\nB = A\nclient_secret = B', ["x9Y8z7W6v5"]),
+    ("auth_token: ${TOK}\nTOK=q8W7e6R5t4Y3u2", ["q8W7e6R5t4Y3u2"]),
+    ('const signingKey = "ab" + "cdEF12345678";', ['ab" + "cdEF12345678']),
+    ("<password>s3cr3tValue9</password>", ["s3cr3tValue9"]),
+    ("db.pwd=Tr0ub4dor&3", ["Tr0ub4dor&3"]),
+    ("max_tokens: 100000", []), ("password_length = 1234567", []), ("secret_name: production", []), ('credentials = "changeme"', []),
+    ("private_key == q8W7e6R5t4Y3u2", []), ("the key: a small word", []), ("A = B\nB = A\nsecret_key = A", []), ("", []),
+])
+def test_assignments(text, literals):
+    assert [text[s:e] for s, k, e in secret_lexer.spans(text)[1] if k == 3] == literals
+
+
+def test_masking_leaves_no_secret_and_no_other_change(spark):
+    docs = frame(spark, awkward() + noise())
+    before, after = ({(r["doc_id"], k): r for k, r in enumerate(d.collect())} for d in (docs, secret_lexer.without_secrets(docs)))
+    assert before.keys() == after.keys()
+    for key, row in after.items():
+        assert row["n_chars"] == (None if row["text"] is None else len(row["text"]))
+        assert not secret_lexer.base_spans(row["text"] or "")
+        if not secret_lexer.spans(before[key]["text"] or "")[1]:
+            assert row == before[key]
+    assert secret_lexer.find_secrets(docs.limit(0)).count() == 0
+    assert secret_lexer.without_secrets(docs).columns == docs.columns
