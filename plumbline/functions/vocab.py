@@ -6,8 +6,6 @@ they can be reviewed and overridden; no logic lives here.
 """
 
 # --- fixed values: limits -------------------------------------------------------
-MAX_ROWS = 50_000
-MAX_BYTES = 25_000_000
 PAGE_ROWS = 32_000
 MAX_CATEGORIES = 25
 MAX_CHART_POINTS = 1_000
@@ -29,7 +27,6 @@ LIMIT_MAX = 32_000
 MIN_QUESTION_CHARS = 3
 DISAMBIGUATE_POOL = 5
 NEAR_MISSES = 5
-TYPE_SAMPLE_ROWS = 200
 BANNER_ROWS = 2
 CACHE_TTL_S = 30 * 86_400
 CACHE_MAX_BYTES = 2_000_000_000

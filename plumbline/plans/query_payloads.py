@@ -95,6 +95,48 @@ def csv_payload_cells(spark: SparkSession, folder: str) -> DataFrame:
     return payloads.payload_cells(parsed).select("rid", "row_idx", "col_name", "cell")
 
 
+@query("header_collisions", """
+    select 'n' || n_nationkey as rid, unnest(['a', 'a_2', 'a_3', 'col_4', n_name, n_name || '_2']) as col_name, cast(unnest([0, 1, 2, 3, 4, 5]) as bigint) as col_idx from nation
+""")
+def header_collisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Headers whose repeated name, once numbered, is a name that is there already."""
+    body = F.concat(F.lit("a,a_2,a,,"), "n_name", F.lit(","), "n_name", F.lit("\n1,2,3,4,5,6\n"))
+    files = table(spark, folder, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("rid"), body.cast("binary").alias("content"), F.lit(True).alias("body_complete"))
+    cells = payloads.payload_cells(payloads.parse_delimited(files))
+    return cells.select("rid", "col_name", F.col("col_idx").cast("long").alias("col_idx"))
+
+
+@query("late_type_change", f"""
+    with o as (select o_custkey, count(*) as n from orders group by 1)
+    select cast(o_custkey as varchar) as rid, cast(n as bigint) as row_count, unnest(['id', 'cents']) as col_name,
+           unnest(['integer', case when n = 1 then 'text' when o_custkey % 2 = 0 then 'text' else 'integer' end]) as source_type from o
+""")
+def late_type_change(spark: SparkSession, folder: str) -> DataFrame:
+    """A file per customer with all orders, fields in quotes now and then; only the last row of every other file is no number."""
+    orders = table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("k"), "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").cast("string").alias("cents"))
+    last = orders.groupBy("k").agg(F.max("o_orderkey").alias("last"), F.count(F.lit(1)).alias("n"))
+    text = F.when((F.col("o_orderkey") == F.col("last")) & ((F.col("k") % 2 == 0) | (F.col("n") == 1)), "x;\n\"x").otherwise(F.col("cents"))
+    line = F.concat(F.col("o_orderkey").cast("string"), F.lit(';"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"\n'))
+    files = orders.join(last, "k").groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda r: r["line"]), "").alias("body")).select(
+        F.col("k").cast("string").alias("rid"), F.concat(F.lit("id;cents\n"), "body").cast("binary").alias("content"), F.lit(True).alias("body_complete"))
+    parsed = materialise(payloads.parse_delimited(files), "parsed")
+    counts = payloads.payload_tables(parsed, files).select("rid", F.col("row_count").cast("long").alias("row_count"))
+    return payloads.source_types(payloads.payload_cells(parsed)).join(counts, "rid").select("rid", "row_count", "col_name", "source_type")
+
+
+@query("json_with_mark", """
+    select event_id as rid, cast(0 as bigint) as row_idx, case when event_id % 2 = 0 then 'Ωμέγα' else 'x' end as cell from events
+""")
+def json_with_mark(spark: SparkSession, folder: str) -> DataFrame:
+    """JSON bodies behind a byte-order mark, and in an encoding of one byte a letter."""
+    mark = F.concat(F.lit(b"\xef\xbb\xbf"), F.lit('[{"a":"x"}]'.encode()))
+    bodies = table(spark, folder, "events").select(
+        F.col("event_id").alias("rid"), F.when(F.col("event_id") % 2 == 0, F.lit('[{"a":"Ωμέγα"}]'.encode("cp1253"))).otherwise(mark).alias("content"))
+    rows = payloads.parse_records(bodies)
+    return rows.select("rid", "row_idx", F.try_element_at("record", F.lit("a")).alias("cell"))
+
+
 @query("source_types", f"""
     select 'c' || c_custkey as rid, unnest(['name', 'cents', 'segment']) as col_name, unnest(['text', 'integer', 'text']) as source_type from customer where c_custkey % 6 < 5
 """)

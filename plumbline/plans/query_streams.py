@@ -134,7 +134,6 @@ def stream_payload_tables(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "customer").join(names, "c_nationkey").select("nation", F.col("nation").alias("segment"), "c_name", (F.col("c_custkey") % 7).alias("code"))
     rows.write.partitionBy("nation").option("header", "true").option("sep", ";").csv(f"{path}/in")
     landed = payloads.read_files(spark, f"{path}/in", "*.csv", stream=True)
-    cells = payloads.payload_cells(payloads.parse_delimited(landed))
-    streams.append_batches(cells, f"{path}/out", f"{path}/state", "append").awaitTermination()
+    streams.land_cells(landed, f"{path}/out", f"{path}/state").awaitTermination()
     out = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/out")
     return out.filter("col_name = 'segment'").groupBy(F.col("cell").alias("segment")).agg(F.count(F.lit(1)).alias("cells"))

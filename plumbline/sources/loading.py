@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import vocab
 from plumbline.session import materialise
 from plumbline.sources import payloads
 
@@ -24,7 +23,7 @@ class LoadedTables:
         return payloads.source_types(self.cells)
 
 
-def load_tables(resources: DataFrame, landed: DataFrame, max_rows: int = vocab.MAX_ROWS) -> LoadedTables:
+def load_tables(resources: DataFrame, landed: DataFrame, max_rows: int | None = None) -> LoadedTables:
     """Join resources with their payloads and read each by its actual kind.
 
     ``resources``: id, format - ``landed``: rid, content, body_complete.  A resource

@@ -1,53 +1,41 @@
 """Landed payloads of unknown quality to text tables.
 
-The unit of work is one payload: its kind, encoding, dialect, header and rows
-are decided inside the task that holds its bytes.  A bad payload gives a typed
-error row and never fails a job.  Large delimited files known to be clean are
-read with ``spark.read.csv`` instead, which splits them.
+Kind and encoding are decided where a body lies; its records are rows from then
+on.  A bad payload gives a typed error row and never fails a job.  Large delimited
+files known to be clean are read with ``spark.read.csv`` instead, which splits them.
 """
 
 from __future__ import annotations
 
-import csv
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import vocab
 from plumbline.functions.text import strip
+from plumbline.sources.delimited import decoded, parse_delimited
 
-PARSED = (
-    "rid string, row_idx long, names array<string>, cells array<string>, delimiter string, confident boolean,"
-    "encoding string, truncated boolean, header_trusted boolean, dropped_rows int, error_kind string, error_detail string"
-)
-LINE_BREAK = re.compile("\r\n|\r|\n")
-SAMPLE_CHARS = 65_536
-SAMPLE_LINES = 200
+__all__ = ["parse_delimited"]
 
 
-def read_files(spark: SparkSession, path: str, pattern: str = "*", stream: bool = False) -> DataFrame:
-    """Files as payloads: rid is the file path; bodies past the byte cap are cut."""
+def read_files(spark: SparkSession, path: str, pattern: str = "*", stream: bool = False, max_bytes: int | None = None) -> DataFrame:
+    """Files as payloads: rid is the file path; bodies are whole unless ``max_bytes`` cuts them."""
     reader = (spark.readStream.schema("path string, modificationTime timestamp, length long, content binary") if stream else spark.read)
     files = reader.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select(
-        F.col("path").alias("rid"), F.substring("content", 1, vocab.MAX_BYTES).alias("content"),
-        (F.col("length") <= vocab.MAX_BYTES).alias("body_complete"))
+    if max_bytes is None:
+        return files.select(F.col("path").alias("rid"), "content", F.lit(True).alias("body_complete"))
+    return files.select(F.col("path").alias("rid"), F.substring("content", 1, max_bytes).alias("content"), (F.col("length") <= max_bytes).alias("body_complete"))
 
 
 # --- kind -------------------------------------------------------------------------
 
 
 def payload_kind(content: Column, content_type: Column | None = None) -> Column:
-    """Coarse kind of a body from its first bytes."""
-    head = F.substring(content, 1, 4096)
+    """Coarse kind of a body: whether it holds anything, its first bytes, the first mark behind blanks, NUL bytes anywhere."""
     start = F.hex(F.substring(content, 1, 16))
-    text = F.make_valid_utf8(F.substring(content, 1, 1024).cast("string"))
-    prefix = F.lower(strip(F.regexp_replace(strip(text), "^\ufeff", "")))
-    kind = F.when(strip(F.make_valid_utf8(head.cast("string"))) == "", F.lit("empty"))
+    text = strip(F.regexp_replace(strip(F.make_valid_utf8(content.cast("string"))), "^\ufeff", ""))
+    prefix = F.lower(F.left(text, F.lit(1024)))
+    kind = F.when(text == "", F.lit("empty"))
     for signature, name in vocab.MAGIC_HEX:
         kind = kind.when(F.startswith(start, F.lit(signature)), F.lit(name))
     if content_type is not None:
@@ -61,7 +49,7 @@ def payload_kind(content: Column, content_type: Column | None = None) -> Column:
 
     return (
         kind.when(opens_with(vocab.HTML_MARKERS), F.lit("html")).when(opens_with(vocab.XML_MARKERS), F.lit("xml"))
-        .when(opens_with(("{", "[")), F.lit("json")).when(F.contains(head.cast("string"), F.lit("\x00")), F.lit("binary"))
+        .when(opens_with(("{", "[")), F.lit("json")).when(F.contains(content.cast("string"), F.lit("\x00")), F.lit("binary"))
         .otherwise(F.lit("csv"))
     )
 
@@ -84,137 +72,17 @@ def encoding_audit(content: Column, content_type: Column) -> list[Column]:
     ]
 
 
-# --- delimited text ------------------------------------------------------------------
-
-
-def decode(body: bytes) -> tuple[str, str]:
-    """Strict decoding under the known codecs, a byte-order mark first."""
-    ladder = (["utf-8-sig"] if body[:3] == b"\xef\xbb\xbf" else []) + list(vocab.CODECS)
-    for codec in ladder:
-        try:
-            return body.decode(codec), codec
-        except UnicodeDecodeError:
-            pass
-    raise ValueError("body is in none of the known encodings")
-
-
-def dialect_of(lines: list[str]) -> tuple[str, bool]:
-    """Delimiter and whether it was recognised, from whole lines."""
-    sample = "\n".join([line for line in lines if line.strip()][:SAMPLE_LINES])
-    try:
-        return (csv.Sniffer().sniff(sample, vocab.DELIMITERS).delimiter, True) if sample else (",", False)
-    except csv.Error:
-        return ",", False
-
-
-def unique_names(header: list[str]) -> list[str]:
-    taken: dict[str, int] = {}
-    names = []
-    for place, cell in enumerate(header):
-        name = cell.strip().lstrip("\ufeff") or f"col_{place + 1}"
-        taken[name] = taken.get(name, 0) + 1
-        names.append(name if taken[name] == 1 else f"{name}_{taken[name]}")
-    return names
-
-
-def _filled(row: list[str]) -> set[int]:
-    return {place for place, cell in enumerate(row) if cell.strip()}
-
-
-def _is_title(row: list[str], below: list[str]) -> bool:
-    """A merged title above the header: hardly filled, with room to its right."""
-    here, under = len(_filled(row)), len(_filled(below))
-    return here <= 2 and here < len(row) and under >= max(2, 2 * here)
-
-
-def _is_second_header(header: list[str], below: list[str]) -> bool:
-    """Fills cells the header left empty and leaves empty some it filled."""
-    width = range(min(len(header), len(below)))
-    top, under = _filled(header).intersection(width), _filled(below).intersection(width)
-    return bool(under - top) and bool(top - under)
-
-
-def read_delimited(body: bytes, body_complete: bool, max_rows: int) -> tuple[dict, list[str], list[list[str | None]]]:
-    """Facts, column names and padded rows of one delimited body."""
-    if not body_complete:  # the last line of a cut body is not a record
-        body = body[: body.rfind(b"\n") + 1]
-    text, codec = decode(body)
-    if "\x00" in text:
-        raise ValueError("payload contains NUL bytes; not text")
-    lines = LINE_BREAK.split(text)
-    delimiter, confident = dialect_of(LINE_BREAK.split(text[:SAMPLE_CHARS]))
-    declared = re.fullmatch(r"(?i)\s*sep=(.)\s*", lines[0]) if lines else None
-    if declared:
-        delimiter, lines = declared[1], lines[1:]
-    look_ahead = max_rows + vocab.BANNER_ROWS + 3
-    rows: list[list[str]] = []
-    for row in csv.reader((line for line in lines if line), delimiter=delimiter):
-        rows.append(row)
-        if len(rows) == look_ahead:
-            break
-    whole = len(rows) < look_ahead
-    start = 0
-    while start < len(rows) and not _filled(rows[start]):
-        start += 1
-    titles = 0
-    while titles < vocab.BANNER_ROWS and start + 1 < len(rows) and _is_title(rows[start], rows[start + 1]):
-        start, titles = start + 1, titles + 1
-    if start >= len(rows):
-        raise ValueError("no header row")
-    header, first = rows[start], start + 1
-    trusted = not (first < len(rows) and _is_second_header(header, rows[first]))
-    if not trusted:
-        first += 1
-    names, last = unique_names(header), len(rows)
-    truncated = last - first > max_rows
-    if truncated:
-        last = first + max_rows
-    elif whole:  # footnotes fill one cell of a wide table
-        while last > first and len(names) >= 3 and len(_filled(rows[last - 1])) == 1:
-            last -= 1
-    dropped = start + (not trusted) + (0 if truncated else len(rows) - last)
-    width = len(names)
-    padded = [(row + [None] * (width - len(row)))[:width] for row in rows[first:last]]
-    facts = {"delimiter": delimiter, "confident": confident, "encoding": codec, "truncated": truncated,
-             "header_trusted": trusted, "dropped_rows": dropped}
-    return facts, names, padded
-
-
-def parse_delimited(payloads: DataFrame, max_rows: int = vocab.MAX_ROWS) -> DataFrame:
-    """Every payload's rows; row -1 carries the header and facts, or the error.
-
-    ``payloads``: rid, content, body_complete.
-    """
-
-    empty = dict.fromkeys(column.split()[0] for column in PARSED.split(","))
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for rid, body, complete in zip(batch["rid"], batch["content"], batch["body_complete"]):
-                blank = {"rid": rid, "row_idx": -1, "dropped_rows": 0}
-                try:
-                    facts, names, rows = read_delimited(bytes(body), bool(complete), max_rows)
-                except (ValueError, csv.Error) as error:
-                    found.append({**blank, "error_kind": "malformed", "error_detail": str(error)})
-                    continue
-                found.append({**blank, **facts, "names": names})
-                found.extend({"rid": rid, "row_idx": i, "names": names, "cells": row, "dropped_rows": 0} for i, row in enumerate(rows))
-            yield pd.DataFrame([{**empty, **row} for row in found], columns=list(empty))
-
-    return payloads.select("rid", "content", "body_complete").mapInPandas(parse, PARSED)
-
-
 # --- JSON records -----------------------------------------------------------------------
 
 
-def parse_records(payloads: DataFrame, max_rows: int = vocab.MAX_ROWS) -> DataFrame:
+def parse_records(payloads: DataFrame, max_rows: int | None = None) -> DataFrame:
     """JSON arrays of objects, or objects with exactly one list, as rows of cells.
 
-    ``payloads``: rid, content (text).  Gives rid, row_idx, record (name to text,
+    ``payloads``: rid, content, in any of the known encodings.  All records are given
+    unless ``max_rows`` is passed.  Gives rid, row_idx, record (name to text,
     in written order), truncated, error_kind; nested values stay JSON text.
     """
-    text = strip(F.col("content").cast("string"))
+    text = strip(decoded(F.col("content"))["text"])
     opened = payloads.select("rid", text.alias("t")).withColumn("is_list", F.startswith("t", F.lit("[")))
     entries = F.map_entries(F.from_json("t", "map<string,string>"))
     lists = F.filter(entries, lambda e: F.startswith(e["value"], F.lit("[")) & F.try_parse_json(e["value"]).isNotNull())
@@ -223,9 +91,10 @@ def parse_records(payloads: DataFrame, max_rows: int = vocab.MAX_ROWS) -> DataFr
     records = chosen.withColumn("records", F.from_json("body", "array<map<string,string>>")).withColumn(
         "error_kind",
         F.when(F.col("body").isNull() | F.col("records").isNull() | F.exists("records", lambda r: r.isNull()), F.lit("malformed")))
+    kept = F.col("records") if max_rows is None else F.slice("records", 1, max_rows)
     rows = records.select(
-        "rid", "error_kind", (F.size("records") > max_rows).alias("truncated"),
-        F.posexplode_outer(F.when(F.col("error_kind").isNull(), F.slice("records", 1, max_rows))).alias("row_idx", "record"))
+        "rid", "error_kind", (F.size("records") > F.size(kept)).alias("truncated"),
+        F.posexplode_outer(F.when(F.col("error_kind").isNull(), kept)).alias("row_idx", "record"))
     return rows.select("rid", F.col("row_idx").cast("long").alias("row_idx"), "record", "truncated", "error_kind")
 
 
@@ -249,13 +118,11 @@ def record_cells(rows: DataFrame, header: DataFrame) -> DataFrame:
 PAGES = "rid string, offset long, total long, fields array<struct<id:string,type:string>>, records array<map<string,string>>"
 
 
-def paged_tables(pages: DataFrame, max_rows: int = vocab.MAX_ROWS) -> DataFrame:
+def paged_tables(pages: DataFrame) -> DataFrame:
     """One row per paged table: rows landed, completeness and why not complete."""
-    landed = pages.groupBy("rid").agg(F.sum(F.size("records")).alias("landed"), F.max("total").alias("upstream_total"))
-    capped, short = F.col("landed") >= max_rows, F.col("landed") < F.col("upstream_total")
-    reason = F.when(short & capped, F.lit("row_cap")).when(short, F.lit("page_stop"))
-    return landed.select(
-        "rid", F.least("landed", F.lit(max_rows)).alias("row_count"), "upstream_total", reason.isNull().alias("complete"), reason.alias("incomplete_reason"))
+    landed = pages.groupBy("rid").agg(F.sum(F.size("records")).alias("row_count"), F.max("total").alias("upstream_total"))
+    reason = F.when(F.col("row_count") < F.col("upstream_total"), F.lit("page_stop"))
+    return landed.select("rid", "row_count", "upstream_total", reason.isNull().alias("complete"), reason.alias("incomplete_reason"))
 
 
 def paged_columns(pages: DataFrame) -> DataFrame:
@@ -287,16 +154,15 @@ def payload_tables(parsed: DataFrame, payloads: DataFrame) -> DataFrame:
     looks = F.col("cells")[0].rlike("[,;\t|]")
     rows = parsed.filter("row_idx >= 0").groupBy("rid").agg(
         F.count(F.lit(1)).alias("row_count"),
-        F.count_if((F.col("row_idx") < 50) & F.coalesce(looks, F.lit(False))).alias("delimited"))
+        F.count_if(F.coalesce(looks, F.lit(False))).alias("delimited"))
     head = parsed.filter("row_idx = -1").select(
         "rid", "names", "delimiter", "confident", "encoding", "truncated", "header_trusted", "dropped_rows", "error_kind", "error_detail")
     joined = head.join(rows, "rid", "left").join(payloads.select("rid", "body_complete"), "rid")
     reason = F.when(F.col("truncated"), F.lit("row_cap")).when(~F.col("body_complete"), F.lit("byte_cap"))
-    sampled = F.least(F.coalesce("row_count", F.lit(0)), F.lit(50))
     problem = (
         F.when(F.exists("names", lambda n: n.rlike("[<>]")), F.lit("header looks like markup, not column names"))
         .when(F.col("row_count").isNull(), F.lit("no data rows parsed"))
-        .when(~F.col("confident") & (width == 1) & (F.col("delimited") > F.floor(sampled / 2)),
+        .when(~F.col("confident") & (width == 1) & (F.col("delimited") > F.floor(F.coalesce("row_count", F.lit(0)) / 2)),
               F.lit("delimiter could not be sniffed and the single column still looks delimited"))
     )
     return joined.select(
@@ -313,11 +179,11 @@ def payload_cells(parsed: DataFrame) -> DataFrame:
         "rid", "row_idx", "col_idx", F.col("z.names").alias("col_name"), F.col("z.cells").alias("cell"))
 
 
-def source_types(cells: DataFrame, sample_rows: int = vocab.TYPE_SAMPLE_ROWS) -> DataFrame:
-    """Narrowest type every sampled cell of a column satisfies; ``text`` without any."""
+def source_types(cells: DataFrame) -> DataFrame:
+    """Narrowest type that every cell of a column satisfies; ``text`` without any."""
     value = strip(F.col("cell"))
     words = [w for w in (*vocab.TRUE_WORDS, *vocab.FALSE_WORDS) if w not in ("0", "1")]
-    present = F.coalesce(value != "", F.lit(False)) & (F.col("row_idx") < sample_rows)
+    present = F.coalesce(value != "", F.lit(False))
 
     def every(test: Column) -> Column:
         return F.coalesce(F.min(F.when(present, test)), F.lit(False))

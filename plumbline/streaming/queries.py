@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.operators import usage
 from plumbline.operators.retrieval import refresh_vectors
-from plumbline.sources import snapshots
+from plumbline.sources import payloads, snapshots
 
 
 def rolling_metrics(answers: DataFrame, window: str = "1 hour", slide: str | None = None, watermark: str = "10 minutes") -> DataFrame:
@@ -99,3 +99,11 @@ def refresh_index(
 def retained(rows: DataFrame, ttl: str, time: str = "asked_at") -> DataFrame:
     """Rows not older than the age limit at the time they are read."""
     return rows.filter(F.col(time) >= F.current_timestamp() - F.expr(f"interval {ttl}"))
+
+
+def land_cells(files: DataFrame, out: str, state: str) -> StreamingQuery:
+    """Arriving delimited files to cells, a folder for each batch, so that a batch done again replaces its own."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        payloads.payload_cells(payloads.parse_delimited(batch)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()

@@ -50,6 +50,22 @@ def test_headers_and_rows(parsed):
     assert tables["footnote"]["row_count"] == 2 and tables["footnote"]["dropped_rows"] == 1
 
 
+def test_quotes_and_names(spark):
+    body = 'a,a_2,a\n"x,""1""","two\nlines",3\n5" pipe,6" pipe,7\n'
+    frame = spark.createDataFrame([("q", bytearray(body.encode()), True)], "rid string, content binary, body_complete boolean")
+    rows = payloads.parse_delimited(frame).filter("row_idx >= 0").orderBy("row_idx").collect()
+    assert rows[0]["names"] == ["a", "a_2", "a_3"]
+    assert [r["cells"] for r in rows] == [['x,"1"', "two\nlines", "3"], ['5" pipe', '6" pipe', "7"]]
+
+
+def test_no_table_is_cut_by_default(spark):
+    body = "a;b\n" + "".join(f"{i};{i}\n" for i in range(60_000)) + "x;y\n"
+    frame = spark.createDataFrame([("x", bytearray(body.encode()), True)], "rid string, content binary, body_complete boolean")
+    parsed = payloads.parse_delimited(frame)
+    assert payloads.payload_tables(parsed, frame).first()["row_count"] == 60_001
+    assert {r["source_type"] for r in payloads.source_types(payloads.payload_cells(parsed)).collect()} == {"text"}
+
+
 def test_completeness(parsed):
     tables, _ = parsed
     assert (tables["cut"]["row_count"], tables["cut"]["incomplete_reason"]) == (1, "byte_cap")
@@ -106,7 +122,6 @@ def test_pages(spark):
     ], payloads.PAGES)
     tables = {r["rid"]: (r["row_count"], r["complete"], r["incomplete_reason"]) for r in payloads.paged_tables(pages).collect()}
     assert tables == {"full": (2, True, None), "short": (1, False, "page_stop")}
-    assert payloads.paged_tables(pages, max_rows=1).filter("rid = 'short'").first()["incomplete_reason"] == "row_cap"
     columns = payloads.paged_columns(pages)
     assert [(r["col_name"], r["source_type"]) for r in columns.filter("rid = 'full'").orderBy("col_idx").collect()] == [("v", "number"), ("w", "text")]
     assert payloads.paged_cells(pages, columns).filter("rid = 'full' and col_name = 'w' and row_idx = 1").first()["cell"] == "x"
