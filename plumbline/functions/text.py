@@ -162,14 +162,15 @@ def _quote(word: str) -> str:
     return "".join("\\" + c if c in ".^$*+?()[]{}|\\/" else c for c in word)
 
 
-def safe_label(text: Column, max_chars: int = vocab.MAX_LABEL_CHARS) -> Column:
-    """A cell value made safe to show: no control characters, links or markup."""
-    out = F.regexp_replace(F.substring(text, 1, max_chars * 4), "[\\x00-\\x1f\\x7f]", " ")
+def safe_label(text: Column, max_chars: int | None = vocab.MAX_LABEL_CHARS) -> Column:
+    """A cell value made safe to show: no control characters, links or markup; whole if ``max_chars`` is None."""
+    out = F.regexp_replace(text if max_chars is None else F.substring(text, 1, max_chars * 4), "[\\x00-\\x1f\\x7f]", " ")
     for pattern in vocab.MARKUP_PATTERNS:
         out = F.regexp_replace(out, pattern, " ")
     out = F.trim(F.regexp_replace(out, SPACES, " "))
-    cut = F.concat(F.rtrim(F.substring(out, 1, max_chars - 1)), F.lit("…"))
-    out = F.when(F.length(out) > max_chars, cut).otherwise(out)
+    if max_chars is not None:
+        cut = F.concat(F.rtrim(F.substring(out, 1, max_chars - 1)), F.lit("…"))
+        out = F.when(F.length(out) > max_chars, cut).otherwise(out)
     return F.when(out == "", F.lit("—")).otherwise(out)
 
 

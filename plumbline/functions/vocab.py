@@ -11,7 +11,6 @@ MAX_CATEGORIES = 25
 MAX_CHART_POINTS = 1_000
 MAX_LABEL_CHARS = 120
 MAX_SERIES_LABEL_CHARS = 64
-MAX_UNPIVOT_ROWS = 100_000
 DECIMAL_DIGITS = 32
 SENTINEL_RATIO = 0.20
 CODE_MAX_LEN = 8

@@ -144,13 +144,11 @@ def grouped_facts(
     order = [F.desc("fact"), F.asc("first_row")]
     ranked = top_with_remainder(
         groups.select(*keys, "label_key", "label", "fact", "total", "n", "first_row", "spellings"),
-        keys, "label_key", order, ["total", "n", "spellings"], n,
+        keys, "label_key", order, ["total", "n", "spellings"], n, ends=["fact"],
     )
     used = F.sum("total_n").over(W.partitionBy(*keys))
     if operation in ("min", "max"):
-        # the hidden categories rank below the shown ones, so their extreme is not
-        # a sum of parts; it stays unstated rather than being guessed
-        rest = F.lit(None).cast("decimal(38,12)")
+        rest = F.col("low_fact" if operation == "min" else "high_fact")
     elif operation == "avg":
         rest = _mean(F.col("total_total"), F.col("total_n"), scale)
     else:
@@ -167,6 +165,7 @@ def grouped_facts(
         F.when(F.col("is_remainder"), F.col("members")).otherwise(F.lit(0)).alias("omitted"),
         "is_remainder",
         F.col("total_spellings").alias("spellings"),
+        F.when(~F.col("is_remainder"), F.col("row.label_key")).alias("label_key"),
     )
 
 
@@ -184,7 +183,7 @@ def time_series(rows: DataFrame, keys: Sequence[str] = RID, identity: str = "ide
     points = rows.filter(F.col("moment").isNotNull() & F.col("value").isNotNull())
     dupes = series_duplicates(points, keys, identity).filter("duplicates = 0").select(*keys, "n_series")
     return points.join(dupes, keys).select(
-        *keys, safe_label(F.col(identity), vocab.MAX_SERIES_LABEL_CHARS).alias("series"),
+        *keys, safe_label(F.col(identity), None).alias("series"),
         F.col("moment").alias("dim"), "value", "n_series",
     )
 
@@ -276,11 +275,14 @@ def categorical_truncation(rows: DataFrame, keys: Sequence[str] = RID, block: in
     )
 
 
-def apply_intent(rows: DataFrame, date_from: Column, date_to: Column, region: Column) -> DataFrame:
-    """Keep the rows a question asked for; null intent keeps everything."""
-    wanted = (
+def apply_period(rows: DataFrame, date_from: Column, date_to: Column) -> DataFrame:
+    """Keep the rows of the period a question asked for; a null end leaves that side open."""
+    return rows.filter(
         (date_from.isNull() | F.coalesce(F.col("moment") >= date_from, F.lit(False)))
-        & (date_to.isNull() | F.coalesce(F.col("moment") <= date_to, F.lit(False)))
-        & (region.isNull() | F.coalesce(group_key(F.col("label")) == group_key(region), F.lit(False)))
-    )
-    return rows.filter(wanted)
+        & (date_to.isNull() | F.coalesce(F.col("moment") <= date_to, F.lit(False))))
+
+
+def apply_intent(rows: DataFrame, date_from: Column, date_to: Column, region: Column) -> DataFrame:
+    """Keep the rows of a period and of one label; null intent keeps everything."""
+    return apply_period(rows, date_from, date_to).filter(
+        region.isNull() | F.coalesce(group_key(F.col("label")) == group_key(region), F.lit(False)))

@@ -83,9 +83,12 @@ def top_with_remainder(
     sums: Sequence[str],
     n: int,
     buckets: int = 64,
+    ends: Sequence[str] = (),
 ) -> DataFrame:
     """The first ``n`` members of every key, and one remainder row for the rest.
 
+    Columns in ``sums`` are added up, of those in ``ends`` the least and the largest are kept.
+
     ``groups`` has one row per (key, member).  Ranking happens first inside
     (key, hash bucket of the member); what falls past ``n`` there can never be
     in the top and is summed at once.  Only ``buckets * (n + 1)`` rows per key
@@ -102,10 +105,10 @@ def top_with_remainder(
     kept = F.col("_rank") <= n
     reduced = ranked.groupBy(*keys, "_bucket", F.when(kept, F.col("_rank")).alias("_slot")).agg(
         F.count(F.lit(1)).alias("_members"),
-        *[F.sum(c).alias(f"_sum_{c}") for c in sums],
+        *[F.sum(c).alias(f"_sum_{c}") for c in sums], *[f(c).alias(f"_{n}_{c}") for c in ends for n, f in (("low", F.min), ("high", F.max))],
         F.first(F.when(kept, F.struct(*names)), ignorenulls=True).alias("_row"),
     )
-    flat = reduced.select(*keys, "_members", *[f"_sum_{c}" for c in sums], "_row", *[F.col(f"_row.{c}").alias(c) for c in names])
+    flat = reduced.select(*keys, "_members", *[f"_sum_{c}" for c in sums], *[f"_{e}_{c}" for c in ends for e in ("low", "high")], "_row", *[F.col(f"_row.{c}").alias(c) for c in names])
     final = W.partitionBy(*keys).orderBy(F.col("_row").isNull(), *order)
     placed = flat.withColumn("_place", F.row_number().over(final))
     top = F.col("_row").isNotNull() & (F.col("_place") <= n)
@@ -114,6 +117,7 @@ def top_with_remainder(
         .agg(
             F.sum("_members").alias("members"),
             *[F.sum(f"_sum_{c}").alias(f"total_{c}") for c in sums],
+            *[f(f"_{e}_{c}").alias(f"{e}_{c}") for c in ends for e, f in (("low", F.min), ("high", F.max))],
             F.first(F.when(top, F.struct(*names)), ignorenulls=True).alias("row"),
         )
         .withColumn("is_remainder", F.col("pos").isNull())

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import dates, numbers, vocab, web
-from plumbline.functions.text import detect_language, group_key, normalise_question, output_language, strip
+from plumbline.functions.text import detect_language, group_key, normalise_question, output_language, safe_label, strip
 from plumbline.operators import catalogue, retrieval
 
 PARAMS = "struct<date_from:string,date_to:string,region:string,metrics:array<string>,aggregation:string,group_by:string,limit:string>"
@@ -375,29 +375,30 @@ def looks_temporal(first_dim: Column) -> Column:
 
 
 def chart_series(points: DataFrame, headers: DataFrame, max_points: int = vocab.MAX_CHART_POINTS) -> DataFrame:
-    """Chart-ready points: kind, series, pos, dim, value.
+    """Chart-ready points: kind, series, pos, dim, value, ``too_many`` and the shortened ``series_label``.
 
-    ``points``: rid, series, dim, value, pos - ``headers``: rid, operation,
-    complete, temporal (flag), categorical_truncation.  A table with fewer than
-    two points, more than the ceiling, a listing, or categories cut away has no
-    chart.  Bars get a null cell for every category a series lacks.
+    ``points``: rid, series, dim, value, pos, and ``key`` where two categories may
+    show the same ``dim`` - ``headers``: rid, operation, complete, temporal (flag),
+    categorical_truncation.  A table with fewer than two points, a listing, or
+    categories cut away has no chart.  Bars get a null cell for every category a
+    series lacks; a table of over ``max_points`` points is marked and keeps to the points it has.
     """
+    points = points.withColumn("key", points["key"] if "key" in points.columns else points["dim"])
     sizes = points.groupBy("rid").agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("series").alias("n_series"))
     fit = (
-        sizes.filter(F.col("_n").between(2, max_points))
+        sizes.filter(F.col("_n") >= 2)
         .join(headers.filter((F.col("operation") != "listing") & ~F.col("categorical_truncation")), "rid")
-        .select("rid", "complete", chart_kind(F.col("operation"), F.col("n_series"), F.col("temporal")).alias("kind"))
+        .select("rid", "complete", (F.col("_n") > max_points).alias("too_many"), chart_kind(F.col("operation"), F.col("n_series"), F.col("temporal")).alias("kind"))
     )
-    shown = points.join(fit, "rid")
-    lines = shown.filter("kind = 'line'").select(
-        "rid", "kind", "series", (F.row_number().over(W.partitionBy("rid", "series").orderBy("dim")) - 1).alias("pos"), "dim",
-        F.col("value").cast("double").alias("value"))
+    shown = points.join(fit, "rid").withColumn("value", F.col("value").cast("double"))
+    lines = shown.filter("kind = 'line'").withColumn("pos", F.row_number().over(W.partitionBy("rid", "series").orderBy("dim")) - 1)
     bars = shown.filter("kind <> 'line'")
-    categories = bars.groupBy("rid", "kind", "dim").agg(
-        F.sum(F.col("value").cast("double")).alias("total"), F.min("pos").alias("first"), F.max("complete").alias("complete"))
-    ranked = categories.withColumn("bar", F.row_number().over(W.partitionBy("rid").orderBy(
-        F.when(F.col("complete"), -F.col("total")), F.when(F.col("complete"), F.col("dim")), "first", "dim")) - 1)
-    names = bars.select("rid", "series").distinct()
-    grid = ranked.select("rid", "kind", "dim", "bar").join(names, "rid")  # a chart holds at most max_points points
-    filled = grid.join(bars.select("rid", "series", "dim", F.col("value").cast("double").alias("value")), ["rid", "series", "dim"], "left")
-    return lines.unionByName(filled.select("rid", "kind", "series", F.col("bar").alias("pos"), "dim", "value"))
+    categories = bars.groupBy("rid", "kind", "too_many", "key", "dim").agg(
+        F.sum("value").alias("total"), F.min("pos").alias("first"), F.max("complete").alias("complete"))
+    ranked = categories.select("rid", "kind", "too_many", "key", "dim", (F.row_number().over(W.partitionBy("rid").orderBy(
+        F.when(F.col("complete"), -F.col("total")), F.when(F.col("complete"), F.col("dim")), "first", "dim")) - 1).alias("bar"))
+    names = bars.filter("not too_many").select("rid", "series").distinct()
+    grid = ranked.join(names, "rid").select("rid", "series", "key").unionByName(bars.filter("too_many").select("rid", "series", "key"))
+    filled = grid.join(ranked, ["rid", "key"]).join(bars.select("rid", "series", "key", "value"), ["rid", "series", "key"], "left").withColumnRenamed("bar", "pos")
+    told = ["rid", "kind", "series", "pos", "dim", "value", "too_many"]
+    return lines.select(*told).unionByName(filled.select(*told)).withColumn("series_label", safe_label(F.col("series"), vocab.MAX_SERIES_LABEL_CHARS))

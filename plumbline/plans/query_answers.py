@@ -234,6 +234,22 @@ def chart_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return answers.chart_series(points, headers).select("rid", "kind", "series", F.col("pos").cast("long").alias("pos"), "dim", "value")
 
 
+@query("chart_other_category", """
+    with g as (select case when l_linenumber < 3 then l_linenumber else 3 end as k, cast(sum(cast(l_quantity as bigint)) as double) as v from lineitem group by 1),
+    r as (select *, row_number() over (order by v desc, k) - 1 as p from g)
+    select cast(p as bigint) as pos, case when k = 1 then 'first' else 'Other' end as dim, v as value from r
+""")
+def chart_other_category(spark: SparkSession, folder: str) -> DataFrame:
+    """A category that is called like the remainder keeps a bar of its own."""
+    kind = F.least("l_linenumber", F.lit(3))
+    points = table(spark, folder, "lineitem").groupBy(kind.alias("k")).agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("value")).select(
+        F.lit("t").alias("rid"), F.lit("").alias("series"), F.when(F.col("k") == 1, "first").otherwise("Other").alias("dim"), "value", F.col("k").cast("long").alias("pos"),
+        F.col("k").cast("string").alias("key"))
+    headers = points.select("rid").distinct().select(
+        "rid", F.lit("sum").alias("operation"), F.lit(True).alias("complete"), F.lit(False).alias("temporal"), F.lit(False).alias("categorical_truncation"))
+    return answers.chart_series(points, headers).select(F.col("pos").cast("long").alias("pos"), "dim", "value")
+
+
 @query("chart_lines", """
     with v as (select o_orderstatus as rid, o_orderpriority as series, strftime(date_trunc('quarter', o_orderdate), '%Y-%m-%d') as dim, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as value from orders group by all)
     select rid, 'line' as kind, series, row_number() over (partition by rid, series order by dim) - 1 as pos, dim, value from v

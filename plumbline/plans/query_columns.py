@@ -272,7 +272,7 @@ def constant_columns(spark: SparkSession, folder: str) -> DataFrame:
 def unpivot_measures(spark: SparkSession, folder: str) -> DataFrame:
     """Parts have no time axis and two measures, so the measures become rows."""
     analysis = part_analysis(spark, folder)
-    return plan.unpivot_measures(analysis, max_rows=10**12).select(
+    return plan.unpivot_measures(analysis).select(
         "rid", "label", "measure", F.round("value", 2).cast("double").alias("value"), "row_idx")
 
 
@@ -303,13 +303,27 @@ def table_facts(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def question_facts(spark: SparkSession, folder: str) -> DataFrame:
     """One question per brand about the part table, with an aggregate of its own."""
+    return _brand_questions(spark, folder, None)
+
+
+def _brand_questions(spark: SparkSession, folder: str, date_from: str | None) -> DataFrame:
     analysis = part_analysis(spark, folder)
     number = F.regexp_extract("p_brand", "[0-9]+", 0).cast("int") % 4
     wanted = F.when(number == 0, "sum").when(number == 1, "avg").when(number == 2, "max").otherwise("count")
     none = F.lit(None).cast("string")
     plans = table(spark, folder, "part").select("p_brand").distinct().select(
         F.col("p_brand").alias("qid"), F.lit("part").alias("resource_id"), F.lit("matched").alias("status"),
-        F.struct(none.alias("date_from"), none.alias("date_to"), F.concat(F.lit(" "), "p_brand").alias("region"), wanted.alias("aggregation"),
+        F.struct(F.lit(date_from).cast("string").alias("date_from"), none.alias("date_to"), F.concat(F.lit(" "), "p_brand").alias("region"), wanted.alias("aggregation"), none.alias("group_by"),
                  F.lit(5).cast("long").alias("limit")).alias("params"))
     return asked.question_facts(plans, analysis).select(
         "qid", "operation", "label", "n", F.round("value", 4).cast("double").alias("value"))
+
+
+@query("question_unbound_date", """
+    with a as (select p_brand, count(*) as n, cast(sum(p_size) as double) as s, cast(max(p_size) as double) as m, cast(regexp_extract(p_brand, '[0-9]+') as int) % 4 as o from part group by all)
+    select p_brand as qid, case o when 0 then 'sum' when 1 then 'avg' when 2 then 'max' else 'count' end as operation, p_brand as label, cast(n as bigint) as n,
+           round(case o when 0 then s when 1 then s / n when 2 then m else n end, 4) as value from a
+""")
+def question_unbound_date(spark: SparkSession, folder: str) -> DataFrame:
+    """The same questions with a date, which the part table has no column for: not applied, not refused."""
+    return _brand_questions(spark, folder, "2020-01-01")

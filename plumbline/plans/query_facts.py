@@ -220,6 +220,29 @@ def series_first_last(spark: SparkSession, folder: str) -> DataFrame:
         F.col("n_used").cast("long").alias("n_used"))
 
 
+@query("max_remainder", """
+    with m as (select p_type as label, max(p_retailprice) as m, min(p_partkey) as f, count(*) as n from part group by all),
+    r as (select *, row_number() over (order by m desc, f) as p from m)
+    select cast(least(p, 4) as bigint) as pos, round(max(m), 2) as value, cast(sum(n) as bigint) as n from r group by least(p, 4)
+""")
+def max_remainder(spark: SparkSession, folder: str) -> DataFrame:
+    """Three types with the highest price, and the highest price among all others."""
+    rows = table(spark, folder, "part").select(
+        F.lit("part").alias("rid"), F.col("p_partkey").alias("row_idx"), F.col("p_type").alias("label"), F.col("p_retailprice").cast("decimal(18,2)").alias("value"))
+    return facts.grouped_facts(rows, "max", n=3).select(
+        F.col("pos").cast("long").alias("pos"), F.round("value", 2).cast("double").alias("value"), F.col("n").cast("long").alias("n"))
+
+
+@query("series_long_names", """
+    select repeat('x', 80) || p_brand as series, cast(count(*) as bigint) as points from (select distinct p_brand, p_size from part) group by 1
+""")
+def series_long_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Series whose names differ only behind their eightieth character stay apart."""
+    rows = table(spark, folder, "part").groupBy("p_brand", "p_size").agg(F.max("p_retailprice").cast("decimal(18,2)").alias("value")).select(
+        F.lit("part").alias("rid"), F.concat(F.lit("x" * 80), "p_brand").alias("identity"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("p_size")).alias("moment"), "value")
+    return facts.time_series(rows).groupBy("series").agg(F.count(F.lit(1)).alias("points"))
+
+
 @query("intent_filtered_sum", """
     select o_orderstatus as rid, o_orderpriority as label, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as value, cast(count(*) as bigint) as n
     from orders where o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '1998-01-01' and lower(o_orderpriority) = lower('1-Urgent')

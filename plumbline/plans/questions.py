@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import group_key
 from plumbline.operators import facts
+from plumbline.plans import answers
 from plumbline.plans.tables import TableAnalysis
 from plumbline.session import materialise
 
@@ -28,10 +30,25 @@ def requested_operations(plans: DataFrame, bindings: DataFrame) -> DataFrame:
 
 
 def question_rows(operations: DataFrame, analysis: TableAnalysis) -> DataFrame:
-    """Bound rows of each question after its period and region."""
-    joined = analysis.rows.join(operations.select("qid", "rid", "params", F.col("operation").alias("op")), "rid")
-    return facts.apply_intent(
-        joined, F.col("params.date_from").try_cast("date"), F.col("params.date_to").try_cast("date"), F.col("params.region")).drop("params")
+    """Bound rows of each question after its period and region.
+
+    A region is looked for in the column that holds it, whichever that is.  A
+    request that the table cannot serve is not applied; ``answers.unbound_params`` reports it.
+    """
+    unbound = answers.unbound_params(operations.select("qid", "rid", "params"), analysis.bindings, analysis.values, analysis.roles)
+    asked = operations.select("qid", "rid", "params", F.col("operation").alias("op")).join(unbound.select("qid", "unbound", "region_column"), "qid")
+    timed = ~F.array_contains("unbound", "date")
+    wanted = asked.select(
+        "qid", "rid", "op", F.when(timed, F.col("params.date_from").try_cast("date")).alias("date_from"),
+        F.when(timed, F.col("params.date_to").try_cast("date")).alias("date_to"),
+        "region_column", F.when(F.col("region_column").isNotNull(), group_key(F.col("params.region"))).alias("region"))
+    everywhere = analysis.rows.join(wanted.filter("region is null"), "rid")
+    places = wanted.filter("region is not null")
+    held = analysis.cells.select("rid", "row_idx", F.col("col_name").alias("region_column"), group_key(F.col("cell")).alias("region")).join(
+        places, ["rid", "region_column", "region"])
+    somewhere = analysis.rows.join(held, ["rid", "row_idx"])
+    rows = facts.apply_period(everywhere.unionByName(somewhere.select(*everywhere.columns)), F.col("date_from"), F.col("date_to"))
+    return rows.drop("date_from", "date_to", "region_column", "region")
 
 
 def question_facts(plans: DataFrame, analysis: TableAnalysis) -> DataFrame:

@@ -70,7 +70,7 @@ def table_facts(analysis: TableAnalysis, language: str = "en") -> DataFrame:
             F.when(F.col("is_remainder"), facts.remainder_basis(lang, operation, F.col("omitted"))).otherwise(
                 facts.basis_text(lang, F.lit(operation), F.col("measure") if operation == "sum" else F.col("dimension"), F.col("n_used"))
             ).alias("basis"),
-            "is_remainder", F.col("omitted").cast("long").alias("omitted"),
+            "is_remainder", F.col("omitted").cast("long").alias("omitted"), "label_key",
         )
 
     ends = facts.series_ends(facts.time_series(_rows_for(analysis, "none")))
@@ -90,21 +90,23 @@ def table_facts(analysis: TableAnalysis, language: str = "en") -> DataFrame:
         facts.latest_basis(lang, F.col("measure"), F.col("as_of"), F.col("n_used")).alias("basis"),
         F.lit(False).alias("is_remainder"), F.lit(0).cast("long").alias("omitted"),
     )
-    return grouped("sum").unionByName(grouped("count")).unionByName(series).unionByName(latest)
+    return grouped("sum").unionByName(grouped("count")).unionByName(series, allowMissingColumns=True).unionByName(latest, allowMissingColumns=True)
 
 
 def table_series(analysis: TableAnalysis, fact_rows: DataFrame) -> DataFrame:
     """Chart points of every table: rid, series, dim, value, pos."""
     bars = fact_rows.filter(F.col("operation").isin("sum", "count")).select(
-        "rid", F.lit("").alias("series"), F.col("label").alias("dim"), "value", F.col("pos").cast("long").alias("pos")
+        "rid", F.lit("").alias("series"), F.col("label").alias("dim"), "value", F.col("pos").cast("long").alias("pos"),
+        F.concat(F.when(F.col("is_remainder"), F.lit("r")).otherwise(F.lit("k")), F.coalesce("label_key", F.lit(""))).alias("key"),
     )
     bound = analysis.bindings.select("rid", "measure")
     lines = facts.time_series(_rows_for(analysis, "none")).join(bound, "rid").select(
         "rid", F.when(F.col("series") == "—", F.col("measure")).otherwise(F.col("series")).alias("series"),
-        F.col("dim").cast("string").alias("dim"), "value", F.lit(None).cast("long").alias("pos"),
+        F.col("dim").cast("string").alias("dim"), "value", F.lit(None).cast("long").alias("pos"), F.col("dim").cast("string").alias("key"),
     )
     last = facts.latest_values(_rows_for(analysis, "latest")).select(
-        "rid", F.lit("").alias("series"), safe_label(F.col("label")).alias("dim"), "value", F.lit(None).cast("long").alias("pos")
+        "rid", F.lit("").alias("series"), safe_label(F.col("label")).alias("dim"), "value", F.lit(None).cast("long").alias("pos"),
+        F.col("label").alias("key"),
     )
     return bars.unionByName(lines).unionByName(last)
 
@@ -152,16 +154,13 @@ def fact_headers(analysis: TableAnalysis, fact_rows: DataFrame) -> DataFrame:
     )
 
 
-def unpivot_measures(analysis: TableAnalysis, max_rows: int = vocab.MAX_UNPIVOT_ROWS) -> DataFrame:
+def unpivot_measures(analysis: TableAnalysis) -> DataFrame:
     """Measures side by side turned into rows: rid, row_idx, label, measure, value.
 
-    For tables with a label, no time axis and at least two measures.  ``max_rows``
-    is the size (rows x measures) past which a table keeps its shape.
+    For tables with a label, no time axis and at least two measures.
     """
     wide = analysis.bindings.filter(
-        F.col("temporal_idx").isNull() & F.col("dimension_idx").isNotNull() & (F.col("measures") >= 2)
-        & (F.col("n_rows") * F.col("measures") <= max_rows)
-    ).select("rid")
+        F.col("temporal_idx").isNull() & F.col("dimension_idx").isNotNull() & (F.col("measures") >= 2)).select("rid")
     measures = analysis.roles.filter(F.col("role") == "measure").select("rid", "col_idx")
     labels = analysis.rows.join(wide, "rid").select("rid", "row_idx", "label")
     typed = coercion.typed_cells(analysis.cells.join(measures.join(wide, "rid"), ["rid", "col_idx"], "left_semi"), analysis.profile)
