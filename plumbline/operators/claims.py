@@ -121,7 +121,7 @@ def text_rules(texts: DataFrame, licensed: DataFrame) -> DataFrame:
         .when(F.col("_number").isNotNull(), F.lit("magnitude written as a word"))
         .when(F.col("_best").isNotNull(), F.lit("superlative not licensed by the facts"))
         .when(F.col("_trend").isNotNull(), F.lit("trend claim not licensed by the facts"))
-        .when(F.col("limitation").isNotNull() & ~F.contains("folded", F.substring(fold(F.col("limitation")), 1, 24)),
+        .when(F.col("limitation").isNotNull() & ~F.contains("folded", fold(F.col("limitation"))),
               F.lit("stated limitation omitted from the answer"))
     )
     word = (

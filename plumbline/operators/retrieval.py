@@ -284,7 +284,7 @@ def rerank(
     pooled = candidates.filter(F.col("rank") < pool)
     pairs = (
         docs.select("doc_id", F.col(text).alias("_text"))
-        .join(broadcast_if_small(pooled), "doc_id")
+        .join(pooled, "doc_id")
         .join(questions.select("qid", "question"), "qid")
     )
     scored = pairs.select("qid", "doc_id", "score", F.col("rank").alias("fused_rank"), scorer(F.col("question"), F.col("_text")).alias("pair_score"))
@@ -295,7 +295,7 @@ def rerank(
 def hydrate(hits: DataFrame, datasets: DataFrame) -> DataFrame:
     """Catalogue fields of every hit; unknown ids drop out, ranks stay as fused."""
     known = datasets.select(F.col("id").alias("doc_id"), "name", "title", "last_updated")
-    return known.join(broadcast_if_small(hits), "doc_id")
+    return known.join(hits, "doc_id")
 
 
 def find_datasets(

@@ -15,10 +15,7 @@ from plumbline.functions import vocab
 from plumbline.functions.text import fold, fold_literals, group_key
 from plumbline.operators.coercion import typed_cells
 from plumbline.operators.sequences import order_breaks
-from plumbline.operators.sizes import broadcast_if_small
 
-ROW_TOTAL_ROWS = 50
-FIRST_LOOK = 4_096
 ROW_BLOCK = 1_000_000
 
 
@@ -66,37 +63,18 @@ def constant_columns(values: DataFrame, stats: DataFrame) -> DataFrame:
     return values.join(single, ["rid", "col_idx"]).select("rid", "col_idx", F.col("text_value").alias("value"))
 
 
-def row_totals(cells: DataFrame, profile: DataFrame, rows_checked: int = ROW_TOTAL_ROWS, first_look: int = FIRST_LOOK, keep=None) -> DataFrame:
-    """Numeric columns equal to the sum of the other numeric columns of their row.
-
-    Judged on each table's first complete rows, as many as ``rows_checked``, of
-    which there must be at least three.  Nearly every table has them among its
-    first ``first_look`` rows, so only those are read; the rest of a table is read
-    when they did not suffice.
-    """
+def row_totals(cells: DataFrame, profile: DataFrame) -> DataFrame:
+    """Numeric columns equal to the sum of the other numeric columns in every complete row, of which there must be three."""
     numeric = profile.filter(F.col("kind") == "decimal")
-    wide = numeric.groupBy("rid").agg(F.count(F.lit(1)).alias("width"), F.max("n_rows").alias("n_rows")).filter(F.col("width") >= 3)
+    wide = numeric.groupBy("rid").agg(F.count(F.lit(1)).alias("width")).filter(F.col("width") >= 3)
     columns = numeric.select("rid", "col_idx", "kind", "comma_decimal", "day_rule").join(wide.select("rid"), "rid")
-
-    def complete_rows(part: DataFrame, tables: DataFrame) -> DataFrame:
-        typed = typed_cells(part.join(columns.select("rid", "col_idx"), ["rid", "col_idx"], "left_semi"), columns)
-        whole = (
-            typed.groupBy("rid", "row_idx")
-            .agg(F.sum("number").alias("row_sum"), F.count("number").alias("filled"),
-                 F.collect_list(F.struct("col_idx", "number")).alias("numbers"))  # one row's numbers
-            .join(tables.select("rid", "width"), "rid").filter(F.col("filled") == F.col("width"))
-        )
-        return whole.withColumn("_rn", F.row_number().over(W.partitionBy("rid").orderBy("row_idx"))).filter(F.col("_rn") <= rows_checked)
-
-    keep = keep or (lambda df, name: df)
-    early = keep(complete_rows(cells.filter(F.col("row_idx") < first_look), wide), "early_rows")
-    enough = early.groupBy("rid").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= rows_checked)
-    unsure = keep(wide.filter(F.col("n_rows") > first_look).join(enough, "rid", "left_anti"), "unsure_tables")
-    rows = early
-    if not unsure.isEmpty():
-        again = broadcast_if_small(unsure.select("rid"))
-        late = complete_rows(cells.join(again, "rid", "left_semi"), unsure)
-        rows = early.join(again, "rid", "left_anti").unionByName(late)
+    typed = typed_cells(cells.join(columns.select("rid", "col_idx"), ["rid", "col_idx"], "left_semi"), columns)
+    rows = (
+        typed.groupBy("rid", "row_idx")
+        .agg(F.sum("number").alias("row_sum"), F.count("number").alias("filled"),
+             F.collect_list(F.struct("col_idx", "number")).alias("numbers"))  # one row's numbers
+        .join(wide, "rid").filter(F.col("filled") == F.col("width"))
+    )
     return (
         rows.select("rid", "row_sum", F.explode("numbers").alias("c"))
         .groupBy("rid", "c.col_idx")
@@ -199,7 +177,7 @@ def cumulative_checks(cells: DataFrame, profile: DataFrame, candidates: DataFram
 def column_roles(cells: DataFrame, profile: DataFrame, values: DataFrame, tables: DataFrame | None = None, keep=None) -> DataFrame:
     """One role per column; ``tables`` may bring rid, title."""
     keep = keep or (lambda df, name: df)
-    first = keep(_first_roles(profile, column_stats(values), row_totals(cells, profile, keep=keep), tables), "first_roles")
+    first = keep(_first_roles(profile, column_stats(values), row_totals(cells, profile), tables), "first_roles")
     axes = _axes(first)
     candidates = first.filter((F.col("role") == "unknown") & F.col("cumulative_name")).select("rid", "col_idx")
     checks = cumulative_checks(cells, profile, candidates, axes, keep)

@@ -174,6 +174,26 @@ def row_total_columns(spark: SparkSession, folder: str) -> DataFrame:
     return roles.row_totals(cells, profile).join(names, ["rid", "col_idx"]).select("rid", "col_name")
 
 
+@query("late_total_break", """
+    with r as (select l_returnflag as rid, cast(l_quantity as decimal(18,2)) as a, cast(l_linenumber as decimal(18,2)) as b, l_orderkey * 8 + l_linenumber as k,
+                      max(l_orderkey * 8 + l_linenumber) over (partition by l_returnflag) as last from lineitem),
+    w as (select rid, a, b, a + b + case when k = last and rid = 'N' then 1 else 0 end as t from r)
+    select rid, 'total' as col_name from w group by rid having bool_and(t = a + b)
+""")
+def late_total_break(spark: SparkSession, folder: str) -> DataFrame:
+    """A total that fails in its table's last row alone is no total."""
+    key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    lines = table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("rid"), key.alias("k"), "l_quantity", "l_linenumber")
+    last = lines.groupBy("rid").agg(F.max("k").alias("last"))
+    off = F.when((F.col("k") == F.col("last")) & (F.col("rid") == "N"), 1).otherwise(0)
+    texts = lines.join(last, "rid").select(
+        "rid", F.col("k").alias("row_idx"), fixed("l_quantity").alias("quantity"), fixed("l_linenumber").alias("lines"),
+        (F.col("l_quantity").cast("decimal(18,2)") + F.col("l_linenumber").cast("decimal(18,2)") + off).cast("string").alias("total"))
+    cells = cells_from_table(texts, F.col("rid"), F.col("row_idx"), ["quantity", "lines", "total"])
+    profile = materialise(coercion.column_profile(cells), "profile")
+    return roles.row_totals(cells, profile).join(profile.select("rid", "col_idx", "col_name"), ["rid", "col_idx"]).select("rid", "col_name")
+
+
 @query("locale_decimal_roundtrip", """
     with p as (select l_returnflag, cast(l_extendedprice as decimal(18,2)) as v,
                       format('{:,.2f}', l_extendedprice) as en, translate(format('{:,.2f}', l_extendedprice), ',.', '.,') as el from lineitem)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
 from plumbline.operators import retrieval
-from plumbline.operators.sizes import broadcast_if_small
 from plumbline.plans.registry import query, spread, table
 from plumbline.session import materialise
 
@@ -164,8 +163,8 @@ def golden_questions(spark: SparkSession, folder: str, index: retrieval.LexicalI
     asked = questions(spark, folder).select("qid", "question", tx.search_tokens(F.col("question")).alias("words"))
     inner = asked.select("qid", F.explode(F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0)))).alias("term")).distinct()
     rarest = inner.join(index.terms.select("term", "df"), "term").groupBy("qid").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    pairs = index.postings.select("term", "doc_id").join(broadcast_if_small(rarest), "term").select("qid", "doc_id")
-    texts = documents(spark, folder).join(broadcast_if_small(pairs), "doc_id").join(asked.select("qid", "question"), "qid")
+    pairs = index.postings.select("term", "doc_id").join(rarest, "term").select("qid", "doc_id")
+    texts = documents(spark, folder).join(pairs, "doc_id").join(asked.select("qid", "question"), "qid")
     return texts.filter(F.contains("text", F.col("question"))).groupBy("qid").agg(F.min("doc_id").alias("expected_id"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.sizes import broadcast_if_small
+from plumbline.session import materialise
 
 
 def latest_per_key(batch: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -20,13 +20,12 @@ def latest_per_key(batch: DataFrame, key: Sequence[str], order: Sequence[str]) -
 def upsert(target: DataFrame, batch: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Target rows not in the batch, plus the batch's last row per key.
 
-    A batch of bounded size is broadcast, so the target is filtered where it
-    lies and never shuffled; a larger one is joined by key.
+    The batch's last rows are written first: the planner then knows their size
+    and leaves the target where it lies when they are few.
     """
     key = list(key)
-    newest = latest_per_key(batch, key, order)
-    ids = broadcast_if_small(newest.select(*key))
-    return target.join(ids, key, "left_anti").unionByName(newest.select(*target.columns))
+    newest = materialise(latest_per_key(batch, key, order), "newest")
+    return target.join(newest.select(*key), key, "left_anti").unionByName(newest.select(*target.columns))
 
 
 def changes(target: DataFrame, incoming: DataFrame, key: str, signature: str) -> DataFrame:
