@@ -38,18 +38,16 @@ def write_token_files(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     Beside the tokens stand, as ``ids``, the ids of the documents whose separators lie in the block, to
     name them later; the scan does not read them.
     """
-    own = docs.select(docs[id_col].alias("id"), docs[text].alias("text"))
-    kind = own.schema["id"].dataType
+    own = docs.select(docs[id_col].cast("string").alias("id"), docs[text].alias("text"))
     schema = T.StructType([T.StructField("file", T.LongType()), T.StructField("block", T.LongType()),
-                           T.StructField("tokens", T.BinaryType()), T.StructField("ids", T.ArrayType(kind))])
+                           T.StructField("tokens", T.BinaryType()), T.StructField("ids", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         file, at, size = TaskContext.get().partitionId(), 0, block * width
         end = np.array([separator], dtype=_KINDS[width]).tobytes()
         held, names = bytearray(), []
         for batch in batches:
-            for key, body in zip(batch["id"].tolist(), batch["text"]):
-                key = None if key != key else key if isinstance(key, str) or key is None else int(key)
+            for key, body in zip(batch["id"], batch["text"]):
                 held += np.frombuffer(encoder(vocabulary, False).packed_ids(body or ""), "<u4").astype(_KINDS[width]).tobytes() + end
                 while len(held) > size:
                     yield pd.DataFrame({"file": [file], "block": [at], "tokens": [bytes(held[:size])], "ids": [names]})
@@ -62,7 +60,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     spark = docs.sparkSession
     path = new_folder(spark, "tokens")
     own.mapInPandas(run, schema).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    written = spark.read.schema(schema).parquet(path)
+    return written.withColumn("ids", written["ids"].cast(T.ArrayType(docs.schema[id_col].dataType)))
 
 
 def read_token_files(spark: SparkSession, path: str, *, width: int = 2, block: int = BLOCK) -> DataFrame:
