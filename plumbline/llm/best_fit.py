@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,12 +101,14 @@ def _slots(runs: pd.DataFrame):
     keys = runs["length"].to_numpy() << 48 | runs["rank"].to_numpy()
     first, each, offset, rank = (runs[c].to_numpy() for c in ("sequence", "each", "offset", "rank"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length = batch["length"].to_numpy()
-            at = np.searchsorted(keys, length << 48 | batch["rank"].to_numpy(), side="right") - 1
-            place = batch["rank"].to_numpy() - rank[at]
-            yield batch.drop(columns="rank").assign(sequence_id=first[at] + place // each[at], offset=offset[at] + place % each[at] * length)
+            length, own = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            at = np.searchsorted(keys, length << 48 | own, side="right") - 1
+            place = own - rank[at]
+            slots = {"sequence_id": first[at] + place // each[at], "offset": offset[at] + place % each[at] * length}
+            kept = [n for n in batch.schema.names if n != "rank"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *map(pa.array, slots.values())], names=[*kept, *slots])
     return run
 
 
@@ -130,7 +133,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
     ranked, counts = _ranked(pieces)
     fields = [f for f in ranked.schema.fields if f.name != "rank"]
     schema = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    placed = ranked.select(*[f.name for f in fields], "rank").mapInPandas(_slots(plan(counts, capacity)), schema)
+    placed = ranked.select(*[f.name for f in fields], "rank").mapInArrow(_slots(plan(counts, capacity)), schema)
     return placed.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))
 
 
