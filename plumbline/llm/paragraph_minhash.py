@@ -30,6 +30,7 @@ from plumbline.llm.components import components
 from plumbline.session import materialise
 
 BANDS, ROWS, CELL = 16, 4, 1024
+SLOTS = 1 << 21
 _random = np.random.default_rng(42)
 _FACTORS = _random.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _random.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64)
@@ -128,7 +129,10 @@ def similar_paragraphs(found: DataFrame, keyed: DataFrame, shingle: int, similar
         .select("bucket", "para", F.least("cell", "other").alias("one"), F.greatest("cell", "other").alias("two"))
     )
     wanted = materialise(members.select("para").distinct(), "wanted")
-    wordings = found.join(wanted, "para", "left_semi").groupBy("para").agg(F.min("words").alias("words"))
+    # most paragraphs are not wanted: short hashes, of which there are SLOTS at most, turn them away where they lie
+    slot = F.pmod(F.xxhash64("para"), F.lit(SLOTS)).cast("int").alias("slot")
+    near = found.select("para", "words", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi")
+    wordings = near.join(wanted, "para", "left_semi").groupBy("para").agg(F.min("words").alias("words"))
     return (
         cells.join(wordings, "para").repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two", "para")
         .select("bucket", "one", "two", "para", "words").mapInPandas(_verified(shingle, similarity), "a long, b long")
