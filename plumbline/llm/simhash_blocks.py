@@ -146,10 +146,11 @@ def close_links(values: DataFrame, value: str, *, distance: int = 4, blocks: int
 def _component_of(prints: DataFrame, distance: int, blocks: int) -> DataFrame:
     """``value`` and ``component_id`` for every fingerprint in ``prints`` (id, value)."""
     values = prints.groupBy("value").agg(F.min("id").alias("id"))
-    roots = components(close_links(values, "value", distance=distance, blocks=blocks))
-    joined = values.join(roots.withColumnRenamed("node", "value"), "value", "left").select("value", "id", F.coalesce("root", "value").alias("root"))
-    smallest = joined.groupBy("root").agg(F.min("id").alias("component_id"))
-    return joined.join(smallest, "root").select("value", "component_id")
+    roots = materialise(components(close_links(values, "value", distance=distance, blocks=blocks)), "roots").withColumnRenamed("node", "value")
+    # written, so that the rows of a large component may be split when they meet its smallest id
+    smallest = materialise(values.join(roots, "value").groupBy("root").agg(F.min("id").alias("least")), "least")
+    linked = roots.join(smallest, "root").select("value", "least", F.lit(True).alias("linked"))
+    return values.join(linked, "value", "left").select("value", F.when(F.col("linked"), F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
 def _hex(value: Column) -> Column:
