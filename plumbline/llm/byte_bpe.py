@@ -15,9 +15,10 @@ from functools import lru_cache
 import numpy as np
 import tiktoken
 
-MOST_CHUNKS = 250_000
+MOST_CHUNKS = 500_000
 #: Fixed value: how byte-level vocabularies split text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_MARKS = tuple(".,;:!?")
 _ODD = re.compile(r"\s\s|\A\s|\s\Z")
 
 
@@ -38,11 +39,16 @@ class _Chunks(dict):
     def __init__(self, lead: str, encode):
         super().__init__()
         self.lead, self.encode = lead, encode
+        self.marks = {mark: _packed(encode(mark)) for mark in _MARKS}
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= MOST_CHUNKS:
             self.clear()
-        ids = self[chunk] = _packed(self.encode(chunk if chunk[:1] == "\n" else self.lead + chunk))
+        if chunk[-1:] in _MARKS and chunk[-2:-1].isalnum():  # splitting parts a mark from the letter or number before it
+            ids = self[chunk[:-1]] + self.marks[chunk[-1]]
+        else:
+            ids = _packed(self.encode(chunk if chunk[:1] == "\n" else self.lead + chunk))
+        self[chunk] = ids
         return ids
 
 
