@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.byte_bpe import encoder
-from plumbline.session import new_folder
+from plumbline.session import materialise, new_folder
 
-BLOCK, GROUP = 1 << 18, 1024
+BLOCK, GROUP = 1 << 16, 1024
 SEPARATOR = 50256
 _KINDS = {2: "<u2", 4: "<u4"}
 
@@ -99,8 +99,8 @@ def _before(summaries: DataFrame) -> DataFrame:
 
 def token_counts(blocks: DataFrame, *, separator: int = SEPARATOR, width: int = 2, names: str | None = None) -> DataFrame:
     """One row per document: ``file``, ``ordinal`` in it, ``start`` in tokens, ``n_tokens``, ``closed``, and its ``id`` if ``names`` is the column that has them."""
-    found = blocks.select("file", "block", (F.octet_length("tokens") / width).cast("long").alias("n"), _separators(separator, width)("tokens").alias("at"),
-                          *([F.col(names).alias("ids")] if names else []))
+    found = materialise(blocks.select("file", "block", (F.octet_length("tokens") / width).cast("long").alias("n"), _separators(separator, width)("tokens").alias("at"),
+                          *([F.col(names).alias("ids")] if names else [])), "separators")
     summaries = found.select("file", "block", "n", F.size("at").cast("long").alias("found"), F.array_max("at").alias("last"))
     placed = found.join(_before(summaries), ["file", "block"])
     ends = placed.select("file", "tokens_before", "docs_before", "open_from", F.col("at").alias("ats"), *(["ids"] if names else []), F.posexplode("at").alias("i", "end"))
