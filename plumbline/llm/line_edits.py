@@ -25,6 +25,7 @@ from plumbline.llm.columns import BLANKS, narrow
 from plumbline.session import materialise
 
 EDITS, MIN_CHARS = 2, 16
+SLOTS = 1 << 21
 #: Frequent letters; the order has no meaning.
 COUNTED = "etaoinshrdlucmfw"
 
@@ -72,15 +73,20 @@ def _occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def line_links(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """Links between the different ``lines`` (key, line, first): ``a``, ``b`` and which of them, ``later``, comes second."""
+    """Links between the different ``lines`` (key, line, letters, first): ``a``, ``b`` and which of them, ``later``, comes second."""
     sized = lines.withColumn("chars", F.length("line")).filter(F.col("chars") >= min_chars)
-    told = sized.select("key", _letters(F.col("line")).alias("letters"), *[
+    told = sized.select("key", "letters", *[
         f(F.col("line"), F.col("chars"), edits).alias(n) for f, n in ((_index_keys, "index"), (_probe_keys, "probe"))])
     index = told.select(F.explode("index").alias("at"), F.col("key").alias("a"), F.col("letters").alias("la"))
     probe = told.select(F.explode("probe").alias("at"), F.col("key").alias("b"), F.col("letters").alias("lb"))
     agree = (F.col("a") != F.col("b")) & (F.bit_count(F.col("la").bitwiseXOR(F.col("lb"))) <= 2 * edits)
-    met = index.join(probe, (index["at"] == probe["at"]) & agree).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one, two = (lines.select(F.col("key").alias(k), F.col("line").alias(f"line_{k}"), F.col("first").alias(f"first_{k}")) for k in "ab")
+    met = materialise(
+        index.join(probe, (index["at"] == probe["at"]) & agree).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
+    # few lines meet another: short hashes, of which there are SLOTS at most, turn the others away where they lie
+    slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS)).cast("int").alias("slot")
+    slots = F.broadcast(met.select(F.explode(F.array("a", "b")).alias("key")).select(slot).distinct())
+    near_lines = lines.select("key", "line", "first", slot).join(slots, "slot", "left_semi")
+    one, two = (near_lines.select(F.col("key").alias(k), F.col("line").alias(f"line_{k}"), F.col("first").alias(f"first_{k}")) for k in "ab")
     near = F.expr(f"levenshtein(line_a, line_b, {edits}) >= 0")
     return met.join(one, "a").join(two, "b").filter(near).select(
         "a", "b", F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("later"))
@@ -89,7 +95,8 @@ def line_links(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
 def by_document(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per id: ``n_lines``, ``n_links`` of its different lines to other lines, ``n_removed`` and the numbers of the ``lines`` that go."""
     found = _occurrences(docs, id_col, text)
-    lines = found.groupBy("key").agg(F.min("line").alias("line"), F.min(F.struct("id", "n")).alias("first"), F.count(F.lit(1)).alias("times"))
+    different = found.groupBy("key").agg(F.min("line").alias("line"), F.min(F.struct("id", "n")).alias("first"), F.count(F.lit(1)).alias("times"))
+    lines = materialise(different.withColumn("letters", _letters(F.col("line"))), "lines")
     links = materialise(line_links(lines, edits, min_chars), "links")
     ends = links.select(F.explode(F.array("a", "b")).alias("key"), "later")
     linked = ends.groupBy("key").agg(F.count(F.lit(1)).alias("links"), F.max((F.col("key") == F.col("later")).cast("int")).alias("late"))
