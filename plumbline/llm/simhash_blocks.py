@@ -143,10 +143,15 @@ def close_links(values: DataFrame, value: str, *, distance: int = 4, blocks: int
     return cells.repartition(*group).sortWithinPartitions(*group, "value").mapInPandas(_group_links(distance), "a long, b long")
 
 
+def _roots(values: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """``value`` and ``root`` for every fingerprint in ``values`` that has a link."""
+    return materialise(components(close_links(values, "value", distance=distance, blocks=blocks)), "roots").withColumnRenamed("node", "value")
+
+
 def _component_of(prints: DataFrame, distance: int, blocks: int) -> DataFrame:
     """``value`` and ``component_id`` for every fingerprint in ``prints`` (id, value)."""
     values = prints.groupBy("value").agg(F.min("id").alias("id"))
-    roots = materialise(components(close_links(values, "value", distance=distance, blocks=blocks)), "roots").withColumnRenamed("node", "value")
+    roots = _roots(values, distance, blocks)
     # written, so that the rows of a large component may be split when they meet its smallest id
     smallest = materialise(values.join(roots, "value").groupBy("root").agg(F.min("id").alias("least")), "least")
     linked = roots.join(smallest, "root").select("value", "least", F.lit(True).alias("linked"))
@@ -165,14 +170,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, distance: int = 4, blocks: int = 6) -> DataFrame:
-    """The rows of ``docs`` whose id names their group.  Rows with one id and one fingerprint stay or go together."""
+    """One of each group of linked rows: smallest id (null only if all are), then fingerprint, then text hash.  Rows of one id and text stay or go together."""
     marked = materialise(docs.select(
-        docs[id_col].alias("id"), fingerprint(docs[text]).alias("value"), F.struct(*[docs[c] for c in docs.columns]).alias("carried")), "marked")
-    groups = _component_of(marked.select("id", "value"), distance, blocks)
-    members = marked.select("id", "value").distinct().join(groups, "value")
-    named = members.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("value").alias("named")).withColumnRenamed("component_id", "first")
-    others = materialise(
-        members.join(named, F.col("component_id").eqNullSafe(F.col("first")))
-        .filter(~F.col("id").eqNullSafe(F.col("first")) | (F.col("value") != F.col("named"))).select("id", "value"), "near-copies")
-    other = (marked["value"] == others["value"]) & marked["id"].eqNullSafe(others["id"])
-    return marked.join(others, other, "left_anti").select("carried.*")
+        docs[id_col].alias("id"), fingerprint(docs[text]).alias("value"), F.xxhash64(docs[text]).alias("wording"),
+        F.struct(*[docs[c] for c in docs.columns]).alias("carried")), "marked")
+    best = F.struct(F.col("id").isNull().alias("unnamed"), "id", "value", "wording")
+    values = marked.groupBy("value").agg(F.min(best).alias("best"))
+    roots = _roots(values, distance, blocks)
+    stays = values.join(roots, "value", "left").groupBy(F.coalesce("root", "value").alias("root")).agg(F.min("best").alias("best")).select("best.id", "best.value", "best.wording")
+
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        return (a["value"] == b["value"]) & (a["wording"] == b["wording"]) & a["id"].eqNullSafe(b["id"])
+
+    members = marked.select("id", "value", "wording").distinct()
+    # few rows go: written first, so that the planner knows it and need not move the texts
+    others = materialise(members.join(stays, same(members, stays), "left_anti"), "near-copies")
+    return marked.join(others, same(marked, others), "left_anti").select("carried.*")

@@ -99,6 +99,16 @@ def test_near_duplicates(spark):
     assert {r["doc_id"] for r in left.collect()} <= {*least.values(), None}
 
 
+def test_groups_without_an_id_of_their_own_are_not_one_group(spark):
+    rng = random.Random(21)
+    far = [" ".join(words(rng, 200)) for _ in range(9)]
+    assert all((fingerprint(a) ^ fingerprint(b)).bit_count() > 4 for k, a in enumerate(far) for b in far[:k])
+    close = far[0] + "\n"
+    rows = [(None, t, "a") for t in far[:6]] + [(7, far[6], "a"), (7, far[7], "b"), (None, far[8], "a"), (9, far[8], "a"), (None, close, "a")]
+    left = Counter((r["doc_id"], split(r["text"])[0]) for r in simhash_blocks.one_of_each_group(frame(spark, rows)).collect())
+    assert left == Counter([*((None, split(t)[0]) for t in far[:6]), (7, split(far[6])[0]), (7, split(far[7])[0]), (9, split(far[8])[0])])
+
+
 def all_paragraphs(rows, least):
     return sorted({(i, n, " ".join(split(line.lower()))) for i, t, _ in rows for n, line in enumerate((t or "").split("\n")) if len(split(line)) >= least},
                   key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
