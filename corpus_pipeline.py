@@ -18,8 +18,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the statistics and are not depleted of lines of their own."""
-    return line_frequency.without_rejected(docs)
+    """Documents that pass the statistics and are not depleted of lines of their own, without their host's frequent lines."""
+    return line_frequency.without_frequent_lines(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

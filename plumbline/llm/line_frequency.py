@@ -6,6 +6,8 @@ one text as one document, since a copied document is not boilerplate.  A line in
 more than ``max_share`` of a host's documents (and in more than ``min_docs``) is
 removed; a document is depleted when its lines that stay hold less than
 ``least_left`` of the words of all its lines, each different line counted once.
+Statistics and verdicts are those of the text as it came; ``without_frequent_lines``
+gives the kept documents with the lines cut.
 
 Edge cases: a null or empty text has no words, so it fails the base rule.  A null
 host is a host of its own.  Repeated rows and null ids are judged row by row, as a
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.columns import let, narrow, words
+from plumbline.llm.columns import BLANKS, let, narrow, words
 from plumbline.session import materialise
 
 SYMBOLS = "#*$%&|<>"
@@ -58,6 +60,10 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
 
+def _normal(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), BLANKS, " "))
+
+
 def statistics(text: Column) -> Column:
     """``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines`` and ``n_repeat_words`` of a text without nulls."""
     symbols = F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", ""))
@@ -74,15 +80,15 @@ def statistics(text: Column) -> Column:
 def _distinct_lines(text: Column) -> Column:
     """Each different line of a text once: the hash of its normal form and its words."""
     def one(line: Column) -> Column:
-        return let(F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " ")), lambda n: F.struct(
+        return let(_normal(line), lambda n: F.struct(
             F.xxhash64(n).alias("line"),
             (F.length(n) - F.length(F.replace(n, F.lit(" "), F.lit(""))) + 1).alias("words")))
 
     return F.array_distinct(F.transform(_lines(text), one))
 
 
-def depleted_texts(docs: DataFrame, host: str, text: str, max_share: float, min_docs: int, least_left: float) -> DataFrame:
-    """``host`` and ``text_key`` of the texts that lose too many of their lines."""
+def lessened_texts(docs: DataFrame, host: str, text: str, max_share: float, min_docs: int, least_left: float) -> DataFrame:
+    """``host`` and ``text_key`` of the texts that lose lines, the hashes of the lines ``cut``, and whether too many go: ``depleted``."""
     own = narrow(docs, host=F.coalesce(docs[host].cast("string"), F.lit("")), text=F.coalesce(docs[text], F.lit("")))
     keyed = own.select("host", F.unhex(F.md5("text")).alias("text_key"), "text")
     lines = (
@@ -100,30 +106,44 @@ def depleted_texts(docs: DataFrame, host: str, text: str, max_share: float, min_
     left = F.sum(F.when(F.col("frequent").isNull(), F.col("words")).otherwise(0))
     return (
         lines.join(frequent, ["host", "line"], "left")
-        .groupBy("host", "text_key").agg(left.alias("left"), F.sum("words").alias("all"))
-        .filter(F.col("left") < least_left * F.col("all")).select("host", "text_key")
+        .groupBy("host", "text_key").agg(left.alias("left"), F.sum("words").alias("all"), F.collect_list(F.when(F.col("frequent"), F.col("line"))).alias("cut"))
+        .filter(F.col("left") < F.col("all"))
+        .select("host", "text_key", "cut", (F.col("left") < least_left * F.col("all")).alias("depleted"))
     )
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", host: str = "source", text: str = "text", *, min_words: int = 50,
                   max_repeated: float = 0.5, max_share: float = 0.1, min_docs: int = 100, least_left: float = 0.3,
                   keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: its id, the statistics, ``base_failed`` and ``kept``, then the columns in ``keep``."""
+    """One row per row of ``docs``: its id, the statistics, ``base_failed`` and ``kept``, then, if ``keep`` names columns, these and the lines to ``cut``."""
     body = F.coalesce(docs[text], F.lit(""))
     rows = docs.select(
         docs[id_col].alias("id"), F.coalesce(docs[host].cast("string"), F.lit("")).alias("host"),
         F.unhex(F.md5(body)).alias("text_key"), statistics(body).alias("s"),
         *([F.struct(*[docs[c] for c in keep]).alias("carried")] if keep else []),
     )
+    lessened = lessened_texts(docs, host, text, max_share, min_docs, least_left)
     # written first, so that the planner knows how few texts it joins
-    gone = materialise(depleted_texts(docs, host, text, max_share, min_docs, least_left).withColumn("depleted", F.lit(True)), "depleted")
+    gone = materialise(lessened if keep else lessened.filter("depleted").select("host", "text_key", "depleted"), "lessened")
     judged = rows.join(gone, ["host", "text_key"], "left").withColumn(
         "base_failed", (F.col("s.n_words") < min_words) | (100 * F.col("s.n_repeat_words") > 100 * max_repeated * F.col("s.n_words")))
     return judged.select(
-        F.col("id").alias(id_col), "s.*", "base_failed", (~F.col("base_failed") & F.col("depleted").isNull()).alias("kept"),
-        *(["carried"] if keep else []))
+        F.col("id").alias(id_col), "s.*", "base_failed", (~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False))).alias("kept"),
+        *(["carried", "cut"] if keep else []))
 
 
 def without_rejected(docs: DataFrame, id_col: str = "doc_id", host: str = "source", text: str = "text", **limits) -> DataFrame:
-    """The rows of ``docs`` that the rules keep."""
+    """The rows of ``docs`` that the rules keep, as they are."""
     return quality_rules(docs, id_col, host, text, keep=tuple(docs.columns), **limits).filter("kept").select("carried.*")
+
+
+def without_frequent_lines(docs: DataFrame, id_col: str = "doc_id", host: str = "source", text: str = "text", **limits) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their host's frequent lines cut out of ``text``; a column ``n_chars`` follows it."""
+    kept = quality_rules(docs, id_col, host, text, keep=tuple(docs.columns), **limits).filter("kept")
+    own = F.col("carried").getField(text)
+    left = F.array_join(F.filter(F.split(own, "\n"), lambda line: ~F.array_contains("cut", F.xxhash64(_normal(line)))), "\n")
+    told = kept.select("cut", F.when(F.col("cut").isNull(), own).otherwise(left).alias("left"), "carried")
+    size = F.when(F.col("cut").isNull(), F.col("carried.n_chars")).otherwise(F.length("left")) if "n_chars" in docs.columns else None
+    return told.select(*[
+        (F.col("left") if c == text else size.cast(docs.schema[c].dataType) if c == "n_chars" else F.col("carried").getField(c)).alias(c)
+        for c in docs.columns])

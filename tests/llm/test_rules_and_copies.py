@@ -71,6 +71,32 @@ def test_depleted_documents_go_and_copies_do_not_count(spark):
     assert line_frequency.without_rejected(frame(spark, copies), **LIMITS).count() == 50
 
 
+def test_frequent_lines_are_cut_from_what_stays(spark):
+    rows = [(i, t + "\n\n end", s) for i, t, s in boilerplate()]
+    menu = {x.lower() for x in rows[0][1].split("\n")[:3]}
+    rows[1] = (rows[1][0], rows[1][1][:9].upper().replace(" ", "\t ") + rows[1][1][9:], "shop")
+    docs = frame(spark, rows)
+    out = line_frequency.without_frequent_lines(docs, **LIMITS)
+    assert out.columns == docs.columns
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert set(got) == {r["doc_id"] for r in line_frequency.without_rejected(docs, **LIMITS).collect()} and len(got) > 10
+    for i, t, s in rows:
+        if i in got:
+            lines = t.split("\n")
+            want = "\n".join(lines if s == "else" else [x for x in lines if " ".join(split(x.lower())) not in menu | {"end"}])
+            assert (got[i]["text"], got[i]["n_chars"]) == (want, len(want))
+
+
+def test_pipeline_cuts_frequent_lines(spark):
+    import random
+
+    import corpus_pipeline
+    menu = " ".join(words(random.Random(1), 60))
+    rows = [(k, menu + "\n" + " ".join(words(random.Random(10 + k), 90)), "shop") for k in range(120)]
+    out = corpus_pipeline.STAGES[0][1](spark, frame(spark, rows), "").collect()
+    assert {(r["doc_id"], r["text"]) for r in out} == {(i, t.split("\n")[1]) for i, t, _ in rows}
+
+
 def content(rows):
     groups = defaultdict(list)
     for i, t, _ in rows:
