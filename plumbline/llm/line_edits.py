@@ -12,8 +12,9 @@ Lines below ``min_chars`` characters are compared as a whole only.  A line goes
 its first occurrence (smallest document, then line) comes after that of a line
 linked to it, and so do all occurrences of a line but the first.
 
-Edge cases: null and empty texts have no lines.  Rows with one id are one document
-(null is an id, before all others); an empty table gives an empty result.
+Edge cases: null and empty texts have no lines.  Rows with one id and one text
+are one document (null is an id, before all others; of one id's texts the smallest
+hash comes first); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -67,9 +68,9 @@ def _probe_keys(line: Column, chars: Column, edits: int) -> Column:
 
 
 def _occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    own = narrow(docs, id=id_col, text=text).select("id", F.posexplode(F.split("text", "\n")).alias("n", "raw"))
-    lines = own.select("id", "n", F.trim(F.regexp_replace(F.lower("raw"), BLANKS, " ")).alias("line")).filter("line <> ''")
-    return lines.select("id", "n", F.xxhash64("line").alias("key"), "line")
+    own = narrow(docs, id=id_col, text=text).select("id", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("n", "raw"))
+    lines = own.select("id", "doc", "n", F.trim(F.regexp_replace(F.lower("raw"), BLANKS, " ")).alias("line")).filter("line <> ''")
+    return lines.select("id", "doc", "n", F.xxhash64("line").alias("key"), "line")
 
 
 def line_links(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
@@ -92,33 +93,40 @@ def line_links(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
         "a", "b", F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("later"))
 
 
-def by_document(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per id: ``n_lines``, ``n_links`` of its different lines to other lines, ``n_removed`` and the numbers of the ``lines`` that go."""
+def _by_text(docs: DataFrame, id_col: str, text: str, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``id``, ``doc``, ``n_lines``, ``n_links``, ``n_removed`` and ``lines`` of every document with lines."""
     found = _occurrences(docs, id_col, text)
-    different = found.groupBy("key").agg(F.min("line").alias("line"), F.min(F.struct("id", "n")).alias("first"), F.count(F.lit(1)).alias("times"))
+    different = found.groupBy("key").agg(F.min("line").alias("line"), F.min(F.struct("id", "doc", "n")).alias("first"), F.count(F.lit(1)).alias("times"))
     lines = materialise(different.withColumn("letters", _letters(F.col("line"))), "lines")
     links = materialise(line_links(lines, edits, min_chars), "links")
     ends = links.select(F.explode(F.array("a", "b")).alias("key"), "later")
     linked = ends.groupBy("key").agg(F.count(F.lit(1)).alias("links"), F.max((F.col("key") == F.col("later")).cast("int")).alias("late"))
     again = lines.filter("times > 1").select("key", "first")
-    places = found.select("id", "n", "key").distinct()
-    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("n") == F.col("first.n"))
+    places = found.select("id", "doc", "n", "key").distinct()
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("doc") == F.col("first.doc")) & (F.col("n") == F.col("first.n"))
     told = places.join(linked, "key", "left").join(again, "key", "left").select(
-        "id", "n", F.coalesce("links", F.lit(0)).alias("links"),
+        "id", "doc", "n", F.coalesce("links", F.lit(0)).alias("links"),
         ((F.coalesce("late", F.lit(0)) == 1) | (F.col("first").isNotNull() & ~stays)).alias("goes"))
-    summed = told.groupBy("id").agg(
+    return told.groupBy("id", "doc").agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum("links").alias("n_links"), F.count_if("goes").alias("n_removed"),
         F.array_sort(F.collect_list(F.when(F.col("goes"), F.col("n")))).alias("lines"))
-    every = docs.select(docs[id_col].alias("own")).distinct()
+
+
+def by_document(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row per different id and text: ``n_lines``, ``n_links`` of its different lines to other lines, ``n_removed`` and the numbers of the ``lines`` that go."""
+    summed = _by_text(docs, id_col, text, edits, min_chars)
+    every = docs.select(docs[id_col].alias("own"), F.xxhash64(docs[text]).alias("own_doc")).distinct()
     none = F.lit(0).cast("long")
-    return every.join(summed, every["own"].eqNullSafe(summed["id"]), "left").select(
+    return every.join(summed, every["own"].eqNullSafe(summed["id"]) & (every["own_doc"] == summed["doc"]), "left").select(
         F.col("own").alias(id_col), *[F.coalesce(c, none).alias(c) for c in ("n_lines", "n_links", "n_removed")],
         F.coalesce("lines", F.array().cast("array<int>")).alias("lines"))
 
 
 def without_near_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """``docs`` with the lines that go cut out of ``text``."""
-    gone = by_document(docs, id_col, text, **limits).filter("n_removed > 0").select(F.col(id_col).alias("-id"), F.col("lines").alias("-lines"))
+    gone = _by_text(docs, id_col, text, **limits).filter("n_removed > 0").select(
+        F.col("id").alias("-id"), F.col("doc").alias("-doc"), F.col("lines").alias("-lines"))
     left = F.array_join(F.filter(F.split(docs[text], "\n"), lambda line, at: ~F.array_contains("-lines", at)), "\n")
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("-id")), "left").select(
+    own = docs[id_col].eqNullSafe(F.col("-id")) & (F.xxhash64(docs[text]) == F.col("-doc"))
+    return docs.join(gone, own, "left").select(
         *[(F.when(F.col("-lines").isNull(), docs[c]).otherwise(left) if c == text else docs[c]).alias(c) for c in docs.columns])

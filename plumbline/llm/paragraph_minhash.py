@@ -10,8 +10,9 @@ Only different paragraphs are compared, bands shared by the same paragraphs coun
 once, and a band shared by very many is cut into cells by hash, each pair of cells
 being compared in its own task.  A comparison passes on only links that join what is not joined yet.
 
-Edge cases: null and empty texts have no paragraphs.  Rows with one id are one
-document (null is an id, before all others); an empty table gives an empty result.
+Edge cases: null and empty texts have no paragraphs.  Rows with one id
+and one text are one document (null is an id, before all others; of one id's texts the
+smallest hash comes first); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -61,12 +62,12 @@ def _banded(shingle: int) -> Column:
 
 
 def paragraphs(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
-    """``id``, ``line``, ``para`` (a key of the wording) and ``words`` of every paragraph."""
-    own = narrow(docs, id=id_col, text=text).select("id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    """``id``, ``doc`` (a key of the text), ``line``, ``para`` (a key of the wording) and ``words`` of every paragraph."""
+    own = narrow(docs, id=id_col, text=text).select("id", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     wording = F.trim(F.regexp_replace(F.lower("raw"), BLANKS, " "))
-    lines = own.select("id", "line", wording.alias("words"))
+    lines = own.select("id", "doc", "line", wording.alias("words"))
     enough = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1 >= min_words
-    return lines.filter((F.col("words") != "") & enough).select("id", "line", F.xxhash64("words").alias("para"), "words")
+    return lines.filter((F.col("words") != "") & enough).select("id", "doc", "line", F.xxhash64("words").alias("para"), "words")
 
 
 def _compare(rows: pd.DataFrame, shingle: int, similarity: float) -> list[tuple[int, int]]:
@@ -141,25 +142,30 @@ def similar_paragraphs(found: DataFrame, keyed: DataFrame, shingle: int, similar
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, min_words: int = 25, shingle: int = 5,
             similarity: float = 0.8) -> DataFrame:
-    """Every paragraph that goes: ``id``, ``line``, and ``first_id``, ``first_line`` of the occurrence that stays."""
+    """Every paragraph that goes: ``id``, ``doc``, ``line``, and ``first_id``, ``first_line`` of the occurrence that stays."""
     found = paragraphs(docs, id_col, text, min_words)
-    banded = materialise(found.select("id", "line", "para", _banded(shingle)("words").alias("bands")), "paragraphs")
+    banded = materialise(found.select("id", "doc", "line", "para", _banded(shingle)("words").alias("bands")), "paragraphs")
     links = similar_paragraphs(found, banded.groupBy("para").agg(F.first("bands").alias("bands")), shingle, similarity)
     roots = components(links).withColumnRenamed("node", "para")
-    places = banded.select("id", "line", "para").distinct()
-    classed = places.join(roots, "para", "left").select("id", "line", F.coalesce("root", "para").alias("class"))
-    firsts = classed.groupBy("class").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    places = banded.select("id", "doc", "line", "para").distinct()
+    classed = places.join(roots, "para", "left").select("id", "doc", "line", F.coalesce("root", "para").alias("class"))
+    firsts = classed.groupBy("class").agg(F.min(F.struct("id", "doc", "line")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     joined = classed.join(firsts, "class")
-    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line"))
-    return joined.filter(~stays).select("id", "line", F.col("first.id").alias("first_id"), F.col("first.line").alias("first_line"))
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("doc") == F.col("first.doc")) & (F.col("line") == F.col("first.line"))
+    return joined.filter(~stays).select("id", "doc", "line", F.col("first.id").alias("first_id"), F.col("first.line").alias("first_line"))
 
 
-def by_document(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **limits) -> DataFrame:
-    """One row per id: ``n_removed`` paragraphs, their ``lines``, and ``repeats_of``, the ids where what was removed stays."""
-    gone = repeats(docs, id_col, text, **limits).groupBy("id").agg(
+def _by_text(docs: DataFrame, id_col: str, text: str, **limits) -> DataFrame:
+    """``id``, ``doc``, ``n_removed``, ``lines`` and ``repeats_of`` of every document that loses paragraphs."""
+    return repeats(docs, id_col, text, **limits).groupBy("id", "doc").agg(
         F.count(F.lit(1)).alias("n_removed"), F.array_sort(F.collect_list("line")).alias("lines"), F.array_sort(F.collect_set("first_id")).alias("repeats_of"))
-    every = docs.select(docs[id_col].alias("own")).distinct()
-    return every.join(gone, every["own"].eqNullSafe(gone["id"]), "left").select(
+
+
+def by_document(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **limits) -> DataFrame:
+    """One row per different id and text: ``n_removed`` paragraphs, their ``lines``, and ``repeats_of``, the ids where what was removed stays."""
+    gone = _by_text(docs, id_col, text, **limits)
+    every = docs.select(docs[id_col].alias("own"), F.xxhash64(docs[text]).alias("own_doc")).distinct()
+    return every.join(gone, every["own"].eqNullSafe(gone["id"]) & (every["own_doc"] == gone["doc"]), "left").select(
         F.col("own").alias(id_col), F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
         F.coalesce("lines", F.array().cast("array<int>")).alias("lines"),
         F.coalesce("repeats_of", F.array().cast(T.ArrayType(docs.schema[id_col].dataType))).alias("repeats_of"))
@@ -167,7 +173,8 @@ def by_document(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **l
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """``docs`` with the repeated paragraphs cut out of ``text``."""
-    gone = by_document(docs, id_col, text, **limits).filter("n_removed > 0").select(F.col(id_col).alias("-id"), F.col("lines").alias("-lines"))
+    gone = _by_text(docs, id_col, text, **limits).select(F.col("id").alias("-id"), F.col("doc").alias("-doc"), F.col("lines").alias("-lines"))
     left = F.array_join(F.filter(F.split(docs[text], "\n"), lambda line, at: ~F.array_contains("-lines", at)), "\n")
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("-id")), "left").select(
+    own = docs[id_col].eqNullSafe(F.col("-id")) & (F.xxhash64(docs[text]) == F.col("-doc"))
+    return docs.join(gone, own, "left").select(
         *[(F.when(F.col("-lines").isNull(), docs[c]).otherwise(left) if c == text else docs[c]).alias(c) for c in docs.columns])

@@ -145,6 +145,17 @@ def test_repeated_paragraphs(spark):
     assert all(text[i].split("\n") == [x for n, x in enumerate(t.split("\n")) if n not in gone.get(i, [])] for i, t, _ in rows if i and i >= 400)
 
 
+@pytest.mark.parametrize("cut", [paragraph_minhash.without_repeats, line_edits.without_near_lines])
+def test_texts_that_share_an_id_are_cut_each_for_itself(spark, cut):
+    rng = random.Random(33)
+    a, b, c, d, e, f, g, h, i, k, m, n, o = (" ".join(words(rng, 30)) for _ in range(13))
+    texts = [[a, b], [c, d, e, a], [f, g, h, i], [k, m], [k, n], [o]]
+    for ids in ([None] * 6, [5] * 6):
+        left = [r["text"].split("\n") for r in cut(frame(spark, [(x, "\n".join(t), "a") for x, t in zip(ids, texts)])).collect()]
+        assert Counter(x for t in left for x in t) == Counter({x for t in texts for x in t})
+        assert [f, g, h, i] in left and [o] in left
+
+
 def test_small_cells_lose_no_paragraph(spark, monkeypatch):
     monkeypatch.setattr(paragraph_minhash, "CELL", 4)
     rows = [(k, t, "a") for k, t in enumerate(dict.fromkeys(varied(9, 50, 120, 1)))]
