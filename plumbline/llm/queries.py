@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import best_fit, content_sort, line_edits, line_frequency, merge_automaton, paragraph_minhash, preference_quality, secret_lexer, separator_scan, simhash_blocks
+from plumbline.llm import best_fit, content_sort, line_edits, line_frequency, merge_automaton, paragraph_minhash, preference_quality, qd_whitening, secret_lexer, separator_scan, simhash_blocks, turn_tables, window_packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,3 +114,18 @@ def op8_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_line_edits(spark: SparkSession, folder: str) -> DataFrame:
     return line_edits.by_document(table(spark, folder, "documents"))
+
+
+@query
+def op11_turn_tables(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_tables.repair(turn_tables.damage(table(spark, folder, "conversations")), copies="copies")
+
+
+@query
+def op12_window_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return window_packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op13_qd_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return qd_whitening.whiten(table(spark, folder, "embeddings"))
