@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.plans.registry import query, spread, table
-from plumbline.session import materialise
+from plumbline.session import materialise, new_folder
 from plumbline.sources import loading, payloads
 
 
@@ -95,6 +95,21 @@ def csv_payload_cells(spark: SparkSession, folder: str) -> DataFrame:
     return payloads.payload_cells(parsed).select("rid", "row_idx", "col_name", "cell")
 
 
+@query("csv_split_files", """
+    select cast(conv_id as varchar) as conv_id, cast(turn as varchar) as turn, role, replace(text, chr(13), ' ') as text, true as complete from conversations
+""")
+def csv_split_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations as delimited files with texts over several lines, read as splits."""
+    path = new_folder(spark, "landed")
+    rows = table(spark, folder, "conversations").select(
+        F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("string").alias("turn"), "role", F.replace("text", F.lit("\r"), F.lit(" ")).alias("text"))
+    rows.write.options(header=True, sep=";", quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    parsed = materialise(payloads.parse_files(spark, path, "*.csv"), "parsed")
+    files = parsed.filter("row_idx = -1").select("rid", F.lit(True).alias("body_complete"))
+    whole = payloads.payload_tables(parsed, files).select("rid", "complete")
+    return parsed.filter("row_idx >= 0").join(whole, "rid").select(*[F.col("cells")[k].alias(n) for k, n in enumerate(("conv_id", "turn", "role", "text"))], "complete")
+
+
 @query("header_collisions", """
     select 'n' || n_nationkey as rid, unnest(['a', 'a_2', 'a_3', 'col_4', n_name, n_name || '_2']) as col_name, cast(unnest([0, 1, 2, 3, 4, 5]) as bigint) as col_idx from nation
 """)

@@ -1,8 +1,8 @@
 """Landed payloads of unknown quality to text tables.
 
 Kind and encoding are decided where a body lies; its records are rows from then
-on.  A bad payload gives a typed error row and never fails a job.  Large delimited
-files known to be clean are read with ``spark.read.csv`` instead, which splits them.
+on.  A bad payload gives a typed error row and never fails a job.  Delimited files
+of any size are read as splits by ``parse_files``.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import vocab
 from plumbline.functions.text import strip
-from plumbline.sources.delimited import decoded, parse_delimited
+from plumbline.sources.delimited import decoded, parse_delimited, parse_files
 
-__all__ = ["parse_delimited"]
+__all__ = ["parse_delimited", "parse_files"]
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*", stream: bool = False, max_bytes: int | None = None) -> DataFrame:

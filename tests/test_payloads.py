@@ -134,6 +134,38 @@ def test_files(spark, tmp_path):
     assert sorted(r["cell"] for r in cells.collect()) == ["1", "2", "3", "4"]
 
 
+SPLIT_BODIES = {
+    **{k: b for k, (b, c) in BODIES.items() if c},
+    "quotes": ('a,a_2,a\n"x,""1""","two\nlines",3\n5" pipe,6" pipe,7\n"' + "long\n\n" * 40 + '",8,9\r\n10,"11"x,12\n').encode(),
+    "open": b'a;b\n1;2\n"never;closed\n3;4\n',
+    "runaway": b'a;b\n1;2\n"' + b"and so on\n" * 20_000,
+    "returns": b"a;b\r1;2\r3;4\r",
+    "marks": b"\xef\xbb\xbfa;b\r\n\r\n1;2\r\n",
+}
+
+
+def test_splits_of_files_read_like_bodies(spark, tmp_path):
+    for name, body in SPLIT_BODIES.items():
+        folder = tmp_path / ("large" if name == "runaway" else "small")
+        folder.mkdir(exist_ok=True)
+        (folder / name).write_bytes(body)
+    frame = spark.createDataFrame([(k, bytearray(b), True) for k, b in SPLIT_BODIES.items()], "rid string, content binary, body_complete boolean")
+    order = ["rid", "row_idx"]
+    whole = payloads.parse_delimited(frame).withColumn("encoding", F.replace("encoding", F.lit("-sig"), F.lit(""))).orderBy(*order).collect()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for size, folder in (("90", "small"), ("50000", "large")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            split = payloads.parse_files(spark, str(tmp_path / folder)).withColumn("rid", F.element_at(F.split("rid", "/"), -1)).orderBy(*order).collect()
+            assert split == [r for r in whole if not folder or (r["rid"] == "runaway") == (folder == "large")], size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    kinds = {r["rid"]: r["error_detail"] for r in whole if r["row_idx"] == -1}
+    assert "longer" in kinds["runaway"] and kinds["open"] is None and "NUL" in kinds["nul"]
+
+
 def test_packages(spark, tmp_path):
     (tmp_path / "page.json").write_text('{"count": 2, "results": [{"id": "d1", "name": "n", "type": "dataset", "state": "active", "title": " T ", "notes": "N", '
         '"title_translated": {"en": "E"}, "tags": [{"name": "t1"}, {"name": "t2"}], "organization": {"name": "o", "title": "O"}, "theme": ["http://x/ENVI"], '
