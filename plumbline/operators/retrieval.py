@@ -14,21 +14,27 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import vocab
 from plumbline.functions.text import search_tokens
-from plumbline.operators.catalogue import best_per_key
-from plumbline.operators.sizes import MAX_BROADCAST_BYTES, broadcast_if_small
-
-SCORE_DIGITS = 6
+from plumbline.operators.dense import SCORE_DIGITS, exact_topk, ranked
+from plumbline.operators.sizes import broadcast_if_small
 
 
 # --- lexical index ---------------------------------------------------------------
 
 
+#: Documents of an index block, about; blocks hold documents of like length.
+BLOCK_DOCS = 128
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings: doc_id, term, tf, doc_len, impact - terms: term, df, idf, max_impact."""
+    """postings: doc_id, term, block, tf, doc_len, impact - terms: term, df, idf, max_impact - blocks: term, block, n, max_impact.
+
+    Postings are written by term and block; ``blocks`` has one row per term and block of documents.
+    """
 
     postings: DataFrame
     terms: DataFrame
+    blocks: DataFrame
 
 
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -50,24 +56,45 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     ).select("doc_id", "doc_len", "t.term", F.col("t.tf").cast("long").alias("tf"))
 
 
+def _level(doc_len: Column) -> Column:
+    """A document's class of length, eight to an octave."""
+    return F.floor(F.log2(doc_len + 1.0) * 8).cast("int")
+
+
+def _block(levels: dict[int, int], block_docs: int) -> Column:
+    """A document's block: its class of length, and a place among the blocks of that class.
+
+    A word weighs more in a short document, so blocks of like lengths have bounds that differ.
+    """
+    parts = [max(1, -(-levels.get(k, 0) // block_docs)) for k in range(max(levels, default=0) + 1)]
+    level = _level(F.col("doc_len"))
+    return level.cast("bigint") * (1 << 40) + F.pmod(F.xxhash64("doc_id"), F.get(F.array(*[F.lit(n).cast("bigint") for n in parts]), level))
+
+
 def build_index(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", write: Callable[[DataFrame, str], DataFrame] | None = None
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", write: Callable[[DataFrame, str], DataFrame] | None = None,
+    block_docs: int = BLOCK_DOCS,
 ) -> LexicalIndex:
     """Full rebuild of the inverted index with the score part of every posting.
 
-    The number of documents and of tokens are two counters on the driver.
+    How many documents and tokens there are, by class of length (about 200 numbers), reaches the driver.
     """
     keep = write or (lambda df, name: df)
-    counts = keep(token_counts(docs, doc_id, text), "postings")
-    n_docs = docs.count()
-    total = counts.agg(F.sum("tf")).first()[0] or 0
+    sizes = docs.select(F.coalesce(F.size(search_tokens(F.col(text))), F.lit(0)).alias("doc_len")).groupBy(_level(F.col("doc_len")).alias("level")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("doc_len").alias("tokens")).collect()
+    n_docs, total = sum(r["n"] for r in sizes), sum(r["tokens"] for r in sizes)
     mean_len = total / n_docs if total else 1.0
     k1, b = vocab.BM25_K1, vocab.BM25_B
     tf = F.col("tf").cast("double")
-    postings = counts.withColumn("impact", tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_len") / F.lit(mean_len))))
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("max_impact")).withColumn(
+    weighed = token_counts(docs, doc_id, text).withColumns({
+        "impact": tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_len") / F.lit(mean_len))),
+        "block": _block({r["level"]: r["n"] for r in sizes}, block_docs)})
+    # a frequent term is spread over tasks by its blocks; in each file its blocks lie together
+    postings = keep(weighed.repartition("term", "block").sortWithinPartitions("term", "block"), "postings")
+    blocks = keep(postings.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("impact").alias("max_impact")), "blocks")
+    terms = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("max_impact").alias("max_impact")).withColumn(
         "idf", F.greatest(F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(vocab.BM25_IDF_FLOOR)))
-    return LexicalIndex(postings, keep(terms, "terms"))
+    return LexicalIndex(postings, keep(terms, "terms"), blocks)
 
 
 def query_terms(questions: DataFrame, qid: str = "qid", text: str = "question") -> DataFrame:
@@ -84,73 +111,36 @@ def bm25_topk(
 ) -> DataFrame:
     """qid, doc_id, score, rank: the best ``k`` documents of every question, exactly.
 
-    Common words match most of the corpus, and matching them outright would make
-    (questions x documents) rows.  Scores only add up, so this works in rounds:
+    A descent over blocks of documents, in two steps for all questions at once.  A block's
+    bound is what a document would score that had the largest impact in the block of every
+    word of the question.
 
-    1. a question's rarest words give some documents, and their k-th partial score
-       is a lower bound of the final k-th score;
-    2. words whose bounds together stay below it cannot bring a document in on
-       their own, so candidates are matched on the remaining words only;
-    3. candidates that cannot reach the bound are dropped, and the common words
-       are added for those that can.
+    1. The blocks of highest bound that hold ``k`` documents several times over are scored; the
+       k-th score found is a lower bound of the final one.
+    2. Of the other blocks only those are scored whose bound reaches it.
 
-    Where fewer than ``k`` documents match the rare words the bound is zero and
-    every word takes part.
+    Words are never told apart by how common they are: a question of common words alone
+    descends like any other, and stops where no block can reach its k-th score.
     """
     keep = write or (lambda df, name: df)
-    asked = keep(
-        query_terms(questions, qid, text).join(index.terms, "term")
-        .select("qid", "term", "df", (F.col("idf") * F.col("qtf")).alias("w"), "max_impact")
-        .withColumn("bound", F.col("w") * F.col("max_impact")),
-        "asked",
-    )
-    rarest_first = W.partitionBy("qid").orderBy("df", "term").rowsBetween(W.unboundedPreceding, -1)
-    probes = asked.withColumn("_seen", F.coalesce(F.sum("df").over(rarest_first), F.lit(0))).filter(F.col("_seen") < 4 * k)
-    partial = _scores(index.postings, probes)
-    floor = best_per_key(partial, ["qid"], [F.desc("score"), F.asc("doc_id")], k).groupBy("qid").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth")
-    ).filter(F.col("_n") >= k).select("qid", "_kth")
-    lowest_first = W.partitionBy("qid").orderBy("bound", "term")
-    split = keep(
-        asked.join(floor, "qid", "left")
-        .withColumn("_sum", F.sum("bound").over(lowest_first))
-        .withColumn("theta", F.coalesce("_kth", F.lit(0.0)) - 10.0 ** (1 - SCORE_DIGITS))
-        .withColumn("common", F.col("_sum") * (1 + 1e-9) < F.col("theta"))
-        .select("qid", "term", "w", "bound", "theta", "common"),
-        "split",
-    )
-    rest = split.filter("common").groupBy("qid").agg(F.sum("bound").alias("rest"))
-    limits = split.groupBy("qid").agg(F.max("theta").alias("theta")).join(rest, "qid", "left")
-    candidates = keep(
-        _scores(index.postings, split.filter(~F.col("common")))
-        .join(limits, "qid")
-        .filter(F.col("score") + F.coalesce("rest", F.lit(0.0)) >= F.col("theta"))
-        .select("qid", "doc_id", "score"),
-        "candidates",
-    )
-    missing = candidates.select("qid", "doc_id").join(split.filter("common").select("qid", "term", "w"), "qid")
-    added = (
-        index.postings.join(broadcast_if_small(missing), ["doc_id", "term"])
-        .groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("more"))
-    )
-    final = candidates.join(added, ["qid", "doc_id"], "left").select(
-        "qid", "doc_id", F.round(F.col("score") + F.coalesce("more", F.lit(0.0)), SCORE_DIGITS).alias("score")
-    )
-    return ranked(final, k)
-
-
-def _scores(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """Summed scores of the documents that hold any of the given question words."""
-    return (
-        postings.join(broadcast_if_small(terms.select("qid", "term", "w")), "term")
-        .groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
-    )
-
-
-def ranked(scores: DataFrame, k: int, key: str = "qid") -> DataFrame:
-    """Best ``k`` per question with a 0-based rank; ties by document id."""
-    place = F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), F.asc("doc_id")))
-    return scores.withColumn("rank", place).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
+    asked = keep(query_terms(questions, qid, text).join(index.terms, "term").select("qid", "term", (F.col("idf") * F.col("qtf")).alias("w")), "asked")
+    bounds = index.blocks.join(asked, "term").groupBy("qid", "block").agg(
+        F.sum(F.col("w") * F.col("max_impact")).alias("bound"), F.max("n").alias("docs"))
+    # so many documents of the blocks before hold one of the words
+    before = F.sum("docs").over(W.partitionBy("qid").orderBy(F.desc("bound"), "block").rowsBetween(W.unboundedPreceding, -1))
+    ordered = keep(bounds.withColumn("first", F.coalesce(before, F.lit(0)) < 4 * k), "bounds")
+    found = keep(_scores(index.postings, asked, ordered.filter("first")), "scored")
+    kth = ranked(found, k).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k)
+    rest = ordered.filter("not first").join(kth, "qid", "left").filter(
+        F.col("bound") * (1 + 1e-9) >= F.coalesce("kth", F.lit(0.0)) - 10.0 ** -SCORE_DIGITS)
+    more = keep(_scores(index.postings, asked, rest), "scored")
+    return ranked(found.unionByName(more).withColumn("score", F.round("score", SCORE_DIGITS)), k)
+
+
+def _scores(postings: DataFrame, asked: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Scores of the documents in the ``blocks`` of each question that hold any of its words."""
+    wanted = blocks.select("qid", "block").join(asked, "qid")
+    return postings.join(wanted, ["term", "block"]).groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
 
 
 # --- dense ------------------------------------------------------------------------
@@ -186,57 +176,6 @@ def encode(rows: DataFrame, text: Column, model: Callable[[list[str]], np.ndarra
     return rows.select(*keep, embed(text).alias(out))
 
 
-def dense_topk(
-    vectors: DataFrame, questions: DataFrame, k: int, doc_id: str = "doc_id", qid: str = "qid",
-    embedding: str = "embedding", max_bytes: int = MAX_BROADCAST_BYTES,
-) -> DataFrame:
-    """qid, doc_id, score, rank by cosine, exactly.
-
-    Question vectors travel to the passages in chunks of measured size; every
-    Arrow batch keeps its own top ``k`` per question, so the shuffle carries
-    candidates and not (questions x passages) rows.
-    """
-    size = questions.agg(F.sum(F.size(embedding) * 8 + 64)).first()[0] or 0
-    chunks = max(1, -(-size // max_bytes))
-    pieces = []
-    for part in range(chunks):
-        mine = questions if chunks == 1 else questions.filter(F.pmod(F.xxhash64(qid), F.lit(chunks)) == part)
-        pieces.append(_dense_candidates(vectors, mine, k, doc_id, qid, embedding))
-    found = pieces[0]
-    for piece in pieces[1:]:
-        found = found.unionByName(piece)
-    return ranked(found.withColumn("score", F.round("score", SCORE_DIGITS)), k)
-
-
-def _dense_candidates(vectors: DataFrame, questions: DataFrame, k: int, doc_id: str, qid: str, embedding: str) -> DataFrame:
-    spark = vectors.sparkSession
-    local = questions.select(qid, embedding).toPandas()  # one chunk of measured size
-    ids = local[qid].to_numpy()
-    matrix = np.asarray([np.asarray(v, dtype=np.float64) for v in local[embedding]], dtype=np.float64).reshape(len(ids), -1)
-    sizes = np.linalg.norm(matrix, axis=1, keepdims=True) if len(ids) else np.ones((0, 1))
-    shared = spark.sparkContext.broadcast((ids, (matrix / np.where(sizes == 0, 1, sizes)).T if len(ids) else None))
-    id_type = vectors.schema[doc_id].dataType.simpleString()
-    q_type = questions.schema[qid].dataType.simpleString()
-
-    def best(batches):
-        names, right = shared.value
-        for batch in batches:
-            if right is None or not len(batch):
-                continue
-            docs = batch[doc_id].to_numpy()
-            left = np.stack([np.asarray(v, dtype=np.float64) for v in batch[embedding]])
-            norms = np.linalg.norm(left, axis=1, keepdims=True)
-            scores = np.round((left / np.where(norms == 0, 1, norms)) @ right, SCORE_DIGITS)
-            order = np.lexsort((np.broadcast_to(docs[:, None], scores.shape), -scores), axis=0)[:k]
-            yield pd.DataFrame({
-                "qid": np.tile(names, order.shape[0]),
-                "doc_id": docs[order].ravel(),
-                "score": np.take_along_axis(scores, order, axis=0).ravel(),
-            })
-
-    return vectors.select(doc_id, embedding).mapInPandas(best, f"qid {q_type}, doc_id {id_type}, score double")
-
-
 # --- fusion, rerank, hydrate ------------------------------------------------------
 
 
@@ -304,7 +243,7 @@ def find_datasets(
     scorer: Callable[[Column, Column], Column] | None = None, rerank_pool: int = vocab.RERANK_POOL,
 ) -> DataFrame:
     """Hybrid search for all questions: dense and lexical, fused, optionally reranked."""
-    dense = dense_topk(vectors, question_vectors, pool)
+    dense = exact_topk(vectors, question_vectors, pool)
     lexical = bm25_topk(index, questions, pool)
     fused = rrf_fuse([dense, lexical], top_k=rerank_pool if scorer else top_k)
     if scorer:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
-from plumbline.operators import retrieval
+from plumbline.operators import dense, retrieval
 from plumbline.plans.registry import query, spread, table
 from plumbline.session import materialise
 
@@ -69,10 +69,36 @@ def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
     spots = vectors.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
     means = spots.groupBy(F.col("label").cast("long").alias("qid")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("embedding"))
-    hits = retrieval.dense_topk(vectors, means, 10)
+    hits = dense.exact_topk(vectors, means, 10)
     return hits.select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query("dense_self_topk", """
+    with v as (select vec_id, cast(embedding as double[]) as e from embeddings),
+    s as (select q.vec_id as qid, d.vec_id as doc_id, round(list_cosine_similarity(q.e, d.e), 6) as score from v q, v d where q.vec_id % 20 = 0),
+    r as (select *, row_number() over (partition by qid order by score desc, doc_id) - 1 as rank from s)
+    select qid, doc_id, score, cast(rank as bigint) as rank from r where rank < 5
+""")
+def dense_self_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Nearest passages of every twentieth passage, over a grid of blocks."""
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    hits = dense.exact_topk(vectors, vectors.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid"), 5)
+    return hits.select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("dense_probed_recall", """
+    select count(*) as questions, true as recall_reached from embeddings where vec_id % 20 = 0
+""")
+def dense_probed_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the inverted file finds nine tenths of the exact lists of every twentieth passage."""
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = vectors.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid")
+    exact = dense.exact_topk(vectors, asked, 10)
+    found = dense.probed_topk(vectors, asked, 10).select("qid", "doc_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["qid", "doc_id"], "left").agg(
+        F.count_distinct("qid").alias("questions"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
+
+
 def token_bucket(term: Column) -> Column:
     """Cheap bucket of a token, the same in SQL."""
     return F.pmod(F.length(term) * 31 + F.ascii(term) * 17 + F.ascii(F.substring(term, -1, 1)) * 7, F.lit(DIM))
@@ -104,9 +130,9 @@ SQL_FUSED = """
 
 def fused_hits(spark: SparkSession, folder: str, top_k: int) -> DataFrame:
     docs, asked = documents(spark, folder), questions(spark, folder)
-    dense = retrieval.dense_topk(token_vectors(docs, "doc_id", "text"), token_vectors(asked, "qid", "question"), 50)
+    near = dense.exact_topk(token_vectors(docs, "doc_id", "text"), token_vectors(asked, "qid", "question"), 50)
     lexical = retrieval.bm25_topk(written_index(spark, folder), asked, 50, write=materialise)
-    return retrieval.rrf_fuse([dense, lexical], top_k=top_k)
+    return retrieval.rrf_fuse([near, lexical], top_k=top_k)
 
 
 @query("rrf_hybrid", f"""

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import search_tokens
-from plumbline.operators import retrieval
+from plumbline.operators import dense, retrieval
 from plumbline.session import materialise
 
 
@@ -46,7 +46,7 @@ def bm25(docs, question):
 @pytest.mark.parametrize("k", [1, 10, 250])
 def test_bm25_is_exact(corpus, k):
     docs, questions, df, asked = corpus
-    index = retrieval.build_index(df, write=materialise)
+    index = retrieval.build_index(df, write=materialise, block_docs=8)
     got = {}
     for r in retrieval.bm25_topk(index, asked, k, write=materialise).orderBy("qid", "rank").collect():
         got.setdefault(r["qid"], []).append((r["score"], r["doc_id"]))
@@ -54,6 +54,24 @@ def test_bm25_is_exact(corpus, k):
     assert got == {q: rows for q, rows in want.items() if rows}
 
 
+def test_common_words_alone_stop_at_the_kth_score(spark):
+    rng = random.Random(3)
+    docs = [(i, " ".join((["the"] * rng.randrange(1, 3) + ["of"]) * (i % 9 < 4) + [f"x{rng.randrange(9)}"] * (10 + i))) for i in range(400)]
+    index = retrieval.build_index(spark.createDataFrame(docs, "doc_id long, text string"), write=materialise, block_docs=8)
+    scored = []
+
+    def write(df, name):
+        out = materialise(df, name)
+        if name == "scored":
+            scored.append(out.count())
+        return out
+
+    asked = spark.createDataFrame([(0, "the of")], "qid long, question string")
+    got = [(r["score"], r["doc_id"]) for r in retrieval.bm25_topk(index, asked, 5, write=write).orderBy("rank").collect()]
+    assert got == bm25(docs, "the of")[:5]
+    assert sum(scored) < 60  # of 178 documents that hold both words
+
+
 def test_dense_is_exact(spark):
     rng = np.random.default_rng(5)
     vectors = rng.normal(size=(200, 8))
@@ -62,9 +80,24 @@ def test_dense_is_exact(spark):
     qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "qid long, embedding array<double>")
     cosine = np.round((vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ (asked / np.linalg.norm(asked, axis=1, keepdims=True)).T, 6)
     want = [(q, int(i)) for q in range(5) for i in sorted(range(200), key=lambda i: (-cosine[i, q], i))[:7]]
-    for max_bytes in (10**9, 200):  # one chunk of questions, and many
-        got = [(r["qid"], r["doc_id"]) for r in retrieval.dense_topk(df, qs, 7, max_bytes=max_bytes).orderBy("qid", "rank").collect()]
+    for block in (10**6, 40):  # one block of each kind, and many
+        got = [(r["qid"], r["doc_id"]) for r in dense.exact_topk(df, qs, 7, block=block).orderBy("qid", "rank").collect()]
         assert got == want
+    every = dense.probed_topk(df, qs, 7, cells=(dense.fitted_cells(df, 7)[0], dense.CENTRES), block=20).orderBy("qid", "rank").collect()
+    assert [(r["qid"], r["doc_id"]) for r in every] == want
+    assert dense.probed_topk(df.limit(0), qs, 7).count() == dense.exact_topk(df, qs.limit(0), 7).count() == 0
+
+
+def test_probed_cells_find_most(spark):
+    rng = np.random.default_rng(6)
+    middles = rng.normal(size=(20, 16))
+    vectors = middles[rng.integers(0, 20, 3000)] + 0.4 * rng.normal(size=(3000, 16))
+    vectors[:1000] = middles[0] + 0.3 * rng.normal(size=(1000, 16))  # a third of all rows in one place
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "doc_id long, embedding array<double>").repartition(3)
+    asked = df.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid")
+    exact = {(r["qid"], r["doc_id"]) for r in dense.exact_topk(df, asked, 10).collect()}
+    found = {(r["qid"], r["doc_id"]) for r in dense.probed_topk(df, asked, 10, block=200).collect()}
+    assert len(exact) == 1500 and len(exact & found) >= 0.9 * len(exact)
 
 
 def ranking(spark, *lists):
