@@ -3,7 +3,8 @@
 A line is compared by the hash of its normal form (lower case, runs of blanks as
 one, ends trimmed).  Per host the documents holding a line are counted, copies of
 one text as one document, since a copied document is not boilerplate.  A line in
-more than ``max_share`` of a host's documents (and in more than ``min_docs``) is
+more than ``max_share`` of a host's documents, but in ``min_docs`` at least, or in more than
+``max_docs`` of them however large the host, is
 removed; a document is depleted when its lines that stay hold less than
 ``least_left`` of the words of all its lines, each different line counted once.
 Statistics and verdicts are those of the text as it came; ``without_frequent_lines``
@@ -23,6 +24,8 @@ from plumbline.llm.columns import BLANKS, let, narrow, words
 from plumbline.session import materialise
 
 SYMBOLS = "#*$%&|<>"
+#: Short hashes of texts that lose lines: so many numbers are broadcast at most.
+SLOTS = 1 << 21
 
 
 def _repeated(ws: Column) -> Column:
@@ -87,7 +90,7 @@ def _distinct_lines(text: Column) -> Column:
     return F.array_distinct(F.transform(_lines(text), one))
 
 
-def lessened_texts(docs: DataFrame, host: str, text: str, max_share: float, min_docs: int, least_left: float) -> DataFrame:
+def lessened_texts(docs: DataFrame, host: str, text: str, max_share: float, min_docs: int, max_docs: int, least_left: float) -> DataFrame:
     """``host`` and ``text_key`` of the texts that lose lines, the hashes of the lines ``cut``, and whether too many go: ``depleted``."""
     own = narrow(docs, host=F.coalesce(docs[host].cast("string"), F.lit("")), text=F.coalesce(docs[text], F.lit("")))
     keyed = own.select("host", F.unhex(F.md5("text")).alias("text_key"), "text")
@@ -98,9 +101,9 @@ def lessened_texts(docs: DataFrame, host: str, text: str, max_share: float, min_
     sizes = lines.select("host", "text_key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
     frequent = (
         lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > min_docs)
+        .filter(F.col("n") >= min_docs)
         .join(sizes, "host")
-        .filter(F.col("n") > max_share * F.col("texts"))
+        .filter((F.col("n") > max_share * F.col("texts")) | (F.col("n") > max_docs))
         .select("host", "line", F.lit(True).alias("frequent"))
     )
     left = F.sum(F.when(F.col("frequent").isNull(), F.col("words")).otherwise(0))
@@ -113,19 +116,26 @@ def lessened_texts(docs: DataFrame, host: str, text: str, max_share: float, min_
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", host: str = "source", text: str = "text", *, min_words: int = 50,
-                  max_repeated: float = 0.5, max_share: float = 0.1, min_docs: int = 100, least_left: float = 0.3,
+                  max_repeated: float = 0.5, max_share: float = 0.1, min_docs: int = 3, max_docs: int = 10_000, least_left: float = 0.3,
                   keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: its id, the statistics, ``base_failed`` and ``kept``, then, if ``keep`` names columns, these and the lines to ``cut``."""
     body = F.coalesce(docs[text], F.lit(""))
     rows = docs.select(
-        docs[id_col].alias("id"), F.coalesce(docs[host].cast("string"), F.lit("")).alias("host"),
-        F.unhex(F.md5(body)).alias("text_key"), statistics(body).alias("s"),
+        docs[id_col].alias("id"), F.coalesce(docs[host].cast("string"), F.lit("")).alias("host"), F.unhex(F.md5(body)).alias("text_key"), body.alias("body"),
         *([F.struct(*[docs[c] for c in keep]).alias("carried")] if keep else []),
     )
-    lessened = lessened_texts(docs, host, text, max_share, min_docs, least_left)
+    lessened = lessened_texts(docs, host, text, max_share, min_docs, max_docs, least_left)
     # written first, so that the planner knows how few texts it joins
     gone = materialise(lessened if keep else lessened.filter("depleted").select("host", "text_key", "depleted"), "lessened")
-    judged = rows.join(gone, ["host", "text_key"], "left").withColumn(
+    slot = F.xxhash64("host", "text_key").bitwiseAND(SLOTS - 1).alias("slot")
+    marked = F.broadcast(gone.select(slot).distinct())  # at most SLOTS numbers
+    told = ["id", statistics(F.col("body")).alias("s"), *(["carried"] if keep else [])]
+    slotted = rows.withColumn("slot", slot)
+    # only rows that may lose lines are shuffled with their texts
+    changed = slotted.join(marked, "slot", "left_semi").select("host", "text_key", *told).join(gone, ["host", "text_key"], "left")
+    same = slotted.join(marked, "slot", "left_anti").select(*told).withColumns(
+        {"depleted": F.lit(False), **({"cut": F.lit(None).cast("array<bigint>")} if keep else {})})
+    judged = changed.select(*same.columns).unionByName(same).withColumn(
         "base_failed", (F.col("s.n_words") < min_words) | (100 * F.col("s.n_repeat_words") > 100 * max_repeated * F.col("s.n_words")))
     return judged.select(
         F.col("id").alias(id_col), "s.*", "base_failed", (~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False))).alias("kept"),

@@ -48,7 +48,7 @@ held as (select distinct host, text, norm, len(string_split(norm, ' ')) as words
 sizes as (select host, count(distinct text) as texts from held group by 1),
 frequent as (
   select host, norm from (select host, norm, count(*) as n from held group by 1, 2) join sizes using (host)
-  where n > 100 and n > 0.1 * texts),
+  where n >= 3 and (n > 0.1 * texts or n > 10000)),
 depleted as (
   select h.host, h.text from held h left join frequent f on h.host = f.host and h.norm = f.norm
   group by 1, 2 having sum(case when f.norm is null then words else 0 end) < 0.3 * sum(words)),

@@ -12,8 +12,8 @@ import corpus_pipeline
 from plumbline.llm import preference_quality, secret_lexer
 from plumbline.session import materialise
 from tests.llm.test_near_copies import Forest, fingerprint
-from tests.llm.test_rules_and_copies import ascii_lower, depleted, statistics
-from tests.llm.texts import awkward, frame, words
+from tests.llm.test_rules_and_copies import ascii_lower, depleted, frequent, statistics
+from tests.llm.texts import awkward, frame, split, words
 
 
 def labelled(n=240):
@@ -67,8 +67,9 @@ def test_nothing_to_learn_from(spark):
 
 def brute(rows):
     """Ids with their final texts."""
-    gone = depleted(rows, 0.1, 100, 0.3)
+    gone, often = depleted(rows, 0.1, 3, 0.3), frequent(rows, 0.1, 3)
     rows = [(i, t, s) for i, t, s in rows if (st := statistics(t))[0] >= 50 and 100 * st[-1] <= 50 * st[0] and (s or "", t or "") not in gone]
+    rows = [(i, "\n".join(x for x in t.split("\n") if (s or "", " ".join(split(x.lower()))) not in often), s) for i, t, s in rows]
     largest = {}
     for i, t, _ in rows:
         largest[ascii_lower(t)] = max(largest.get(ascii_lower(t), i), i, key=lambda x: (x is not None, x or 0))

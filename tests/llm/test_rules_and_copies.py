@@ -21,16 +21,25 @@ def statistics(text):
     return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
 
 
-def depleted(rows, max_share, min_docs, least_left):
-    """(host, text) pairs that lose too many lines."""
+def _held(rows):
     texts = {(s or "", t or "") for _, t, s in rows}
     lines = {key: {" ".join(split(line.lower())) for line in key[1].split("\n") if split(line)} for key in texts}
     hosts = Counter(host for host, text in texts if lines[host, text])
-    held = Counter((key[0], line) for key, own in lines.items() for line in own)
-    out = set()
-    for key, own in lines.items():
+    return lines, hosts, Counter((key[0], line) for key, own in lines.items() for line in own)
+
+
+def frequent(rows, max_share, min_docs, max_docs=10_000):
+    """(host, line) pairs above the limits."""
+    _, hosts, held = _held(rows)
+    return {(h, line) for (h, line), n in held.items() if n >= min_docs and (n > max_share * hosts[h] or n > max_docs)}
+
+
+def depleted(rows, max_share, min_docs, least_left, max_docs=10_000):
+    """(host, text) pairs that lose too many lines."""
+    out, gone = set(), frequent(rows, max_share, min_docs, max_docs)
+    for key, own in _held(rows)[0].items():
         size = {line: len(line.split(" ")) for line in own}
-        left = sum(n for line, n in size.items() if not (held[key[0], line] > min_docs and held[key[0], line] > max_share * hosts[key[0]]))
+        left = sum(n for line, n in size.items() if (key[0], line) not in gone)
         if own and left < least_left * sum(size.values()):
             out.add(key)
     return out
@@ -97,6 +106,17 @@ def test_pipeline_cuts_frequent_lines(spark):
     assert {(r["doc_id"], r["text"]) for r in out} == {(i, t.split("\n")[1]) for i, t, _ in rows}
 
 
+def test_limits_bite_in_small_and_in_hot_hosts(spark):
+    import random
+    text = lambda k, *more: "\n".join([*more, " ".join(words(random.Random(k), 60))])
+    small = [(k, text(k, *["shared by three"] * (k < 3), *["shared by two"] * (k < 2)), "small") for k in range(20)]
+    hot = [(100 + k, text(100 + k, *["in some"] * (k < 41), *["in few"] * (k < 12)), "hot") for k in range(400)]
+    for most, cut in ((10_000, {"shared by three", "in some"}), (11, {"shared by three", "in some", "in few"})):
+        got = line_frequency.without_frequent_lines(frame(spark, small + hot), max_docs=most).collect()
+        assert len(got) == 420
+        assert {line for r in got for line in r["text"].split("\n") if len(line) < 20} == {"shared by three", "shared by two", "in some", "in few"} - cut
+
+
 def content(rows):
     groups = defaultdict(list)
     for i, t, _ in rows:
