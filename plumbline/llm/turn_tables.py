@@ -225,9 +225,10 @@ def turns_of(conversations: DataFrame, conv: str, turn: str, role: str, text: st
     plain = conversations.select(
         conversations[conv].alias("id"), conversations[turn].cast("bigint").alias("turn"), F.coalesce(conversations[role], F.lit(" ")).alias("role"),
         F.coalesce(conversations[text], F.lit(" ")).alias("text"), (conversations[copies] if copies else F.lit(1)).cast("bigint").alias("n"))
-    once = plain.groupBy("id", "turn", "role", "text").agg(F.sum("n").alias("n")).withColumn(
-        "key", F.unhex(F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256)))
-    again = (once.where("n > 0").groupBy("id", "key").agg(F.count(F.lit(1)).alias("places"), F.count("turn").alias("told"), F.min("turn").alias("first"))
+    key = F.unhex(F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256))
+    once = plain.groupBy("id", "turn", "role", "text").agg(F.sum("n").alias("n")).withColumn("key", key)
+    again = (plain.where("n > 0").select("id", "turn", key.alias("key")).distinct()
+             .groupBy("id", "key").agg(F.count(F.lit(1)).alias("places"), F.count("turn").alias("told"), F.min("turn").alias("first"))
              .where("places > 1").select(F.col("id").alias("its id"), F.col("key").alias("its key"), "first", (F.col("told") < F.col("places")).alias("null first")))
     joined = once.join(again, F.col("id").eqNullSafe(F.col("its id")) & (F.col("key") == F.col("its key")), "left")
     earlier = F.when(F.col("its key").isNull() | F.col("turn").isNull(), False).otherwise(F.col("null first") | (F.col("turn") > F.col("first")))
