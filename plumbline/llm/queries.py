@@ -103,7 +103,7 @@ def op9_merge_automaton(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_paragraph_minhash(spark: SparkSession, folder: str) -> DataFrame:
-    return paragraph_minhash.by_document(table(spark, folder, "documents"))
+    return paragraph_minhash.by_document(table(spark, folder, "documents"), min_passage=20)
 
 
 @query
