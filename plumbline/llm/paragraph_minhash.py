@@ -39,7 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,11 +153,14 @@ def _read(min_words: int, shingle: int):
 
 def paragraphs(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
     """``id``, ``doc`` (a key of the text), ``line``, ``para`` (a key of the wording) and ``words`` of every line."""
-    own = narrow(docs, id=id_col, text=text).select("id", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    wording = F.trim(F.regexp_replace(F.lower("raw"), BLANKS, " "))
-    lines = own.select("id", "doc", "line", wording.alias("words"))
+    def wording(raw: Column, line: Column) -> Column:
+        return F.struct(line.alias("line"), F.trim(F.regexp_replace(F.lower(raw), BLANKS, " ")).alias("words"))
+
+    # no filter passes below a generator, where the wording would be computed once for each of its uses
+    own = narrow(docs, id=id_col, text=text).select(
+        "id", F.xxhash64("text").alias("doc"), F.explode_outer(F.transform(F.split("text", "\n"), wording)).alias("p")).select("id", "doc", "p.*")
     enough = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1 >= min_words
-    return lines.filter((F.col("words") != "") & enough).select("id", "doc", "line", F.xxhash64("words").alias("para"), "words")
+    return own.filter((F.col("words") != "") & enough).select("id", "doc", "line", F.xxhash64("words").alias("para"), "words")
 
 
 def _compare(rows: pd.DataFrame, shingle: int, similarity: float) -> list[tuple[int, int]]:
