@@ -17,7 +17,8 @@ from plumbline.streaming import queries as streams
 
 def replay(spark: SparkSession, folder: str, name: str) -> DataFrame:
     schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    # a pattern, because a plain path to a stream must be a folder; a table may be one file or a folder of files
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 def run(spark: SparkSession, stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
