@@ -86,17 +86,18 @@ def mislabelled_figures(texts: DataFrame, facts: DataFrame, split_colon: bool =
     owned = facts.groupBy("answer_id").agg(F.collect_set(F.struct(
         fold(F.col("label")).alias("label"), F.col("value").cast("decimal(38,12)").alias("value"))).alias("owned"))
     cut = vocab.CLAUSE_BREAK if split_colon else vocab.CLAUSE_BREAK.replace(":", "")
-    clauses = texts.select("text_id", "answer_id", "language", "text").join(owned, "answer_id").select(
-        "text_id", "language", "owned", F.explode(F.split("text", cut)).alias("clause"))
-    # exploding the one folded text fixes it as a value: inlined into the lambda
-    # below it would be folded again for every label
-    folded = clauses.select("*", F.explode(F.array(fold(F.col("clause")))).alias("folded"))
+    clauses = texts.select("text_id", "answer_id", "language", F.explode(F.split("text", cut)).alias("clause"))
+    # exploding the one list, and the one folded text, fixes it as a value: inlined into the filter or the
+    # lambda below it would be worked out again each time; clauses without a figure are not folded
+    pure = F.filter(F.regexp_extract_all("clause", F.lit(vocab.FIGURE_TOKEN), F.lit(0)), lambda t: t.rlike(vocab.PURE_FIGURE))
+    stated = clauses.select("*", F.explode(F.array(pure)).alias("tokens")).filter(F.size("tokens") > 0).join(owned, "answer_id")
+    folded = stated.select("text_id", "language", "owned", "tokens", F.explode(F.array(fold(F.col("clause")))).alias("folded"))
     labels = F.array_distinct(F.transform(
         F.filter("owned", lambda f: (f["label"] != "") & F.contains(F.col("folded"), f["label"])), lambda f: f["label"]))
-    named = folded.select("text_id", "language", "owned", labels.alias("named"), F.regexp_extract_all("clause", F.lit(vocab.FIGURE_TOKEN), F.lit(0)).alias("tokens"))
+    named = folded.select("text_id", "language", "owned", labels.alias("named"), "tokens")
     tokens = named.select(
         "text_id", F.get("named", F.lit(0)).alias("label"), "owned", "language",
-        F.explode(F.when(F.size("named") == 1, F.filter("tokens", lambda t: t.rlike(vocab.PURE_FIGURE)))).alias("token"))
+        F.explode(F.when(F.size("named") == 1, F.col("tokens"))).alias("token"))
     figures_read = tokens.select("text_id", "label", "owned", "token", F.explode(F.array(figure_value(F.col("token"), F.col("language")))).alias("value"))
     owners = F.transform(F.filter("owned", lambda f: f["value"] == F.col("value")), lambda f: f["label"])
     wrong = F.when((F.size(owners) > 0) & ~F.array_contains(owners, F.col("label")), F.col("token"))
