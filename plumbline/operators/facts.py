@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import vocab
 from plumbline.functions.text import fold, fold_literals, group_key, safe_label
+from plumbline.operators.sizes import broadcast_if_small
 from plumbline.operators.sequences import block_offsets, top_with_remainder
 
 RID = ("rid",)
@@ -182,7 +183,8 @@ def time_series(rows: DataFrame, keys: Sequence[str] = RID, identity: str = "ide
     keys = list(keys)
     points = rows.filter(F.col("moment").isNotNull() & F.col("value").isNotNull())
     dupes = series_duplicates(points, keys, identity).filter("duplicates = 0").select(*keys, "n_series")
-    return points.join(dupes, keys).select(
+    # a key may hold a third of all points, so they are not shuffled by it unless there are very many keys
+    return points.join(broadcast_if_small(dupes), keys).select(
         *keys, safe_label(F.col(identity), None).alias("series"),
         F.col("moment").alias("dim"), "value", "n_series",
     )
