@@ -63,24 +63,54 @@ def constant_columns(values: DataFrame, stats: DataFrame) -> DataFrame:
     return values.join(single, ["rid", "col_idx"]).select("rid", "col_idx", F.col("text_value").alias("value"))
 
 
-def row_totals(cells: DataFrame, profile: DataFrame) -> DataFrame:
-    """Numeric columns equal to the sum of the other numeric columns in every complete row, of which there must be three."""
-    numeric = profile.filter(F.col("kind") == "decimal")
-    wide = numeric.groupBy("rid").agg(F.count(F.lit(1)).alias("width")).filter(F.col("width") >= 3)
-    columns = numeric.select("rid", "col_idx", "kind", "comma_decimal", "day_rule").join(wide.select("rid"), "rid")
-    typed = typed_cells(cells.join(columns.select("rid", "col_idx"), ["rid", "col_idx"], "left_semi"), columns)
+def row_totals(cells: DataFrame, profile: DataFrame, slots: int = 32) -> DataFrame:
+    """Numeric columns equal to the sum of the other numeric columns in every complete row, of which there must be three.
+
+    The numbers of a row meet in fixed places of a hash aggregate in tables of up to ``slots`` numeric
+    columns, in a list in wider ones.  The largest width reaches the driver.
+    """
+    numeric = profile.filter(F.col("kind") == "decimal").select(
+        "rid", "col_idx", "kind", "comma_decimal", "day_rule",
+        F.count(F.lit(1)).over(W.partitionBy("rid")).alias("width"), F.row_number().over(W.partitionBy("rid").orderBy("col_idx")).alias("slot"))
+    columns = numeric.filter(F.col("width") >= 3)
+    widest = columns.agg(F.max("width")).first()[0] or 3
+    found = _totals_in_slots(cells, columns.filter(F.col("width") <= slots), min(widest, slots))
+    if widest > slots:
+        found = found.unionByName(_totals_in_lists(cells, columns.filter(F.col("width") > slots)))
+    return found.withColumn("is_row_total", F.lit(True))
+
+
+def _row_numbers(cells: DataFrame, columns: DataFrame) -> DataFrame:
+    taken = cells.join(columns.select("rid", "col_idx"), ["rid", "col_idx"], "left_semi")
+    return typed_cells(taken, columns).select("rid", "row_idx", "col_idx", "number")
+
+
+def _totals_in_slots(cells: DataFrame, columns: DataFrame, slots: int) -> DataFrame:
+    numbers = _row_numbers(cells, columns).join(columns.select("rid", "col_idx", "width", "slot"), ["rid", "col_idx"])
+    rows = numbers.groupBy("rid", "row_idx").agg(
+        F.sum("number").alias("row_sum"), F.count("number").alias("filled"), F.max("width").alias("width"),
+        *[F.max(F.when(F.col("slot") == i, F.col("number"))).alias(f"n{i}") for i in range(1, slots + 1)]).filter(F.col("filled") == F.col("width"))
+    checked = rows.groupBy("rid").agg(
+        F.count(F.lit(1)).alias("checked"),
+        *[F.min(F.col(f"n{i}") == F.col("row_sum") - F.col(f"n{i}")).alias(f"e{i}") for i in range(1, slots + 1)]).filter(F.col("checked") >= 3)
+    equal = checked.select("rid", F.posexplode(F.array(*[F.col(f"e{i}") for i in range(1, slots + 1)])).alias("place", "all_equal"))
+    return equal.filter("all_equal").select("rid", (F.col("place") + 1).alias("slot")).join(
+        columns.select("rid", "slot", "col_idx"), ["rid", "slot"]).select("rid", "col_idx")
+
+
+def _totals_in_lists(cells: DataFrame, columns: DataFrame) -> DataFrame:
     rows = (
-        typed.groupBy("rid", "row_idx")
+        _row_numbers(cells, columns).groupBy("rid", "row_idx")
         .agg(F.sum("number").alias("row_sum"), F.count("number").alias("filled"),
              F.collect_list(F.struct("col_idx", "number")).alias("numbers"))  # one row's numbers
-        .join(wide, "rid").filter(F.col("filled") == F.col("width"))
+        .join(columns.select("rid", "width").distinct(), "rid").filter(F.col("filled") == F.col("width"))
     )
     return (
         rows.select("rid", "row_sum", F.explode("numbers").alias("c"))
         .groupBy("rid", "c.col_idx")
         .agg(F.count(F.lit(1)).alias("checked"), F.min(F.col("c.number") == F.col("row_sum") - F.col("c.number")).alias("all_equal"))
         .filter((F.col("checked") >= 3) & F.col("all_equal"))
-        .select("rid", "col_idx", F.lit(True).alias("is_row_total"))
+        .select("rid", "col_idx")
     )
 
 
