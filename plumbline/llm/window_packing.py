@@ -19,7 +19,6 @@ Ties are cut for the longest last window.  An empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,31 +53,39 @@ def possible_cuts(documents: np.ndarray, sentences: np.ndarray, longest: int = L
 def windows(places: np.ndarray, costs: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """The chosen ends of windows over ``places`` (the last one always is): least padding plus penalties."""
     n = len(places)
-    exact: dict[int, list[int]] = {}
+    ends, begins = [], []
     for power in range((capacity - 1).bit_length()):
-        at = np.searchsorted(places, places - (1 << power))
+        wanted = places - (1 << power)
+        at = np.searchsorted(places, wanted)
         at[at == n] = 0
-        for j in np.flatnonzero(places[at] == places - (1 << power)).tolist():
-            exact.setdefault(j, []).append(int(at[j]))
+        ends.append(np.flatnonzero(places[at] == wanted))
+        begins.append(at[ends[-1]])
+    # the begins a power of two before each place, by place and power
+    end = np.concatenate([*ends, [n]])
+    order = np.argsort(end, kind="stable")
+    exact_end, exact_begin, e = end[order].tolist(), np.concatenate([*begins, [0]])[order].tolist(), 0
     where, price = places.tolist(), costs.tolist()
-    least, ranked, back = [0.0] * n, [0.0] * n, [0] * n
-    ranked[0] = float(where[0])
-    queue = deque([0])
+    least, back = [0.0] * n, [0] * n
+    queue, ranks, head = [0], [float(where[0])], 0  # ranks never fall along the queue
     for j in range(1, n):
         here = where[j]
-        while where[queue[0]] < here - capacity:
-            queue.popleft()
-        begin = queue[0]
-        best = ranked[begin] + capacity - here
-        for i in exact.get(j, ()):
+        while where[queue[head]] < here - capacity:
+            head += 1
+        begin = queue[head]
+        best = ranks[head] + capacity - here
+        while exact_end[e] == j:
+            i = exact_begin[e]
             if least[i] < best or least[i] == best and i < begin:
                 best, begin = least[i], i
+            e += 1
         best += price[j] + WINDOW
         least[j], back[j] = best, begin
-        rank = ranked[j] = best + here
-        while queue and ranked[queue[-1]] > rank:
+        rank = best + here
+        while len(ranks) > head and ranks[-1] > rank:
+            ranks.pop()
             queue.pop()
         queue.append(j)
+        ranks.append(rank)
     chosen, j = [], n - 1
     while j:
         chosen.append(where[j])

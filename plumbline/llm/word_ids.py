@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,9 +59,9 @@ class WordIds:
         self._flat, self._starts, self._lengths = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
 
     def _encoded(self, chunks: list[str]) -> list[list[int]]:
-        merged, found, others = self._tokenizer.model.tokenize, [], []
+        merged, letters, found, others = self._tokenizer.model.tokenize, _LETTERS.fullmatch, [], []
         for at, chunk in enumerate(chunks):
-            if self._bytewise and _LETTERS.fullmatch(chunk):
+            if self._bytewise and letters(chunk):
                 word = chunk if chunk.isascii() else chunk.lower().encode().decode("latin-1").translate(self._letter)
                 found.append([t.id for t in merged(word)])
             else:
@@ -72,8 +73,8 @@ class WordIds:
 
     def _learn(self, chunks: list[str]) -> None:
         found = self._encoded(chunks)
-        lengths = np.array([len(ids) for ids in found], dtype=np.int64)
-        more = np.fromiter((i for ids in found for i in ids), dtype="<u4", count=int(lengths.sum()))
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        more = np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(lengths.sum()))
         self._slots.update(zip(chunks, range(len(self._slots), len(self._slots) + len(chunks))))
         self._starts = np.concatenate([self._starts, len(self._flat) + np.cumsum(lengths) - lengths])
         self._lengths = np.concatenate([self._lengths, lengths])
@@ -93,10 +94,12 @@ class WordIds:
         chunks = coded.dictionary.to_pylist()
         if len(self._slots) + len(chunks) > MOST_CHUNKS:
             self._forget()
-        unknown = [c for c in chunks if c not in self._slots]
+        places = list(map(self._slots.get, chunks))
+        unknown = [c for c, place in zip(chunks, places) if place is None]
         if unknown:
             self._learn(unknown)
-        slots = np.array([self._slots[c] for c in chunks], dtype=np.int64)[coded.indices.to_numpy()]
+            places = list(map(self._slots.get, chunks))
+        slots = np.array(places, dtype=np.int64)[coded.indices.to_numpy()]
         sizes = self._lengths[slots]
         ids = gathered(self._flat, self._starts[slots], sizes)
         edges = np.concatenate([[0], np.cumsum(sizes)])[parts.offsets.to_numpy()]
