@@ -17,6 +17,8 @@ from plumbline.operators.coercion import typed_cells
 from plumbline.operators.sequences import order_breaks
 
 ROW_BLOCK = 1_000_000
+#: Of so many rows one is looked at before all are.
+FEW = 256
 
 
 def value_counts(typed: DataFrame) -> DataFrame:
@@ -74,10 +76,16 @@ def row_totals(cells: DataFrame, profile: DataFrame, slots: int = 32) -> DataFra
         F.count(F.lit(1)).over(W.partitionBy("rid")).alias("width"), F.row_number().over(W.partitionBy("rid").orderBy("col_idx")).alias("slot"))
     columns = numeric.filter(F.col("width") >= 3)
     widest = columns.agg(F.max("width")).first()[0] or 3
-    found = _totals_in_slots(cells, columns.filter(F.col("width") <= slots), min(widest, slots))
-    if widest > slots:
-        found = found.unionByName(_totals_in_lists(cells, columns.filter(F.col("width") > slots)))
-    return found.withColumn("is_row_total", F.lit(True))
+
+    def checks(cells: DataFrame, columns: DataFrame) -> DataFrame:
+        found = _totals_in_slots(cells, columns.filter(F.col("width") <= slots), min(widest, slots))
+        return found if widest <= slots else found.unionByName(_totals_in_lists(cells, columns.filter(F.col("width") > slots)))
+
+    # one row that does not add up is enough, so a few rows tell which tables need not be read whole
+    refuted = checks(cells.filter(F.pmod(F.xxhash64("row_idx"), F.lit(FEW)) == 0), columns).filter(~F.col("all_equal"))
+    open_tables = columns.join(refuted.select("rid", "col_idx"), ["rid", "col_idx"], "left_anti").select("rid").distinct()
+    return checks(cells, columns.join(open_tables, "rid", "left_semi")).filter((F.col("checked") >= 3) & F.col("all_equal")).select(
+        "rid", "col_idx", F.lit(True).alias("is_row_total"))
 
 
 def _row_numbers(cells: DataFrame, columns: DataFrame) -> DataFrame:
@@ -92,10 +100,10 @@ def _totals_in_slots(cells: DataFrame, columns: DataFrame, slots: int) -> DataFr
         *[F.max(F.when(F.col("slot") == i, F.col("number"))).alias(f"n{i}") for i in range(1, slots + 1)]).filter(F.col("filled") == F.col("width"))
     checked = rows.groupBy("rid").agg(
         F.count(F.lit(1)).alias("checked"),
-        *[F.min(F.col(f"n{i}") == F.col("row_sum") - F.col(f"n{i}")).alias(f"e{i}") for i in range(1, slots + 1)]).filter(F.col("checked") >= 3)
-    equal = checked.select("rid", F.posexplode(F.array(*[F.col(f"e{i}") for i in range(1, slots + 1)])).alias("place", "all_equal"))
-    return equal.filter("all_equal").select("rid", (F.col("place") + 1).alias("slot")).join(
-        columns.select("rid", "slot", "col_idx"), ["rid", "slot"]).select("rid", "col_idx")
+        *[F.min(F.col(f"n{i}") == F.col("row_sum") - F.col(f"n{i}")).alias(f"e{i}") for i in range(1, slots + 1)])
+    equal = checked.select("rid", "checked", F.posexplode(F.array(*[F.col(f"e{i}") for i in range(1, slots + 1)])).alias("place", "all_equal"))
+    return equal.select("rid", (F.col("place") + 1).alias("slot"), "checked", "all_equal").join(
+        columns.select("rid", "slot", "col_idx"), ["rid", "slot"]).select("rid", "col_idx", "checked", "all_equal")
 
 
 def _totals_in_lists(cells: DataFrame, columns: DataFrame) -> DataFrame:
@@ -109,8 +117,7 @@ def _totals_in_lists(cells: DataFrame, columns: DataFrame) -> DataFrame:
         rows.select("rid", "row_sum", F.explode("numbers").alias("c"))
         .groupBy("rid", "c.col_idx")
         .agg(F.count(F.lit(1)).alias("checked"), F.min(F.col("c.number") == F.col("row_sum") - F.col("c.number")).alias("all_equal"))
-        .filter((F.col("checked") >= 3) & F.col("all_equal"))
-        .select("rid", "col_idx")
+        .select("rid", "col_idx", "checked", "all_equal")
     )
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import claims, coercion, facts, roles
 from plumbline.plans import registry
+from plumbline.session import materialise
 from tests.table_fixtures import TABLES, cells_of
 
 registry.load()
@@ -19,13 +20,14 @@ def test_the_last_key_of_each_table_is_broadcast(spark, data_dir):
 
 
 @pytest.mark.parametrize("slots", [2, 3, 32])  # all tables in lists, some, none
-def test_row_totals_in_slots_and_lists_agree(spark, slots):
+def test_row_totals_in_slots_and_lists_agree(spark, monkeypatch, slots):
     rows = [{f"c{i}": str(i + r) for i in range(4)} | {"sum": str(6 + 4 * r)} for r in range(5)]
     few, negative = rows[:2], [{"a": str(-r), "b": str(r + 1), "t": "1"} for r in range(4)]
     broken = [*rows[:4], rows[4] | {"sum": "7"}]
     gaps = [*rows, rows[0] | {"c1": ""}, {"c0": "", "c1": "", "c2": "", "c3": "", "sum": "9"}]
-    cells = cells_of(spark, TABLES | {"wide": rows, "few": few, "negative": negative, "broken": broken, "gaps": gaps})
-    profile = coercion.column_profile(cells)
+    monkeypatch.setattr(roles, "FEW", 2)  # half of all rows are looked at first
+    cells = cells_of(spark, {"row_totals": TABLES["row_totals"], "vaccination": TABLES["vaccination"], "wide": rows, "few": few, "negative": negative, "broken": broken, "gaps": gaps})
+    profile = materialise(coercion.column_profile(cells), "profile")
     got = {(r["rid"], r["col_idx"]) for r in roles.row_totals(cells, profile, slots=slots).collect()}
     assert got == {("row_totals", 3), ("wide", 4), ("gaps", 4), ("negative", 2)}
 
