@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -25,6 +26,19 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(SPACE_CHARS))
 
 
+def strip_front(text: Column) -> Column:
+    """Trim every kind of white space in front."""
+    return F.ltrim(text, F.lit(SPACE_CHARS))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` names it.
+
+    A lambda's argument is a value; a projected expression may be copied into every place that names it.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 @lru_cache(maxsize=None)
 def _accent_table(drop_class: str) -> tuple[str, str]:
     """Character pairs that remove accents, derived from the Unicode database.

@@ -168,7 +168,7 @@ def event_records(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("event_id") % 3 == 0, records)
         .when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"count": 2, "rows": '), records, F.lit("}")))
         .otherwise(props))
-    return table(spark, folder, "events").select(F.col("event_id").alias("rid"), body.alias("content"))
+    return spread(table(spark, folder, "events")).select(F.col("event_id").alias("rid"), body.alias("content"))
 
 
 SQL_K = "cast(json_extract_string(props, '$.k') as varchar)"

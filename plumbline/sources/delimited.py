@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import vocab
-from plumbline.functions.text import strip
+from plumbline.functions.text import strip, strip_front
 from plumbline.session import materialise
 
 MARK = b"\xef\xbb\xbf"
@@ -101,7 +101,7 @@ def _fields(line: Column, delimiter: Column) -> Column:
 
 
 def _blank(cell: Column) -> Column:
-    return strip(cell) == ""
+    return strip_front(cell) == ""
 
 
 def unique_names(cells: Column) -> Column:
@@ -152,7 +152,7 @@ def _header_facts(top: DataFrame) -> DataFrame:
 def _dialect(records: Column) -> Column:
     """``delimiter``, ``confident`` and ``declared`` of one body's records."""
     said = F.coalesce(F.regexp_extract(F.get(records, F.lit(0)), PREAMBLE, 1), F.lit(""))
-    filled = F.filter(records, lambda line, at: (strip(line) != "") & ~((at == 0) & line.rlike(PREAMBLE)))
+    filled = F.filter(records, lambda line, at: ~_blank(line) & ~((at == 0) & line.rlike(PREAMBLE)))
 
     def of(bare: Column, k: int, mark: str) -> Column:
         times = F.array_sort(F.transform(bare, lambda b: F.length(b) - F.length(F.replace(b, F.lit(mark), F.lit("")))))

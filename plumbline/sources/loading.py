@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.sizes import broadcast_if_small
 from plumbline.session import materialise
 from plumbline.sources import payloads
 
@@ -29,25 +30,29 @@ def load_tables(resources: DataFrame, landed: DataFrame, max_rows: int | None =
     ``resources``: id, format - ``landed``: rid, content, body_complete.  A resource
     without a payload is ``unavailable``; a body that is no table is ``malformed``.
     """
-    bodies = resources.select(F.col("id").alias("rid"), "format").join(landed, "rid", "left").withColumn(
-        "kind", payloads.payload_kind(F.col("content")))
-    why = F.when(F.col("content").isNull(), F.lit("no payload landed")).otherwise(payloads.kind_error(F.col("kind"), F.col("format")))
+    # a body's kind is told where the body lies; only ids and kinds meet the resources
+    told = landed.withColumn("kind", payloads.payload_kind(F.col("content")))
+    arrived = told.select("rid", "body_complete", "kind", F.col("content").isNotNull().alias("arrived"))
+    met = resources.select(F.col("id").alias("rid"), "format").join(arrived, "rid", "left")
+    lost = ~F.coalesce("arrived", F.lit(False))
+    why = F.when(lost, F.lit("no payload landed")).otherwise(payloads.kind_error(F.col("kind"), F.col("format")))
     as_json = (F.col("kind") == "json") | F.coalesce(F.upper(F.trim("format")) == "JSON", F.lit(False))
-    # the verdicts are small and decide everything else; bodies are read again only by their parser
-    verdicts = materialise(bodies.select(
-        "rid", F.col("body_complete"), F.col("content").isNull().alias("lost"), why.alias("refused"), as_json.alias("as_json")), "kinds")
+    verdicts = materialise(met.select("rid", "body_complete", "kind", lost.alias("lost"), why.alias("refused"), as_json.alias("as_json")), "kinds")
     readable = verdicts.filter("refused is null")
-    text_files, json_files = readable.filter("not as_json"), readable.filter("as_json")
-    parsed = materialise(payloads.parse_delimited(landed.join(text_files.select("rid"), "rid", "left_semi"), max_rows), "parsed")
-    records = materialise(payloads.parse_records(landed.join(json_files.select("rid"), "rid", "left_semi"), max_rows), "records")
+    text_files = readable.filter("not as_json")
+    # bodies are parsed by their kind, without a shuffle; the few that are declared to be JSON and look otherwise are told apart by id
+    declared = broadcast_if_small(materialise(readable.filter("kind = 'csv'").groupBy("rid").agg(
+        F.bool_or("as_json").alias("as_json"), F.bool_and("as_json").alias("only_json")).filter("as_json"), "declared"))
+    bodies = told.join(declared, "rid", "left")
+    parsed = materialise(payloads.parse_delimited(bodies.filter("kind = 'csv' and not coalesce(only_json, false)"), max_rows), "parsed")
+    records = materialise(payloads.parse_records(bodies.filter("kind = 'json' or kind = 'csv' and as_json"), max_rows), "records")
     delimited = payloads.payload_tables(parsed, text_files).select(
         "rid", "row_count", "complete", "incomplete_reason", "header_trusted", "error_kind", "error_detail")
     json_counts = records.groupBy("rid").agg(
-        F.count("row_idx").alias("row_count"), F.max("truncated").alias("truncated"), F.max("error_kind").alias("error_kind"))
+        F.count("row_idx").alias("row_count"), F.max("truncated").alias("truncated"), F.bool_or(F.col("error_kind").isNotNull()).alias("bad"))
     reason = F.when(F.col("truncated"), F.lit("row_cap")).when(~F.col("body_complete"), F.lit("byte_cap"))
-    empty = F.when(F.col("error_kind").isNull() & (F.col("row_count") == 0), F.lit("malformed"))
     json_tables = json_counts.join(readable.select("rid", "body_complete"), "rid").withColumn(
-        "error_kind", F.coalesce("error_kind", empty)).select(
+        "error_kind", F.when(F.col("bad") | (F.col("row_count") == 0), F.lit("malformed"))).select(
         "rid", "row_count", F.when(F.col("error_kind").isNull(), reason.isNull()).alias("complete"),
         F.when(F.col("error_kind").isNull(), reason).alias("incomplete_reason"), F.lit(True).alias("header_trusted"), "error_kind",
         F.when(F.col("error_kind").isNotNull(), F.lit("JSON payload holds no single list of records")).alias("error_detail"))

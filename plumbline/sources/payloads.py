@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import vocab
-from plumbline.functions.text import strip
+from plumbline.functions.text import let, strip, strip_front
 from plumbline.sources.delimited import decoded, parse_delimited, parse_files
 
 __all__ = ["parse_delimited", "parse_files"]
@@ -29,29 +29,39 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*", stream: bool
 
 # --- kind -------------------------------------------------------------------------
 
+LONGEST_MARKER = max(map(len, (*vocab.HTML_MARKERS, *vocab.XML_MARKERS)))
+
 
 def payload_kind(content: Column, content_type: Column | None = None) -> Column:
-    """Coarse kind of a body: whether it holds anything, its first bytes, the first mark behind blanks, NUL bytes anywhere."""
-    start = F.hex(F.substring(content, 1, 16))
-    text = strip(F.regexp_replace(strip(F.make_valid_utf8(content.cast("string"))), "^\ufeff", ""))
-    prefix = F.lower(F.left(text, F.lit(1024)))
-    kind = F.when(text == "", F.lit("empty"))
-    for signature, name in vocab.MAGIC_HEX:
-        kind = kind.when(F.startswith(start, F.lit(signature)), F.lit(name))
-    if content_type is not None:
-        kind = kind.when(F.coalesce(F.contains(F.lower(content_type), F.lit("html")), F.lit(False)), F.lit("html"))
-
-    def opens_with(markers):
-        found = F.lit(False)
-        for marker in markers:
-            found = found | F.startswith(prefix, F.lit(marker))
-        return found
-
-    return (
-        kind.when(opens_with(vocab.HTML_MARKERS), F.lit("html")).when(opens_with(vocab.XML_MARKERS), F.lit("xml"))
-        .when(opens_with(("{", "[")), F.lit("json")).when(F.contains(content.cast("string"), F.lit("\x00")), F.lit("binary"))
-        .otherwise(F.lit("csv"))
-    )
+    """Coarse kind of a body: whether it holds anything, its first bytes, the first mark behind blanks, NUL bytes anywhere.
+
+    Only blanks in front are looked for, since looking for those behind costs as much as the body is long.
+    """
+    said_html = F.lit(False) if content_type is None else F.coalesce(F.contains(F.lower(content_type), F.lit("html")), F.lit(False))
+
+    def of(prefix: Column, start: Column) -> Column:
+        kind = F.when(prefix == "", F.lit("empty"))
+        for signature, name in vocab.MAGIC_HEX:
+            kind = kind.when(F.startswith(start, F.lit(signature)), F.lit(name))
+
+        def opens_with(markers):
+            found = F.lit(False)
+            for marker in markers:
+                found = found | F.startswith(prefix, F.lit(marker))
+            return found
+
+        return (
+            kind.when(said_html, F.lit("html"))
+            .when(opens_with(vocab.HTML_MARKERS), F.lit("html")).when(opens_with(vocab.XML_MARKERS), F.lit("xml"))
+            .when(opens_with(("{", "[")), F.lit("json")).when(F.contains(content.cast("string"), F.lit("\x00")), F.lit("binary"))
+            .otherwise(F.lit("csv")))
+
+    def opened(text: Column) -> Column:
+        return F.when(F.startswith(text, F.lit("\ufeff")), strip_front(F.regexp_replace(text, "^\ufeff", ""))).otherwise(text)
+
+    facts = let(strip_front(F.make_valid_utf8(content.cast("string"))), lambda text: F.struct(
+        F.lower(F.left(opened(text), F.lit(LONGEST_MARKER))).alias("prefix"), F.hex(F.substring(content, 1, 16)).alias("start")))
+    return let(facts, lambda f: of(f["prefix"], f["start"]))
 
 
 def kind_error(kind: Column, declared: Column) -> Column:

@@ -1,9 +1,11 @@
 """Payload literals: kinds, dialects, headers, rows and completeness."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.sources import packages, payloads
+from plumbline.sources import loading, packages, payloads
 
 BODIES = {
     "semicolon": (b"a;b\n1,5;2,5\n3,5;4,5\n", True),
@@ -179,3 +181,28 @@ def test_packages(spark, tmp_path):
     assert resources["r1"]["is_tabular"] and resources["r1"]["size"] == 12 and resources["r1"]["mimetype"] == "m"
     assert not resources["r2"]["is_tabular"] and resources["r2"]["size"] is None and not resources["r2"]["datastore_active"]
     assert tuple(packages.harvest_counts(found).first()) == (2, 1, 1, 2)
+
+
+def test_kinds_behind_blanks_and_marks(spark):
+    bodies = {"empty": " ﻿ 　\n".encode(), "html": " ﻿ \n<!DOCTYPE html>x".encode(), "json": b"\xef\xbb\xbf\n [1]  ", "csv": "a;b ﻿<html".encode()}
+    frame = spark.createDataFrame([(k, bytearray(b)) for k, b in bodies.items()], "want string, content binary")
+    found = frame.select("want", payloads.payload_kind(F.col("content")).alias("kind")).collect()
+    assert [r["kind"] for r in found] == [r["want"] for r in found]
+
+
+def test_bodies_are_not_shuffled_to_their_parsers(spark):
+    """Resources and bodies meet by id; a body declared to be JSON is read as JSON whatever it looks like."""
+    rng = random.Random(5)
+    sized = [(str(i), bytearray(b'[{"a": "x"}]' if i % 2 else b"a;b\n" + b"".join(b"%s;y\n" % rng.randbytes(8).hex().encode() for _ in range(2000))), True) for i in range(40)]
+    odd = [("odd", bytearray(b"a;b\n1;2\n"), True), ("bad", bytearray(b"\x00\x01"), False), ("nobody", bytearray(b"a;b\n1;2\n"), True)]
+    landed = spark.createDataFrame(sized + odd, "rid string, content binary, body_complete boolean")
+    resources = spark.createDataFrame([*[(str(i), "CSV") for i in range(40)], ("odd", "json "), ("bad", "CSV"), ("gone", "CSV")], "id string, format string")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    lists, none = spark.sparkContext._jvm.java.util.ArrayList, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = lambda: store.stageList(lists(), False, False, none, lists())
+    before = sum(stages().apply(i).shuffleWriteBytes() for i in range(stages().size()))
+    found = {r["rid"]: (r["row_count"], r["complete"], r["error_kind"]) for r in loading.load_tables(resources, landed).tables.collect()}
+    written = sum(stages().apply(i).shuffleWriteBytes() for i in range(stages().size())) - before
+    assert written < 100_000  # of twenty bodies of 38 kB each
+    assert found["0"] == (2000, True, None) and found["1"] == (1, True, None) and len(found) == 43
+    assert found["odd"] == (0, None, "malformed") and found["bad"][2] == "malformed" and found["gone"] == (0, None, "unavailable")
