@@ -8,6 +8,8 @@ projects the agreed reading.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,10 +54,32 @@ def distinct_cells(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*KEYS, "cell").agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("row_idx"))
 
 
+def _likeness(cell: Column, sentinels) -> Column:
+    """A text that a profile reads as it reads ``cell``: a column of numerals or of words has few of them.
+
+    In a numeral that does not begin with 0 any digit counts for any other, but one digit may be a truth value and
+    four may be a year.  ASCII words without digits, longer than every word that means something, are only text.
+    """
+    longest = max(len(w) for w in (*sentinels, *vocab.TRUE_WORDS, *vocab.FALSE_WORDS))
+    like = F.when(cell.rlike("^[A-Za-z][A-Za-z -]{%d,}[A-Za-z]\\z" % longest), F.lit("x" * (longest + 2))).otherwise(cell)
+    if any(re.fullmatch("[+-]?[1-9][0-9.,]+%?", w) for w in sentinels):
+        return like
+    numeral = cell.rlike("^[+-]?[1-9][0-9.,]+%?\\z") & (F.length(cell) != 4)
+    return F.when(numeral, F.translate(cell, "023456789", "1" * 9)).otherwise(like)
+
+
+def alike_cells(cells: DataFrame, sentinels=vocab.SENTINELS) -> DataFrame:
+    """What :func:`column_profile` needs of cells: one row per (table, column, likeness) with its count and first row.
+
+    Spellings that a profile cannot tell apart meet on the map side, so keys and prices are not shuffled one by one.
+    """
+    return distinct_cells(cells.withColumn("cell", _likeness(F.col("cell"), sentinels)))
+
+
 def column_profile(cells: DataFrame, sentinels=vocab.SENTINELS, max_digits: int = vocab.DECIMAL_DIGITS) -> DataFrame:
     """One row per column: counts, the agreed reading and the resulting kind.
 
-    Takes cells, or :func:`distinct_cells`, whose ``n`` then weighs the counts.
+    Takes cells, or :func:`distinct_cells` or :func:`alike_cells`, whose ``n`` then weighs the counts.
     """
     weighted = "n" in cells.columns
     body, bare, reading = F.col("body"), F.col("bare"), F.col("reading")

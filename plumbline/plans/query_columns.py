@@ -117,7 +117,7 @@ SQL_CELLS = f"""
 """)
 def column_profile(spark: SparkSession, folder: str) -> DataFrame:
     cells = lineitem_cells(spark, folder).unionByName(orders_cells(spark, folder)).unionByName(part_cells(spark, folder))
-    return coercion.column_profile(coercion.distinct_cells(cells)).select(
+    return coercion.column_profile(coercion.alike_cells(cells)).select(
         "rid", "col_name", "n_rows", "null_count", "sentinel_count", "non_null", "kind", "comma_decimal",
         F.col("scale").cast("long").alias("scale"), "unit", "day_rule")
 
@@ -170,7 +170,7 @@ def row_total_columns(spark: SparkSession, folder: str) -> DataFrame:
         fixed("l_quantity").alias("quantity"), fixed("l_linenumber").alias("lines"), tax.cast("string").alias("tax"),
         (F.col("l_quantity").cast("decimal(18,2)") + F.col("l_linenumber").cast("decimal(18,2)") + tax).cast("string").alias("total"))
     cells = cells_from_table(texts, F.col("rid"), F.col("row_idx"), ["quantity", "lines", "tax", "total"])
-    profile = materialise(coercion.column_profile(coercion.distinct_cells(cells)), "profile")
+    profile = materialise(coercion.column_profile(coercion.alike_cells(cells)), "profile")
     names = profile.select("rid", "col_idx", "col_name")
     return roles.row_totals(cells, profile).join(names, ["rid", "col_idx"]).select("rid", "col_name")
 
@@ -191,7 +191,7 @@ def late_total_break(spark: SparkSession, folder: str) -> DataFrame:
         "rid", F.col("k").alias("row_idx"), fixed("l_quantity").alias("quantity"), fixed("l_linenumber").alias("lines"),
         (F.col("l_quantity").cast("decimal(18,2)") + F.col("l_linenumber").cast("decimal(18,2)") + off).cast("string").alias("total"))
     cells = cells_from_table(texts, F.col("rid"), F.col("row_idx"), ["quantity", "lines", "total"])
-    profile = materialise(coercion.column_profile(coercion.distinct_cells(cells)), "profile")
+    profile = materialise(coercion.column_profile(coercion.alike_cells(cells)), "profile")
     return roles.row_totals(cells, profile).join(profile.select("rid", "col_idx", "col_name"), ["rid", "col_idx"]).select("rid", "col_name")
 
 

@@ -5,6 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import vocab
 from plumbline.operators import coercion, facts, roles
 from plumbline.plans import tables as plan
 from tests.table_fixtures import TABLES, cells_of, table_rows
@@ -177,3 +178,25 @@ def test_results_do_not_depend_on_partitioning(spark, fact_rows):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == fact_rows
+
+
+ALIKE = {
+    **{rid: values for rid, (values, _, _) in COERCE.items()},
+    "keys": [str(10_000 + 7 * i) for i in range(300)],
+    "prices": [f"{i % 90 + 1}.{100 + i:03},{i % 97:02}" for i in range(300)],
+    "shares": [f"{i + 10},5%" for i in range(80)],
+    "words": [a + " " + b for a in ("lavender", "chocolate", "EUR") for b in ("of the spring meadows", "and of the old forest EUR")],
+    "leading": ["007", "0,50", "12,50", "+9,5", "-10,25"],
+    "one": ["7", "1"], "truths": ["1", "0"], "not_truths": ["7", "0", "yes"],
+    "year_feed": ["2010\n", "1999 "], "no_year": ["9999", "2020-05"], "year": ["2100", "2020-05"],
+    "scales": ["1,5", "123.456.789,123456789012", "99999999999999999999999999999,5"], "broken": ["1,2.3,4", "12"],
+}
+
+
+def test_alike_cells_have_the_profile_of_their_cells(spark):
+    cells = cells_of(spark, {rid: [{"c": v} for v in values] for rid, values in ALIKE.items()})
+    for sentinels in (vocab.SENTINELS, (*vocab.SENTINELS, "-1111", "2222")):
+        rows = lambda df: sorted(map(str, coercion.column_profile(df, sentinels).collect()))
+        assert rows(coercion.alike_cells(cells, sentinels)) == rows(cells)
+    kinds = dict(coercion.alike_cells(cells).groupBy("rid").count().collect())
+    assert kinds["keys"] == 1 and kinds["prices"] <= 2 and kinds["words"] == 1
