@@ -22,64 +22,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.columns import BLANKS, narrow
+from plumbline.llm.columns import narrow
 from plumbline.session import materialise
 
 EDITS, MIN_CHARS = 2, 16
 SLOTS = 1 << 21
+#: Blanks inside a line that are not one space already.
+RUNS = r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20[\x20\x09\x0B-\x0D]+"
 #: Frequent letters; the order has no meaning.
-COUNTED = "etaoinshrdlucmfw"
+COUNTED = "etaoinshrd"
 
 
 def _letters(line: Column) -> Column:
-    """Counts of the counted letters modulo 4, in a code where counts that differ by one differ in one bit."""
+    """Counts of the counted letters modulo 8, in a code where counts that differ by one differ in one bit."""
     packed = F.lit(0).cast("long")
     for k, letter in enumerate(COUNTED):
-        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(3).cast("long")
-        packed = packed.bitwiseOR(F.shiftleft(n.bitwiseXOR(F.shiftright(n, 1)), 2 * k))
+        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(7).cast("long")
+        packed = packed.bitwiseOR(F.shiftleft(n.bitwiseXOR(F.shiftright(n, 1)), 3 * k))
     return packed
 
 
-def _segment(chars: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """First place and length of segment ``i`` of a line of ``chars`` characters; the last segments take what does not divide."""
-    k = edits + 1
-    size, short = F.floor(chars / k).cast("int"), k - chars % k
-    return i * size + F.greatest(F.lit(0), i - short) + 1, size + (F.lit(i) >= short).cast("int")
-
+def _index_places(edits: int) -> list[tuple[int, int, int]]:
+    """Segments of a line: how much shorter the line is that they are cut of, their number, and how far they lie off."""
+    return [(0, i, 0) for i in range(edits + 1)]
 
-def _key(chars: Column, i: int, piece: Column) -> Column:
-    return F.xxhash64(chars, F.lit(i), piece)
 
+def _probe_places(edits: int) -> list[tuple[int, int, int]]:
+    return [
+        (shorter, i, shift) for shorter in range(edits + 1) for i in range(edits + 1)
+        for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1)]
 
-def _index_keys(line: Column, chars: Column, edits: int) -> Column:
-    parts = [_segment(chars, i, edits) for i in range(edits + 1)]
-    return F.array(*[_key(chars, i, F.substring(line, at, size)) for i, (at, size) in enumerate(parts)])
 
+def _keys(lines: DataFrame, places: list[tuple[int, int, int]], edits: int, key: str, letters: str) -> DataFrame:
+    """One row per line and place: the hash ``at`` of the segment that would lie there.
 
-def _probe_keys(line: Column, chars: Column, edits: int) -> Column:
-    keys = []
-    for shorter in range(edits + 1):
-        other = chars - shorter
-        for i in range(edits + 1):
-            at, size = _segment(other, i, edits)
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                keys.append(_key(other, i, F.substring(line, at + shift, size)))
-    return F.array(*keys)
+    One row's expression is short; all places of a line in one expression are more code than the JVM compiles.
+    """
+    k = edits + 1
+    cut = F.explode(F.array(*[F.struct(F.lit(a).alias("shorter"), F.lit(i).alias("i"), F.lit(b).alias("shift")) for a, i, b in places])).alias("p")
+    spread = lines.select("key", "letters", "line", "chars", cut).select(
+        "key", "letters", "line", F.col("p.i").alias("i"), F.col("p.shift").alias("shift"), (F.col("chars") - F.col("p.shorter")).alias("chars"))
+    # the last segments take what does not divide
+    sized = spread.select("*", F.floor(F.col("chars") / k).cast("int").alias("size"), (k - F.col("chars") % k).alias("short"))
+    first = F.col("i") * F.col("size") + F.greatest(F.lit(0), F.col("i") - F.col("short")) + 1
+    piece = F.substring("line", first + F.col("shift"), F.col("size") + (F.col("i") >= F.col("short")).cast("int"))
+    return sized.select(F.xxhash64("chars", "i", piece).alias("at"), F.col("key").alias(key), F.col("letters").alias(letters))
 
 
 def _occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    own = narrow(docs, id=id_col, text=text).select("id", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("n", "raw"))
-    lines = own.select("id", "doc", "n", F.trim(F.regexp_replace(F.lower("raw"), BLANKS, " ")).alias("line")).filter("line <> ''")
+    # blanks are made one per text: a filter on lines that were made one by one would make them twice
+    even = F.regexp_replace(F.lower("text"), RUNS, " ")
+    own = narrow(docs, id=id_col, text=text).select("id", F.xxhash64("text").alias("doc"), F.posexplode(F.split(even, "\n")).alias("n", "raw"))
+    lines = own.select("id", "doc", "n", F.trim("raw").alias("line")).filter("line <> ''")
     return lines.select("id", "doc", "n", F.xxhash64("line").alias("key"), "line")
 
 
 def line_links(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """Links between the different ``lines`` (key, line, letters, first): ``a``, ``b`` and which of them, ``later``, comes second."""
     sized = lines.withColumn("chars", F.length("line")).filter(F.col("chars") >= min_chars)
-    told = sized.select("key", "letters", *[
-        f(F.col("line"), F.col("chars"), edits).alias(n) for f, n in ((_index_keys, "index"), (_probe_keys, "probe"))])
-    index = told.select(F.explode("index").alias("at"), F.col("key").alias("a"), F.col("letters").alias("la"))
-    probe = told.select(F.explode("probe").alias("at"), F.col("key").alias("b"), F.col("letters").alias("lb"))
+    index, probe = _keys(sized, _index_places(edits), edits, "a", "la"), _keys(sized, _probe_places(edits), edits, "b", "lb")
     agree = (F.col("a") != F.col("b")) & (F.bit_count(F.col("la").bitwiseXOR(F.col("lb"))) <= 2 * edits)
     met = materialise(
         index.join(probe, (index["at"] == probe["at"]) & agree).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")

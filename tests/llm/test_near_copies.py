@@ -1,6 +1,7 @@
 """SimHash groups, near paragraphs and near lines against comparing everything with everything."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -211,3 +212,13 @@ def test_awkward_lines_and_empty_tables(spark):
     none = docs.limit(0)
     assert simhash_blocks.near_duplicates(none).count() == simhash_blocks.one_of_each_group(none).count() == 0
     assert paragraph_minhash.by_document(none).count() == line_edits.by_document(none).count() == 0
+
+
+def test_keys_of_lines_are_code_that_the_jvm_compiles(spark, tmp_path):
+    """A method of over 8,000 bytes stays interpreted; the probes of a line were such a one."""
+    spark.createDataFrame([(1, 0, "a line of some words", 20)], "key long, letters long, line string, chars int").write.parquet(str(tmp_path / "l"))
+    keys = line_edits._keys(spark.read.parquet(str(tmp_path / "l")), line_edits._probe_places(2), 2, "b", "lb")
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", keys._jdf.queryExecution().explainString(mode))]
+    assert sizes and max(sizes) < 8000
+    assert keys.count() == 12
