@@ -1,7 +1,12 @@
 """Line dedup: lines that differ from an earlier line by at most ``edits`` edits.
 
 A line is compared in its normal form (lower case, runs of blanks as one, ends
-trimmed).  Cut into ``edits + 1`` segments, a line keeps at least one segment whole
+trimmed).  A few pieces of each line come first: hashes of its start, its end and of what lies
+between, so many characters long that lines within ``edits`` edits share one of them (see
+``_pieces``).  Only lines that share a piece with a different line, few of all, go on;
+the others are written once, without their text, and are not looked at again.
+
+Cut into ``edits + 1`` segments, a line keeps at least one segment whole
 under ``edits`` edits, so each line is indexed by its segments and probes the
 segments of lines up to ``edits`` shorter, at the few places where they can lie
 (a place that needs too many edits before or behind the segment is left out).  Meetings must also agree in letter counts,
@@ -26,7 +31,10 @@ from plumbline.llm.columns import narrow
 from plumbline.session import materialise
 
 EDITS, MIN_CHARS = 2, 16
-SLOTS = 1 << 21
+#: Lengths of pieces are multiples of it, so that most lines have one length of pieces with all lines that may be near.
+GRAIN = 4
+#: Words of 64 bits in a set of short hashes.
+WORDS = 1 << 19
 #: Blanks inside a line that are not one space already.
 RUNS = r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20[\x20\x09\x0B-\x0D]+"
 #: Frequent letters; the order has no meaning.
@@ -69,12 +77,71 @@ def _keys(lines: DataFrame, places: list[tuple[int, int, int]], edits: int, key:
     return sized.select(F.xxhash64("chars", "i", piece).alias("at"), F.col("key").alias(key), F.col("letters").alias(letters))
 
 
-def _occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    # blanks are made one per text: a filter on lines that were made one by one would make them twice
-    even = F.regexp_replace(F.lower("text"), RUNS, " ")
-    own = narrow(docs, id=id_col, text=text).select("id", F.xxhash64("text").alias("doc"), F.posexplode(F.split(even, "\n")).alias("n", "raw"))
-    lines = own.select("id", "doc", "n", F.trim("raw").alias("line")).filter("line <> ''")
-    return lines.select("id", "doc", "n", F.xxhash64("line").alias("key"), "line")
+def _even(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), RUNS, " ")
+
+
+def _slack(edits: int) -> list[int]:
+    """How far the segments of a line can lie off in a line near it, counted from the nearer end."""
+    return [min(i, edits - i) for i in range(edits + 1)]
+
+
+def _size(chars: Column, edits: int) -> Column:
+    size = F.floor((chars - sum(_slack(edits))) / (edits + 1)).cast("int")
+    return F.when(size < GRAIN, size).otherwise(size - size % GRAIN)
+
+
+def _pieces(line: Column, chars: Column, size: Column, edits: int) -> list[Column]:
+    """Hashes of the pieces of ``size`` characters of a line.
+
+    Let a line be cut into ``edits + 1`` segments, segment i being longer than ``size`` by its slack.  Of ``edits`` edits there is an i
+    such that i lie before segment i, none inside and the rest behind it.  So another line has it whole and off by its slack at most,
+    from the start or the end; a piece at each of the places 0 to slack inside it meets one of the other line.
+    """
+    slack, found = _slack(edits), []
+    for i, off in enumerate(slack):
+        before = size * i + sum(slack[:i])
+        if i > edits - i:
+            before = chars - size * (edits + 1 - i) - sum(slack[i:])
+        found += [F.xxhash64(size, F.lit(i), F.substring(line, before + place + 1, size)) for place in range(off + 1)]
+    return found
+
+
+def _read(docs: DataFrame, id_col: str, text: str, edits: int, min_chars: int) -> DataFrame:
+    """``id``, ``doc``, ``n`` and ``key`` of every line that is not blank, with its pieces ``at``; the first line is always there, its key null if blank.
+
+    A line has a second row, not ``own``, if lines that are shorter by ``edits`` have shorter pieces.
+    """
+    # blanks are made one per text, and generators keep empty lists: filters on what they make would make it twice
+    own = narrow(docs, id=id_col, text=text).select("id", F.xxhash64("text").alias("doc"), F.posexplode_outer(F.split(_even(F.col("text")), "\n")).alias("n", "raw"))
+    lines = own.select("id", "doc", "n", F.trim("raw").alias("line")).filter((F.col("line") != "") | (F.coalesce("n", F.lit(0)) == 0))
+    chars = F.col("chars")
+    sizes = F.array_distinct(F.array(_size(chars, edits), _size(chars - edits, edits)))
+    sized = lines.select("*", F.length("line").alias("chars")).select("*", F.posexplode_outer(sizes).alias("turn", "size"))
+    at = F.when(chars >= min_chars, F.array(*_pieces(F.col("line"), chars, F.col("size"), edits)))
+    return sized.select("id", "doc", "n", F.when(F.col("line") != "", F.xxhash64("line")).alias("key"), (F.col("turn") == 0).alias("own"), at.alias("at"))
+
+
+def _among(rows: DataFrame, key: str, few: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is none of ``few``: short hashes turn them away where they lie."""
+    short = F.xxhash64(key)
+    word, bit = F.pmod(short, F.lit(WORDS)).cast("int"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64({key}), 58) as int))")
+    words = few.select(word.alias("-word"), bit.alias("bit")).groupBy("-word").agg(F.bit_or("bit").alias("-bits"))
+    return rows.withColumn("-word", word).join(F.broadcast(words), "-word").filter(bit.bitwiseAND(F.col("-bits")) != 0).drop("-word", "-bits")
+
+
+def _different(read: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The different lines that share a piece with another: ``key``, ``first``, ``line`` and ``letters``."""
+    pieces = read.select("id", "doc", "n", "key", F.explode("at").alias("at"))
+    shared = materialise(pieces.groupBy("at").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("at"), "shared")
+    holders = _among(pieces, "at", shared).groupBy("at", "key").agg(F.min(F.struct("id", "doc", "n")).alias("first")).join(shared, "at")
+    first = holders.groupBy("key").agg(F.min("first").alias("first"))
+    wanted = materialise(first.withColumn("place", F.xxhash64("first.doc", "first.n")), "wanted")
+    raw = narrow(docs, text=text).select(F.xxhash64("text").alias("doc"), F.posexplode_outer(F.split("text", "\n")).alias("n", "raw")).select(
+        F.xxhash64("doc", "n").alias("place"), "raw")
+    texts = _among(raw, "place", wanted).groupBy("place").agg(F.min("raw").alias("raw"))
+    lines = wanted.join(texts, "place").select("key", "first", F.trim(_even(F.col("raw"))).alias("line"))
+    return materialise(lines.withColumn("letters", _letters(F.col("line"))), "lines")
 
 
 def line_links(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
@@ -84,10 +151,7 @@ def line_links(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     agree = (F.col("a") != F.col("b")) & (F.bit_count(F.col("la").bitwiseXOR(F.col("lb"))) <= 2 * edits)
     met = materialise(
         index.join(probe, (index["at"] == probe["at"]) & agree).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
-    # few lines meet another: short hashes, of which there are SLOTS at most, turn the others away where they lie
-    slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS)).cast("int").alias("slot")
-    slots = F.broadcast(met.select(F.explode(F.array("a", "b")).alias("key")).select(slot).distinct())
-    near_lines = lines.select("key", "line", "first", slot).join(slots, "slot", "left_semi")
+    near_lines = _among(lines.select("key", "line", "first"), "key", met.select(F.explode(F.array("a", "b")).alias("key")))
     one, two = (near_lines.select(F.col("key").alias(k), F.col("line").alias(f"line_{k}"), F.col("first").alias(f"first_{k}")) for k in "ab")
     near = F.expr(f"levenshtein(line_a, line_b, {edits}) >= 0")
     return met.join(one, "a").join(two, "b").filter(near).select(
@@ -95,32 +159,29 @@ def line_links(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
 
 
 def _by_text(docs: DataFrame, id_col: str, text: str, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``id``, ``doc``, ``n_lines``, ``n_links``, ``n_removed`` and ``lines`` of every document with lines."""
-    found = _occurrences(docs, id_col, text)
-    different = found.groupBy("key").agg(F.min("line").alias("line"), F.min(F.struct("id", "doc", "n")).alias("first"), F.count(F.lit(1)).alias("times"))
-    lines = materialise(different.withColumn("letters", _letters(F.col("line"))), "lines")
-    links = materialise(line_links(lines, edits, min_chars), "links")
+    """``id``, ``doc``, ``n_lines``, ``n_links``, ``n_removed`` and ``lines`` of every document."""
+    read = materialise(_read(docs, id_col, text, edits, min_chars), "read")
+    links = materialise(line_links(_different(read, docs, text), edits, min_chars), "links")
     ends = links.select(F.explode(F.array("a", "b")).alias("key"), "later")
-    linked = ends.groupBy("key").agg(F.count(F.lit(1)).alias("links"), F.max((F.col("key") == F.col("later")).cast("int")).alias("late"))
-    again = lines.filter("times > 1").select("key", "first")
-    places = found.select("id", "doc", "n", "key").distinct()
+    linked = ends.groupBy("key").agg(F.count(F.lit(1)).alias("links"), F.max(F.col("key") == F.col("later")).alias("late"))
+    found = read.filter("own").select("id", "doc", "n", "key")
+    times = found.filter("key is not null").groupBy("key").agg(F.min(F.struct("id", "doc", "n")).alias("first"), F.count(F.lit(1)).alias("times"))
+    again = materialise(times.filter("times > 1").select("key", "first"), "again")
     stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("doc") == F.col("first.doc")) & (F.col("n") == F.col("first.n"))
-    told = places.join(linked, "key", "left").join(again, "key", "left").select(
-        "id", "doc", "n", F.coalesce("links", F.lit(0)).alias("links"),
-        ((F.coalesce("late", F.lit(0)) == 1) | (F.col("first").isNotNull() & ~stays)).alias("goes"))
-    return told.groupBy("id", "doc").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum("links").alias("n_links"), F.count_if("goes").alias("n_removed"),
-        F.array_sort(F.collect_list(F.when(F.col("goes"), F.col("n")))).alias("lines"))
+    repeated = _among(found, "key", again).join(again, "key").select("id", "doc", F.lit(0).cast("long").alias("links"), F.when(~stays, F.col("n")).alias("n"))
+    near = _among(found, "key", linked).join(linked, "key").select("id", "doc", "links", F.when(F.col("late"), F.col("n")).alias("n"))
+    marks = repeated.unionByName(near).groupBy("id", "doc").agg(F.sum("links").alias("links"), F.array_sort(F.collect_set("n")).alias("lines")).select(
+        F.col("id").alias("own"), F.col("doc").alias("own_doc"), "links", "lines")
+    # rows with one id and one text have the same lines, and each has a first one
+    every = found.groupBy("id", "doc").agg(F.count("key").alias("n"), F.count_if(F.coalesce("n", F.lit(0)) == 0).alias("copies"))
+    return every.join(marks, every["id"].eqNullSafe(marks["own"]) & (every["doc"] == marks["own_doc"]), "left").select(
+        "id", "doc", F.expr("n div copies").alias("n_lines"), F.expr("coalesce(links, 0) div copies").alias("n_links"),
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("lines", F.array().cast("array<int>")).alias("lines"))
 
 
 def by_document(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per different id and text: ``n_lines``, ``n_links`` of its different lines to other lines, ``n_removed`` and the numbers of the ``lines`` that go."""
-    summed = _by_text(docs, id_col, text, edits, min_chars)
-    every = docs.select(docs[id_col].alias("own"), F.xxhash64(docs[text]).alias("own_doc")).distinct()
-    none = F.lit(0).cast("long")
-    return every.join(summed, every["own"].eqNullSafe(summed["id"]) & (every["own_doc"] == summed["doc"]), "left").select(
-        F.col("own").alias(id_col), *[F.coalesce(c, none).alias(c) for c in ("n_lines", "n_links", "n_removed")],
-        F.coalesce("lines", F.array().cast("array<int>")).alias("lines"))
+    return _by_text(docs, id_col, text, edits, min_chars).select(F.col("id").alias(id_col), "n_lines", "n_links", "n_removed", "lines")
 
 
 def without_near_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **limits) -> DataFrame:

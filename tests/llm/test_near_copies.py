@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from plumbline.llm import line_edits, paragraph_minhash, simhash_blocks
 from plumbline.llm.components import components
@@ -222,3 +223,48 @@ def test_keys_of_lines_are_code_that_the_jvm_compiles(spark, tmp_path):
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", keys._jdf.queryExecution().explainString(mode))]
     assert sizes and max(sizes) < 8000
     assert keys.count() == 12
+
+
+@pytest.mark.parametrize("edits, least", [(1, 16), (2, 5), (2, 16), (3, 24)])
+def test_every_line_shares_a_piece_with_the_lines_near_it(spark, edits, least):
+    rng = random.Random(edits * 100 + least)
+    lines = []
+    for chars in [*range(least, least + 40), 95, 96, 97, 400]:
+        own = "".join(rng.choice("abé ος") for _ in range(chars)).strip().replace("  ", "x ")
+        for _ in range(6):
+            near = list(own)
+            for _ in range(rng.randint(1, edits)):
+                at = rng.choice([0, len(near) - 1, rng.randrange(len(near))])
+                near[at:at + 1] = rng.choice([[], [near[at], "z"], ["z", near[at]], ["Σ"]])
+            lines += [own, "".join(near)]
+    docs = frame(spark, [(k, line, "a") for k, line in enumerate(lines)])
+    pieces = {r["doc_id"]: set(r["pieces"]) for r in line_edits._read(docs, "doc_id", "text", edits, least).groupBy(F.col("id").alias("doc_id")).agg(
+        F.flatten(F.collect_list("at")).alias("pieces")).collect()}
+    normal = [" ".join(line.lower().split()) for line in lines]
+    near = [(k, k + 1) for k in range(0, len(lines), 2) if min(len(normal[k]), len(normal[k + 1])) >= least and edit_distance(normal[k], normal[k + 1]) <= edits]
+    assert len(near) > 150 and all(pieces[a] & pieces[b] for a, b in near)
+    assert max(map(len, pieces.values())) <= 2 * (edits + 1 + sum(line_edits._slack(edits)))
+
+
+def test_lines_near_no_other_are_shuffled_without_their_text(spark):
+    rng = random.Random(5)
+    rows = [(k, "\n".join(bytes(rng.choices(range(97, 123), k=300)).decode() for _ in range(20)), "a") for k in range(60)]
+    rows[7] = (7, rows[5][1].replace("a", "", 1), "a")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+        return {(stages.apply(k).stageId(), stages.apply(k).attemptId()): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+    docs, before = frame(spark, rows).localCheckpoint(), set(shuffled())
+    got = {r["doc_id"]: r for r in line_edits.by_document(docs).collect()}
+    assert got[7]["n_removed"] == 20 and got[7]["n_links"] == 1 and sum(r["n_removed"] for r in got.values()) == 20
+    assert sum(n for k, n in shuffled().items() if k not in before) < 0.8 * sum(len(t) for _, t, _ in rows)
+
+
+def test_copies_of_a_document_count_once_and_blank_ones_stay(spark):
+    near = "a line of several plain words"
+    docs = frame(spark, [(1, f"\n \n{near}\n{near}s", "a")] * 3 + [(2, " \n\t", "a"), (2, None, "a"), (None, near, "a"), (None, near, "a")])
+    got = sorted((str(r["doc_id"]), r["n_lines"], r["n_links"], r["n_removed"], r["lines"]) for r in line_edits.by_document(docs).collect())
+    assert got == [("1", 2, 2, 2, [2, 3]), ("2", 0, 0, 0, []), ("2", 0, 0, 0, []), ("None", 1, 1, 0, [])]
